@@ -21,6 +21,9 @@ CHUNK = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators where punctuation does not count: every ASCII byte but letters and digits.
+PLAIN = np.ones(256, bool)
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -88,9 +91,9 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte spans of the maximal runs of bytes outside 09-0D and 20, and each row's first word (n + 1)."""
-    solid = ~_SPACE[data]
+def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte spans of the maximal runs of bytes outside `gaps` (09-0D and 20), and each row's first word (n + 1)."""
+    solid = ~gaps[data]
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[off] = True

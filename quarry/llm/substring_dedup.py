@@ -93,6 +93,7 @@ def unpack(blob: bytes) -> np.ndarray:
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed, removed (intervals of word places, end excluded), kept (text), kept_sha256."""
+    _store.ship(spark)
     parts = _store.partitions(spark)
     buckets = parts
     bounds = key_ranges(docs, key, 2 * parts)

@@ -18,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import _bpe
+from quarry.llm import _bpe, _store
 from quarry.llm import _bytes as B
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row; path names the tokenizer's file on every machine."""
+    _store.ship(docs.sparkSession)
     whole = _bpe.whole_tokens(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

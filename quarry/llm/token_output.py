@@ -47,6 +47,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, out: str, path: str, end_
                 )
                 done += int(edge[-1])
 
+    _store.ship(spark)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     dealt = rows.repartitionByRange(_store.partitions(spark), "k").sortWithinPartitions("k", F.octet_length("t"), "t")
