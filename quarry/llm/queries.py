@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("substring_dedup", "token_output", "mixing", "toxicity", "quality", "token_counts", "decontamination", "near_dedup")
+MODULES = ("substring_dedup", "token_output", "mixing", "toxicity", "quality", "token_counts", "decontamination", "line_dedup", "near_dedup")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
