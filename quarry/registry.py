@@ -1,18 +1,44 @@
-"""Name -> query and name -> DuckDB SQL, gathered from the query modules."""
+"""Name -> query and name -> DuckDB SQL, filled by the modules of quarry.plans."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "hybrid_search"
+FLAGSHIP = "m16_hybrid_search"
+MODULES = ("scans", "relational", "joins", "aggregates", "evaluation", "documents", "retrieval", "runtime")
+
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and, where SQL can express it, the text DuckDB runs on the same tables."""
+
+    def add(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        _QUERIES[name] = f
+        if sql is not None:
+            _ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for module in MODULES:
+        import_module(f"quarry.plans.{module}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_ORACLES)
