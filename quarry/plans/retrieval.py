@@ -96,7 +96,7 @@ def _(spark, d):
 
 @query("m06_evidence_gate", with_views(f"""
 WITH s AS (SELECT query_id, max(CASE WHEN final_rank = 1 THEN score END) AS top, max(CASE WHEN final_rank = 2 THEN score END) AS second FROM {RERANKED} GROUP BY query_id),
-k AS (SELECT s.query_id, top, second, CASE WHEN top < 0.3 THEN 0 ELSE least(5, count(*) FILTER (r.score >= greatest(0.3, top * 0.9))) END AS kept FROM s JOIN {RERANKED} r ON s.query_id = r.query_id GROUP BY ALL)
+k AS (SELECT s.query_id, any_value(top) AS top, any_value(second) AS second, CASE WHEN any_value(top) < 0.3 THEN 0 ELSE least(5, count(*) FILTER (r.score >= greatest(0.3, s.top * 0.9))) END AS kept FROM s JOIN {RERANKED} r ON s.query_id = r.query_id GROUP BY s.query_id)
 SELECT query_id, CAST(kept AS INT) AS retained, CASE WHEN kept = 0 THEN 'unsupported' WHEN kept >= 2 AND top < 0.9995 AND top - second <= 0.05 THEN 'uncertain' ELSE 'supported' END AS outcome FROM k
 """))
 def _(spark, d):

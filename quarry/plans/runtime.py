@@ -113,7 +113,7 @@ def _(spark, d):
     return view(spark, d, "versions").groupBy("document_id").agg(F.countDistinct("version_id").alias("versions")).join(grants, "document_id", "left").na.fill(0, ["grants"])
 
 
-@query("p08_acl_subjects", with_views("SELECT a.document_id, a.subject_type, a.subject_id, CASE a.subject_type WHEN 'user' THEN CAST(a.subject_id AS BIGINT) IN (SELECT user_id FROM users WHERE status = 'active') WHEN 'role' THEN a.subject_id IN (SELECT role_name FROM user_roles) ELSE upper(a.subject_id) IN ('DE', 'FR') END AS known FROM acl a"))
+@query("p08_acl_subjects", with_views("SELECT a.document_id, a.subject_type, a.subject_id, CASE a.subject_type WHEN 'user' THEN TRY_CAST(a.subject_id AS BIGINT) IN (SELECT user_id FROM users WHERE status = 'active') WHEN 'role' THEN a.subject_id IN (SELECT role_name FROM user_roles) ELSE upper(a.subject_id) IN ('DE', 'FR') END AS known FROM acl a"))
 def _(spark, d):
     acl = view(spark, d, "acl")
     known = view(spark, d, "users").filter("status = 'active'").select(F.lit("user").alias("subject_type"), F.col("user_id").cast("string").alias("subject_id"))
