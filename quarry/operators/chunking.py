@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 CJK = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\uac00-\ud7af"
 # A CJK character opens no run, but a run may go on over one.
 TOKEN = re.compile(rf"[{CJK}]|\w+|[^\w\s]")
+CJK_CHARACTER = re.compile(f"[{CJK}]")
 PIECE = 4
 # Boundary kinds from strong to weak.
 BOUNDARIES = (re.compile(r"\n\s*\n"), re.compile(r"[。！？.!?](?:[”’」』】）》])?"), re.compile(r"[；;，,、:]"), re.compile(r"\s+"))
@@ -39,7 +42,10 @@ def token_spans(text: str) -> list[tuple[int, int]]:
     out = []
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        out += [(i, min(i + PIECE, b)) for i in range(a, b, PIECE)]
+        if b - a <= PIECE:
+            out.append((a, b))
+        else:
+            out += [(i, min(i + PIECE, b)) for i in range(a, b, PIECE)]
     return out
 
 
@@ -61,6 +67,8 @@ def text_windows(text: str, settings: Settings = Settings(), heading: str = "")
     """start, end, tokens (heading included) and tokens shared with the chunk before, of every chunk of a text in NFC."""
     spans = token_spans(text)
     starts, ends = [a for a, _ in spans], [b for _, b in spans]
+    # without CJK a part's tokens are those of the whole that lie in it; a run cut before a CJK character counts anew
+    plain = not CJK_CHARACTER.search(text)
     used = count_tokens(heading)
     target, most = settings.target - used, settings.most - used
     if target <= settings.overlap or most <= 0:
@@ -71,14 +79,15 @@ def text_windows(text: str, settings: Settings = Settings(), heading: str = "")
             stop = len(text)
         else:
             stop = _cut(text, ends[first + max(1, target // 2) - 1], ends[first + target - 1], ends[first + most - 1])
-        body = text[starts[first] : stop].rstrip()
-        a, b = starts[first], starts[first] + len(body)
-        whole = f"{heading}\n\n{body}" if heading else body
-        shared = count_tokens(text[a : min(before, b)]) if before > a else 0
-        yield a, b, count_tokens(whole), shared
+        a = starts[first]
+        b = a + len(text[a:stop].rstrip())
+        done = bisect_right(ends, b)
+        if plain:
+            yield a, b, used + done - first, max(0, bisect_right(ends, min(before, b)) - first)
+        else:
+            yield a, b, used + count_tokens(text[a:b]), count_tokens(text[a : min(before, b)]) if before > a else 0
         if b >= ends[-1]:
             return
-        done = bisect_right(ends, b)
         first, before = max(first + 1, done - settings.overlap), b
 
 
@@ -96,7 +105,8 @@ def chunk_texts(df: DataFrame, key: str, text: str, settings: Settings = Setting
         return pa.array(out, pa.list_(kind))
 
     cut = F.arrow_udf(run, "array<struct<chunk_index:int,body:string,token_count:int,overlap_tokens:int>>")
-    rows = df.select(F.col(key), F.explode(cut(F.col(text), F.col(heading) if heading else F.lit(""))).alias("c"))
+    rows = spread(df.select(key, text, *([heading] if heading else [])))
+    rows = rows.select(F.col(key), F.explode(cut(F.col(text), F.col(heading) if heading else F.lit(""))).alias("c"))
     return rows.select(key, "c.*")
 
 

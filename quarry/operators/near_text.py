@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.session import spread
 
 LEAST_TOKENS = 20
 
@@ -17,15 +18,15 @@ def repeats(df: DataFrame, key: str, text: str, share: float = 0.9) -> DataFrame
     first few tokens, so candidates meet on an equality of rare tokens. Rows that are equal after
     normalisation count once, by their first key, before pairs are looked for; nothing is dropped.
     """
-    rows = df.select(F.col(key).alias("k"), T.match_text(F.col(text)).alias("m"), F.array_distinct(T.tokens(F.col(text))).alias("t"))
+    rows = spread(df.select(key, text)).select(F.col(key).alias("k"), T.match_text(F.col(text)).alias("m"), F.array_distinct(T.tokens(F.col(text))).alias("t"))
     firsts = rows.groupBy("m").agg(F.min("k").alias("k"), F.first("t").alias("t"))
     exact = rows.join(firsts.select("m", F.col("k").alias("first")), "m").filter("k > first").select("k", "first")
     large = firsts.filter(F.size("t") >= LEAST_TOKENS).select("k", "t")
-    spread = large.select("k", F.size("t").alias("n"), F.explode("t").alias("w"))
-    rarity = spread.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = spread.join(rarity, "w").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    wide = large.select("k", F.size("t").alias("n"), F.explode("t").alias("w"))
+    rarity = wide.groupBy("w").agg(F.count("*").alias("df"))
+    ordered = wide.join(rarity, "w").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
     reach = F.col("n") - F.ceil(F.col("n") * share) + 1
-    keyed = ordered.select("k", "n", F.explode(F.slice("o", F.lit(1), reach.cast("int"))).alias("x")).select("k", "n", F.col("x.w").alias("w"))
+    keyed = ordered.select("k", "n", F.explode(F.slice("o", F.lit(1), reach.cast("int"))).alias("x")).filter("x.df > 1").select("k", "n", F.col("x.w").alias("w"))
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("b.k") < F.col("a.k")) & (F.col("b.n") >= F.col("a.n") * share) & (F.col("a.n") >= F.col("b.n") * share))
     pairs = pairs.select(F.col("a.k").alias("k"), F.col("b.k").alias("first")).distinct()

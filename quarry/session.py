@@ -35,3 +35,12 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
     """Expose tables as temporary views for `spark.sql`."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if the scan has fewer partitions than there are; a larger scan stays as it is.
+
+    For Python stages over a few files: the check is on the plan alone, and at scale nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
