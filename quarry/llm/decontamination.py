@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import _bytes as B
 from quarry.llm import _store
+from quarry.session import spread
 
 
 @dataclass
@@ -149,6 +150,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, seed: int
 
         return run
 
+    rows = spread(rows)
     for index in _blocks(spark, bench, seed, block_bytes, item, "text"):
         rows = rows.mapInArrow(scan(index), f"k {kind}, t string, items array<struct<item_id:bigint,coverage:double>>")
     return rows.select(F.col("k").alias(key), (F.size("items") > 0).alias("contaminated"), F.array_sort("items").alias("items"))

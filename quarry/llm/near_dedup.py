@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import _bytes as B
 from quarry.llm import _components, _store
+from quarry.session import spread
 
 SHINGLE = 5
 BUCKETS = 256
@@ -201,7 +202,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, key
     """key, n_shingles, component_id, kept of each row; links need 100 * intersection >= percent * union."""
     _store.ship(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    described = _store.cut(spark, rows.mapInArrow(_describe, "k long, n long, f long, g long, bands array<long>"))
+    described = _store.cut(spark, spread(rows).mapInArrow(_describe, "k long, n long, f long, g long, bands array<long>"))
     full = described.filter("n > 0 AND k IS NOT NULL")
     classes = full.groupBy("n", "f", "g").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "k").alias("bands"))
     classes = _store.cut(spark, classes)

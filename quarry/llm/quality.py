@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import _sample, _store
+from quarry.session import spread
 
 
 @dataclass
@@ -142,7 +143,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3, key: str = "doc_id",
     if keep:
         return docs.mapInArrow(filtered, docs.schema)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(scored, f"k {kind}, score double, predicted int")
+    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))).mapInArrow(scored, f"k {kind}, score double, predicted int")
     return rows.select(F.col("k").alias(key), _sample.held_out("k").alias("held_out"), "score", "predicted")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import _bpe, _store
 from quarry.llm import _bytes as B
+from quarry.session import spread
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,7 +36,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)], ["k", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
     return rows.mapInArrow(count, f"k {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("k", key)
 
 
