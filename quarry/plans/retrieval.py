@@ -122,8 +122,8 @@ def _(spark, d):
 
 
 @query("m08_candidate_priority", with_views(f"""
-WITH a AS {ANCHORS}, c AS (SELECT query_id, chunk_id, 'anchor' AS role, rank, 0 AS tier, 0 AS side FROM a UNION ALL SELECT query_id, chunk_id - 1, 'previous', rank, 1, 0 FROM a WHERE chunk_id % 20 > 0
-  UNION ALL SELECT query_id, chunk_id + 1, 'next', rank, 1, 1 FROM a WHERE chunk_id % 20 < 19 AND chunk_id + 1 IN (SELECT doc_id FROM documents))
+WITH a AS {ANCHORS}, c AS (SELECT query_id, chunk_id, 'anchor' AS role, rank, 0 AS tier, 0 AS side FROM a UNION ALL SELECT query_id, chunk_id - 1, 'previous', rank, 1, 0 FROM a WHERE chunk_id % 20 > 0 AND chunk_id IN (SELECT doc_id FROM documents) AND chunk_id - 1 IN (SELECT doc_id FROM documents)
+  UNION ALL SELECT query_id, chunk_id + 1, 'next', rank, 1, 1 FROM a WHERE chunk_id % 20 < 19 AND chunk_id IN (SELECT doc_id FROM documents) AND chunk_id + 1 IN (SELECT doc_id FROM documents))
 SELECT query_id, chunk_id, role, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank, side) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY tier, rank, side) AS r FROM c) WHERE r = 1
 """))
 def _(spark, d):
