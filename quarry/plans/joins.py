@@ -17,10 +17,10 @@ FILE = "f.file_id = v.file_id AND f.tenant_id = d.tenant_id AND NOT f.is_deleted
 
 
 @query("c01_authorized_chunks", with_views(f"""
-SELECT e.vec_id AS chunk_id, d.document_id, v.version_id, f.extension FROM embeddings e JOIN docs d ON e.vec_id % 1000 = d.document_id JOIN versions v ON {LIVE} JOIN files f ON {FILE} WHERE d.tenant_id = 'T1'
+SELECT e.vec_id AS chunk_id, d.document_id, v.version_id, f.extension FROM embeddings e JOIN docs d ON e.vec_id = d.document_id JOIN versions v ON {LIVE} JOIN files f ON {FILE} WHERE d.tenant_id = 'T1'
 """))
 def _(spark, d):
-    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 1000).alias("document_id"))
+    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("document_id"))
     return chunks.join(live_versions(spark, d).filter("tenant_id = 'T1'"), "document_id").select("chunk_id", "document_id", "version_id", "extension")
 
 
@@ -108,15 +108,15 @@ def _(spark, d):
     return J.merge_ranked(a, b, ["k"], ["f"]).select("k", "rank_a", "rank_b", "conflict")
 
 
-@query("c11_authorized_evidence", with_views(f"SELECT g.query_id, g.evidence_id FROM golden g JOIN docs d ON d.document_id = g.evidence_id % 1000 JOIN versions v ON {LIVE} JOIN files f ON {FILE}"))
+@query("c11_authorized_evidence", with_views(f"SELECT g.query_id, g.evidence_id FROM golden g JOIN docs d ON d.document_id = g.evidence_id JOIN versions v ON {LIVE} JOIN files f ON {FILE}"))
 def _(spark, d):
-    ev = view(spark, d, "golden").withColumn("document_id", F.col("evidence_id") % 1000)
+    ev = view(spark, d, "golden").withColumn("document_id", F.col("evidence_id"))
     return ev.join(live_versions(spark, d), "document_id").select("query_id", "evidence_id")
 
 
-@query("c12_evidence_detail", with_views(f"SELECT g.query_id, g.evidence_id, d.document_type AS title FROM golden g JOIN docs d ON d.document_id = g.evidence_id % 1000 JOIN versions v ON {LIVE} JOIN files f ON {FILE} JOIN documents t ON t.doc_id = d.document_id AND t.source = d.document_type AND t.n_chars = f.size_bytes"))
+@query("c12_evidence_detail", with_views(f"SELECT g.query_id, g.evidence_id, d.document_type AS title FROM golden g JOIN docs d ON d.document_id = g.evidence_id JOIN versions v ON {LIVE} JOIN files f ON {FILE} JOIN documents t ON t.doc_id = d.document_id AND t.source = d.document_type AND t.n_chars = f.size_bytes"))
 def _(spark, d):
-    ev = view(spark, d, "golden").withColumn("document_id", F.col("evidence_id") % 1000)
+    ev = view(spark, d, "golden").withColumn("document_id", F.col("evidence_id"))
     facts = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source", "n_chars")
     full = ev.join(live_versions(spark, d), "document_id").join(facts, "document_id").filter("source = document_type AND n_chars = size_bytes")
     return full.select("query_id", "evidence_id", F.col("document_type").alias("title"))
@@ -169,9 +169,9 @@ def _(spark, d):
     return met.groupBy("doc_id", "chunk").agg(F.array_join(F.sort_array(F.collect_set(F.col("part").cast("string"))), ",").alias("covered"))
 
 
-@query("c18_citation_labels", with_views("SELECT c.call_id, g.evidence_id FROM (SELECT call_id, call_id - call_id % 25 AS query_id, 1 + call_id % 14 AS ordinal FROM tool_calls WHERE call_id < 500) c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY evidence_id) AS ordinal FROM golden) g ON c.query_id = g.query_id AND c.ordinal = g.ordinal"))
+@query("c18_citation_labels", with_views("SELECT c.call_id, g.evidence_id FROM (SELECT call_id, call_id - call_id % 25 AS query_id, 1 + call_id % 14 AS ordinal FROM tool_calls) c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY evidence_id) AS ordinal FROM golden) g ON c.query_id = g.query_id AND c.ordinal = g.ordinal"))
 def _(spark, d):
-    cited = view(spark, d, "tool_calls").filter("call_id < 500").select("call_id", (F.col("call_id") - F.col("call_id") % 25).alias("query_id"), (1 + F.col("call_id") % 14).alias("ordinal"))
+    cited = view(spark, d, "tool_calls").select("call_id", (F.col("call_id") - F.col("call_id") % 25).alias("query_id"), (1 + F.col("call_id") % 14).alias("ordinal"))
     allowed = view(spark, d, "golden").withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("evidence_id")))
     return cited.join(allowed, ["query_id", "ordinal"], "left").select("call_id", "evidence_id")
 

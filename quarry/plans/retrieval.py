@@ -156,16 +156,16 @@ def _(spark, d):
     return marked(spark, d).select("event_id", retrieval.citation_status(F.col("answer"), (F.col("event_id") % 4).cast("int")).alias("status"))
 
 
-@query("m14_evidence_summaries", with_views(f"WITH {ALLOWED} SELECT g.query_id, count(*) AS evidence, count(DISTINCT g.evidence_id % 1000) AS documents FROM golden g JOIN allowed a ON a.document_id = g.evidence_id % 1000 GROUP BY g.query_id"))
+@query("m14_evidence_summaries", with_views(f"WITH {ALLOWED} SELECT g.query_id, count(*) AS evidence, count(DISTINCT g.evidence_id) AS documents FROM golden g JOIN allowed a ON a.document_id = g.evidence_id GROUP BY g.query_id"))
 def _(spark, d):
-    ev = view(spark, d, "golden").withColumn("document_id", F.col("evidence_id") % 1000)
+    ev = view(spark, d, "golden").withColumn("document_id", F.col("evidence_id"))
     return ev.join(allowed(spark, d).select("document_id"), "document_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("evidence"), F.countDistinct("document_id").alias("documents"))
 
 
-@query("m15_reauthorized_sources", with_views(f"WITH {ALLOWED} SELECT g.query_id, count(*) = count(a.document_id) AS unchanged FROM golden g LEFT JOIN allowed a ON a.document_id = g.evidence_id % 1000 GROUP BY g.query_id"))
+@query("m15_reauthorized_sources", with_views(f"WITH {ALLOWED} SELECT g.query_id, count(*) = count(a.document_id) AS unchanged FROM golden g LEFT JOIN allowed a ON a.document_id = g.evidence_id GROUP BY g.query_id"))
 def _(spark, d):
     ok = allowed(spark, d).select("document_id").withColumn("ok", F.lit(True))
-    ev = view(spark, d, "golden").withColumn("document_id", F.col("evidence_id") % 1000).join(ok, "document_id", "left")
+    ev = view(spark, d, "golden").withColumn("document_id", F.col("evidence_id")).join(ok, "document_id", "left")
     return ev.groupBy("query_id").agg(F.every(F.coalesce("ok", F.lit(False))).alias("unchanged"))
 
 
