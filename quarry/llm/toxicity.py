@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import _bytes as B
 from quarry.llm import _sample, _store
+from quarry.session import spread
 
 
 @dataclass
@@ -54,23 +55,23 @@ def _matrix(model_words: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
     return x
 
 
-def choose(p: list[np.ndarray], u: list[np.ndarray], most: int, least: int = 4, sure: float = 4.0) -> np.ndarray:
-    """The words whose document frequencies differ most, in standard errors."""
-    words, place = np.unique(np.concatenate([*p, *u]), return_inverse=True)
-    cut = sum(map(len, p))
-    a = np.bincount(place[:cut], minlength=len(words)).astype(float)
-    b = np.bincount(place[cut:], minlength=len(words)).astype(float)
-    both = (a + b) / (len(p) + len(u))
-    z = np.abs(a / len(p) - b / len(u)) / np.sqrt(both * (1 - both) * (1 / len(p) + 1 / len(u)) + 1e-12)
-    z[(a + b < least) | (z < sure)] = 0
-    return np.sort(words[np.argsort(-z, kind="stable")[: min(most, int((z > 0).sum()))]])
+def choose(samples: DataFrame, sizes: tuple[int, int], most: int, least: int = 4, sure: float = 4.0) -> np.ndarray:
+    """The words whose document frequencies differ most, in standard errors; counted in Spark, at most `most` come back.
 
+    samples: positive (boolean), w (distinct words of a text); sizes: texts in P and in U.
+    """
+    p, u = sizes
+    words = samples.select("positive", F.explode("w").alias("word")).groupBy("word").agg(F.count_if("positive").alias("a"), F.count_if(~F.col("positive")).alias("b")).filter(F.col("a") + F.col("b") >= least)
+    both = (F.col("a") + F.col("b")) / (p + u)
+    z = F.abs(F.col("a") / p - F.col("b") / u) / F.sqrt(both * (1 - both) * (1 / p + 1 / u) + 1e-12)
+    top = words.withColumn("z", z).filter(F.col("z") >= sure).orderBy(F.desc("z"), "word").limit(most)
+    return np.sort(np.array([r["word"] for r in top.collect()], np.int64).view(np.uint64))
 
-def fit(p: list[np.ndarray], u: list[np.ndarray], prior: float, most: int = 256, steps: int = 600, rate: float = 0.05, ridge: float = 2e-5) -> Model:
+
+def fit(words: np.ndarray, p: list[np.ndarray], u: list[np.ndarray], prior: float, steps: int = 600, rate: float = 0.05, ridge: float = 2e-5) -> Model:
     prior = min(max(prior, 1e-4), 0.9)
     base = float(np.log(prior / (1 - prior)))
-    words = choose(p, u, most) if p and u else np.zeros(0, np.uint64)
-    if not len(words):
+    if not (len(words) and p and u):
         return Model(words, np.zeros(0), base)
     xp, xu = _matrix(words, p), _matrix(words, u)
     w, bias = np.zeros(len(words), np.float32), base
@@ -92,7 +93,7 @@ def fit(p: list[np.ndarray], u: list[np.ndarray], prior: float, most: int = 256,
     return Model(words, w, float(bias))
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 5000, most: int = 256, seed: int = 5, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, most: int = 256, seed: int = 5, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     _store.ship(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.col("k").isNotNull() & ~_sample.held_out(key if key == "k" else "k"))
     known = labels.select(F.col(key).cast("long").alias("k"), F.col(label).alias("y")).filter(F.col("k").isNotNull() & F.col("y").isNotNull() & ~_sample.held_out("k"))
@@ -109,12 +110,19 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: in
     # `sure` is bounded by the sample's size, so it may be broadcast.
     p = rows.join(F.broadcast(sure), "k", "left_semi").mapInArrow(describe, "k long, w array<long>")
     u = _sample.pick(rows, "k", unlabelled, seed + 1).mapInArrow(describe, "k long, w array<long>")
-
-    def gather(part: DataFrame) -> list[np.ndarray]:
-        # copies of one text would count as many; by content, each stands once
-        return list({x.tobytes(): x for x in (np.array(v, np.int64).view(np.uint64) for v in part.orderBy("k").toPandas()["w"])}.values())
-
-    return fit(gather(p), gather(u), prior, most)
+    # copies of one text would count as many; by content, each stands once
+    both = p.withColumn("positive", F.lit(True)).unionByName(u.withColumn("positive", F.lit(False)))
+    samples = _store.cut(spark, both.withColumn("h", F.xxhash64("w")).dropDuplicates(["positive", "h"]).select("positive", "h", "w"))
+    sizes = {r["positive"]: r["n"] for r in samples.groupBy("positive").agg(F.count("*").alias("n")).collect()}
+    if not (sizes.get(True) and sizes.get(False)):
+        return fit(np.zeros(0, np.uint64), [], [], prior)
+    words = choose(samples, (sizes[True], sizes[False]), most)
+    known = F.array(*[F.lit(int(w)) for w in words.view(np.int64)]).cast("array<long>")
+    marked = samples.select("positive", "h", F.array_intersect("w", known).alias("w")).orderBy("positive", "h").collect()
+    lists: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    for r in marked:
+        lists[r["positive"]].append(np.array(r["w"], np.int64).view(np.uint64))
+    return fit(words, lists[True], lists[False], prior)
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,7 +142,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.5, key: str = "doc_id",
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["k", "score", "predicted"])
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, score double, predicted int")
+    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))).mapInArrow(run, f"k {kind}, score double, predicted int")
     return rows.select(F.col("k").alias(key), _sample.held_out("k").alias("held_out"), "score", "predicted")
 
 
