@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "m16_hybrid_search"
 MODULES = ("scans", "relational", "joins", "aggregates", "evaluation", "documents", "retrieval", "runtime", "writes", "remaining")
@@ -28,7 +30,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = f
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[name] = run
         if sql is not None:
             whole = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in LONGS.get(name, ()))
             _ORACLES[name] = f"SELECT * REPLACE ({whole}) FROM ({sql})" if whole else sql
