@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps, all in Spark.
 
-Every step takes a minimum per node (combined before the shuffle) and joins it back, so a node
-with many neighbours never has them gathered in one task; each round ends in checkpoint files.
+Every step takes a minimum per node (combined before the shuffle) and joins it back over `SALTS`
+salted keys, so a node with many neighbours never has them gathered in one task; each round ends in
+checkpoint files.
 """
 
 from __future__ import annotations
@@ -11,6 +12,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm import _store
 
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (a, b) with the minimum m of their a; a hub's edges are dealt over SALTS tasks."""
+    salted = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(salted, ["a", "salt"]).drop("salt")
+
 
 def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node it reaches) of every node that is not its own root; edges: a, b."""
@@ -23,8 +32,8 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         mark = (seen["n"], seen["h"])
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _with_least(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
+        small = _with_least(large, least).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
         now = _store.cut(spark, small)
     raise RuntimeError("components did not settle")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.session import ship as ship
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,18 +46,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package's code, once a session; they may have no copy of it."""
-    context = spark.sparkContext
-    if getattr(context, "_quarry_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    target = os.path.join(tempfile.mkdtemp(prefix="quarry-code-"), "quarry_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "quarry")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    context.addPyFile(target)
-    context._quarry_shipped = True
+#: A key is hot from this share of the rows on, so there are at most 1 / HOT_SHARE hot keys.
+HOT_SHARE = 1 / 2000
+HOT_LEAST = 200
+
+
+def join_skewed(spark: SparkSession, rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Left join of rows to facts (one row per key, with the key's number of rows in `count`), hot keys apart.
+
+    Facts of hot keys are at most 1 / HOT_SHARE rows, whatever the data, so they are broadcast. Rows that
+    found theirs get scattered keys and pass the shuffled join without meeting in one task.
+    """
+    values = [c for c in facts.columns if c not in keys and c != count]
+    facts = cut(spark, facts)
+    total = facts.agg(F.sum(count).alias("n")).first()["n"] or 0
+    least = max(HOT_LEAST, int(total * HOT_SHARE) + 1)
+    hot = facts.filter(F.col(count) >= least).select(*keys, F.struct(*values).alias("_hot"))
+    tagged = rows.join(F.broadcast(hot), keys, "left")
+    # the first key stands in for all: scattered, it matches nothing that the others would confirm
+    scattered = tagged.withColumn("_key", F.when(F.col("_hot").isNotNull(), F.xxhash64(*[F.col(c) for c in rows.columns])).otherwise(F.col(keys[0]).cast("long")))
+    cold = facts.filter(F.col(count) < least).select(F.col(keys[0]).cast("long").alias("_key"), *keys[1:], F.struct(*values).alias("_cold"))
+    full = scattered.join(cold, ["_key", *keys[1:]], "left").withColumn("_cold", F.when(F.col("_hot").isNull(), F.col("_cold")))
+    return full.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col(f"_hot.{v}"), F.col(f"_cold.{v}")).alias(v) for v in values])

@@ -224,9 +224,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, key
     confirmed = texts.groupBy("bin", "x", "y").applyInArrow(_confirm(percent), "a long, b long")
     roots = _components.components(spark, confirmed)
     # what differs from the row's own key: copies of a class, and classes linked to a smaller one
-    moved = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 OR root IS NOT NULL").select("n", "f", "g", F.coalesce("root", "rep").alias("root"))
-    out = described.select("k", "n", "f", "g").join(moved, ["n", "f", "g"], "left")
-    component = F.coalesce("root", "k")
+    moved = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").filter("copies > 1 OR root IS NOT NULL").select("n", "f", "g", "copies", F.coalesce("root", "rep").alias("root"))
+    out = _store.join_skewed(spark, described.select("k", "n", "f", "g"), moved, ["n", "f", "g"], "copies").withColumnRenamed("root", "found")
+    component = F.coalesce("found", "k")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (component.eqNullSafe(F.col("k"))).alias("kept"))
 
 
