@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quarry.llm import _store
 
 #: Candidate hashes are broadcast up to this number of rows (16 bytes each); beyond it they are joined by shuffle.
-MOST_BROADCAST = 500_000
+MOST_BROADCAST = 200_000
 
 
 def _halves(line: Column) -> Column:
@@ -53,7 +53,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, least: int = 20, key: s
     lines = _lines(docs, key, text)
     long = F.col("n") >= least
     place = F.struct("k", "i")
-    distinct = lines.groupBy("h", "n").agg(F.min(place).alias("first"), F.min(F.when(long, _halves(F.col("line")))).alias("halves"))
+    distinct = lines.groupBy("h", "n").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min(F.when(long, _halves(F.col("line")))).alias("halves"))
     distinct = _store.cut(spark, distinct)
     halves = distinct.filter("halves IS NOT NULL").select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("half")
@@ -80,8 +80,9 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, least: int = 20, key: s
     theirs = words.select(F.col("h").alias("oh"), F.col("n").alias("on"), F.col("line").alias("other_line"))
     near = mine.join(theirs, (F.col("other.h") == F.col("oh")) & (F.col("other.n") == F.col("on")))
     near = near.filter(F.levenshtein("line", "other_line", 1).between(0, 1)).select("h", "n", F.lit(True).alias("near"))
-    judged = distinct.select("h", "n", "first").join(near, ["h", "n"], "left")
-    removed = lines.select("k", "i", "h", "n").join(judged, ["h", "n"]).filter(F.coalesce("near", F.lit(False)) | ~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("i") == F.col("first.i"))))
+    judged = distinct.select("h", "n", "first", "copies").join(near, ["h", "n"], "left").filter("copies > 1 OR near")
+    met = _store.join_skewed(spark, lines.select("k", "i", "h", "n"), judged, ["h", "n"], "copies").filter("first IS NOT NULL")
+    removed = met.filter(F.coalesce("near", F.lit(False)) | ~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("i") == F.col("first.i"))))
     return removed.select("k", "i").distinct()
 
 
