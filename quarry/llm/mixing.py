@@ -25,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm import _store
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 SALTS = 1024
 
@@ -51,6 +53,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     """key, size, source_size, target, copies, taken of each row. Reruns agree."""
     rows = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = rows.withColumn("salt", F.coalesce(F.pmod(F.col("k"), F.lit(SALTS)), F.lit(-1)).cast("int"))
+    rows = _store.cut(docs.sparkSession, rows)  # the texts are read once; from here on a row is a few numbers
     salted = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     sized = salted.groupBy("source", "size").agg(F.sum("n").alias("m"))
     smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
