@@ -231,7 +231,9 @@ def build_index(spark: SparkSession, table: DataFrame, key: str = "vec_id", vect
     shards = max(1, -(-rows.count() // (shard or SHARD)))
     # hashed twice, so that a shard's number of rows does not follow patterns in the ids
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.xxhash64("id")), F.lit(shards)).cast("int"))
-    return dealt.groupBy("dim", "shard").applyInArrow(_build, GRAPH)
+    # a shard is minutes of work in few bytes: a fixed number of partitions keeps them from being merged
+    tasks = max(_store.partitions(spark), 4 * shards)
+    return dealt.repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build, GRAPH)
 
 
 def search(spark: SparkSession, index: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", ef: int = EF_SEARCH) -> DataFrame:
