@@ -15,8 +15,9 @@ Jaccard index for sets of any size and no bucket stays empty.
    members are split into blocks, one task for each pair of blocks, so a task's size is bounded.
 4. The components of the confirmed links, plus the classes, are the result.
 
-Sets of fewer than 6 shingles can only be linked by equality at this threshold. A pair that meets the
-threshold shares no band with probability (1 - 0.85**8)**32 < 0.00004. A-Z are lower-cased; words are
+The threshold sets the least size that another set than an equal one can match (6 shingles at 85, 4 at
+80) and the bands: 32 of 8 registers at 85, 64 of 4 at 80, as wide as lets a pair at the threshold share
+no band with probability below 0.00004. A-Z are lower-cased; words are
 runs of bytes outside 09-0D and 20. With fewer than 5 words the whole sequence is the one shingle.
 Null, empty and blank texts have an empty set and are linked with nothing. Repeated rows get the same
 component each; an empty table gives no rows; extra columns are ignored.
@@ -37,7 +38,8 @@ from quarry.session import spread
 
 SHINGLE = 5
 BUCKETS = 256
-BANDS = 32
+#: Chance that a pair at the threshold shares no band.
+MISSED = 0.00004
 MANTISSA = 10
 #: Chance that two different hashes give the same register, of about equal sets.
 COLLISION = 1 / (3 * 2**MANTISSA)
@@ -89,10 +91,21 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return (zeros << MANTISSA) | ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def least(percent: int) -> int:
+    """The smallest set that can reach the threshold with a set other than its equal: n of n + 1 shingles."""
+    return -(-percent // (100 - percent)) if percent < 100 else np.iinfo(np.int64).max
+
+
+def band_width(percent: int) -> int:
+    """Registers of a band: the widest that misses no more than `MISSED` of the pairs at the threshold."""
+    return next((w for w in (8, 4, 2) if (1 - (percent / 100) ** w) ** (BUCKETS // w) < MISSED), 1)
+
+
+def band_keys(regs: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit key of each band of registers."""
-    words = np.ascontiguousarray(regs).view(U64).reshape(len(regs), BANDS, -1)
-    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64) * U64(B.BASE), words.shape[:2])
+    bands = BUCKETS // width
+    words = np.ascontiguousarray(regs).view(f"u{2 * min(width, 4)}").reshape(len(regs), bands, -1).astype(U64)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=U64) * U64(B.BASE), words.shape[:2])
     for i in range(words.shape[2]):
         h = B.mix(h ^ words[:, :, i]) + U64(i)
     return h.view(np.int64)
@@ -105,21 +118,26 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(np.array(a).view(np.int64)), int(np.array(b).view(np.int64))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """k, n, f, g and, from the least size that can be similar to another, bands."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 500):
-            rows = batch.slice(i, 500)
-            sets = shingles(rows.column(1))
-            prints = [fingerprint(s) for s in sets]
-            large = [r for r, s in enumerate(sets) if len(s) > SHINGLE]
-            bands: list[np.ndarray | None] = [None] * len(sets)
-            for r, x in zip(large, band_keys(registers([sets[r] for r in large])) if large else [], strict=True):
-                bands[r] = x
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([f for f, _ in prints], pa.int64()), pa.array([g for _, g in prints], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["k", "n", "f", "g", "bands"],
-            )
+    small, width = least(percent), band_width(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                rows = batch.slice(i, 500)
+                sets = shingles(rows.column(1))
+                prints = [fingerprint(s) for s in sets]
+                large = [r for r, s in enumerate(sets) if len(s) >= small]
+                bands: list[np.ndarray | None] = [None] * len(sets)
+                for r, x in zip(large, band_keys(registers([sets[r] for r in large]), width) if large else [], strict=True):
+                    bands[r] = x
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([f for f, _ in prints], pa.int64()), pa.array([g for _, g in prints], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["k", "n", "f", "g", "bands"],
+                )
+
+    return run
 
 
 def links(keys: np.ndarray, sets: list[np.ndarray], percent: int, other: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -202,7 +220,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, key
     """key, n_shingles, component_id, kept of each row; links need 100 * intersection >= percent * union."""
     _store.ship(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    described = _store.cut(spark, spread(rows).mapInArrow(_describe, "k long, n long, f long, g long, bands array<long>"))
+    described = _store.cut(spark, spread(rows).mapInArrow(_describe(percent), "k long, n long, f long, g long, bands array<long>"))
     full = described.filter("n > 0 AND k IS NOT NULL")
     classes = full.groupBy("n", "f", "g").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "k").alias("bands"))
     classes = _store.cut(spark, classes)

@@ -63,6 +63,20 @@ def test_against_all_pairs(spark, rows):
     assert got == brute(rows)
 
 
+def test_below_the_default_threshold(spark, rows):
+    words = [f"s{i}" for i in range(9)]
+    some = [*rows, (5000, " ".join(words)), (5001, " ".join(words[:8])), (5002, " ".join(words[:7]))]  # 5, 4 and 3 shingles
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(spark, docs, percent=80).collect())
+    assert got == brute(some, 80)
+
+
+@pytest.mark.parametrize(("percent", "size", "width"), [(85, 6, 8), (80, 4, 4), (60, 2, 2)])
+def test_layout_follows_the_threshold(percent, size, width):
+    assert (near_dedup.least(percent), near_dedup.band_width(percent)) == (size, width)
+    assert 100 * size >= percent * (size + 1) and 100 * (size - 1) < percent * size
+
+
 def test_blocks_of_large_components(spark, rows, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
