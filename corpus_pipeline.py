@@ -34,9 +34,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: a document stands as often as the mix takes it, not at all or up to twice."""
-    copies = mixing.mix_sources(docs).select("doc_id", "copies").filter("copies > 0")
-    taken = docs.join(copies, "doc_id")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    return mixing.take(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

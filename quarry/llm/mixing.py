@@ -49,11 +49,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return per.withColumn("level", level).select("source", "source_size", "source_docs", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """key, size, source_size, target, copies, taken of each row. Reruns agree."""
-    rows = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.col("k"), F.lit(SALTS)), F.lit(-1)).cast("int"))
-    rows = _store.cut(docs.sparkSession, rows)  # the texts are read once; from here on a row is a few numbers
+def _rows(docs: DataFrame, key: str, text: str, source: str, *more) -> DataFrame:
+    rows = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *more)
+    return rows.withColumn("salt", F.coalesce(F.pmod(F.col("k"), F.lit(SALTS)), F.lit(-1)).cast("int"))
+
+
+def _copies(rows: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int, order: list) -> DataFrame:
+    """The rows with source_size, target, copies."""
     salted = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
     sized = salted.groupBy("source", "size").agg(F.sum("n").alias("m"))
     smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,13 +67,33 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     # `sized` and `goal` hold a row per distinct size and per source; AQE broadcasts them while they are small.
     place = salted.alias("a").join(sized.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))).select(F.col("a.source").alias("source"), F.col("a.size").alias("size"), "salt", (F.col("base") + F.col("ahead")).alias("base"))
     place = place.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source"))).select("a.*", "source_size", "target", "offset")
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("k")))
-    a, p = ranked.alias("a"), place.alias("p")
-    full = a.join(p, F.col("a.source").eqNullSafe(F.col("p.source")) & (F.col("a.size") == F.col("p.size")) & (F.col("a.salt") == F.col("p.salt")))
+    # a null source by a column of its own: rank and join then share one shuffle of the rows
+    named = {"name": F.coalesce("source", F.lit("")), "unnamed": F.col("source").isNull()}
+    group = [*named, "size", "salt"]
+    ranked = rows.withColumns(named).withColumn("r", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    full = ranked.join(place.withColumns(named).drop("source"), group)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("base") + F.col("r")
     full = full.withColumn("copies", (F.floor(at * rate + F.col("offset")) - F.floor((at - 1) * rate + F.col("offset"))).cast("int"))
-    return full.select(F.col("k").alias(key), F.col("a.size").alias("size"), "source_size", "target", "copies", (F.col("a.size") * F.col("copies")).alias("taken"))
+    return full.select(*rows.columns, "source_size", "target", "copies")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """key, size, source_size, target, copies, taken of each row. Reruns agree."""
+    rows = _store.cut(docs.sparkSession, _rows(docs, key, text, source))  # the texts are read once; from here on a row is a few numbers
+    full = _copies(rows, weights, share, most, seed, ["k"])
+    return full.select(F.col("k").alias(key), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it.
+
+    Rows are carried whole, so null and repeated keys lose and add nothing. Rows of one key are ranked by a
+    hash of the whole row, so reruns agree.
+    """
+    rows = _rows(docs, key, text, source, F.struct(*docs.columns).alias("row"))
+    full = _copies(rows, weights, share, most, seed, ["k", F.xxhash64("row")]).filter("copies > 0")
+    return full.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,20 @@ def test_mix(stages):
     assert after.columns == before.columns
 
 
+def test_mix_null_and_repeated_ids(spark, stages):
+    rows = [(None if i % 3 == 0 else i % 4, " ".join(["w"] * (i % 5 + 1)), "en", "ab"[i % 2], i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix_sources(docs).collect():
+        want[r["doc_id"]] += r["copies"]
+    often = defaultdict(int)
+    for r in pipeline.mix_sources(spark, docs, "").collect():
+        got[r["doc_id"]] += 1
+        often[r["n_chars"]] += 1
+    assert got == {d: c for d, c in want.items() if c}
+    assert got[None] > 0 and max(often.values()) <= 2
+
+
 def test_tokens(stages):
     before, after = stages[4]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
