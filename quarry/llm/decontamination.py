@@ -11,7 +11,8 @@ The index is broadcast in blocks of at most `block_bytes` of benchmark text, one
 benchmark may grow; documents are never shuffled. Words are runs of ASCII letters, digits and
 non-ASCII bytes, with A-Z lower-cased, so punctuation doesn't hide a leak. An item with fewer words
 than `seed` must occur whole; one without words never leaks. Null and empty texts are clean; rows
-with equal keys are judged each for itself; repeated items are separate items; empty tables give
+with equal keys are judged each for itself; repeated items are separate items; items without an id count
+and are reported with a null item_id; empty tables give
 empty results or no leaks; extra columns, clashing or not, are kept where rows are passed on.
 """
 
@@ -35,7 +36,7 @@ from quarry.session import spread
 class Index:
     """Windows of all items of a block: for each width, sorted hashes with the item and place of each."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     sizes: np.ndarray
     by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -46,7 +47,7 @@ def _hashed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return B.span_hash(data, begin, end), first
 
 
-def build_index(ids: list[int], texts: list[str | None], seed: int) -> Index:
+def build_index(ids: list[int | None], texts: list[str | None], seed: int) -> Index:
     data, off = B.flat(pa.array(texts, pa.string()))
     hashes, first = _hashed(data, off)
     sizes = np.diff(first)
@@ -58,7 +59,7 @@ def build_index(ids: list[int], texts: list[str | None], seed: int) -> Index:
         h = B.window_hash(hashes, width)[ok]
         order = np.argsort(h, kind="stable")
         by_width[width] = (h[order], row[ok][order], (ok - first[row[ok]])[order])
-    return Index(np.array(ids, np.int64), sizes, by_width)
+    return Index(ids, sizes, by_width)
 
 
 def tile(item: np.ndarray, doc: np.ndarray, width: int) -> int:
@@ -89,13 +90,13 @@ def tile(item: np.ndarray, doc: np.ndarray, width: int) -> int:
     return len(in_item)
 
 
-def leaks(column: pa.Array, index: Index, threshold: float) -> list[list[tuple[int, float]]]:
-    """For each text its leaked items with the covered part of each, by item."""
+def leaks(column: pa.Array, index: Index, threshold: float) -> list[list[tuple[int | None, float]]]:
+    """For each text its leaked items with the covered part of each, by item, null first."""
     data, off = B.flat(column)
-    out: list[list[tuple[int, float]]] = []
+    out: list[list[tuple[int | None, float]]] = []
     for i, j in B.pieces(off):
         hashes, first = _hashed(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        found: list[list[tuple[int, float]]] = [[] for _ in range(j - i)]
+        found: list[list[tuple[int | None, float]]] = [[] for _ in range(j - i)]
         for width, (keys, items, places) in index.by_width.items():
             windows = B.window_hash(hashes, width)
             left = np.searchsorted(keys, windows)
@@ -118,8 +119,8 @@ def leaks(column: pa.Array, index: Index, threshold: float) -> list[list[tuple[i
                     continue
                 covered = tile(place[s:e], where[s:e], width) / size
                 if covered >= threshold:
-                    found[row[s]].append((int(index.ids[item[s]]), covered))
-        out += [sorted(f) for f in found]
+                    found[row[s]].append((index.ids[item[s]], covered))
+        out += [sorted(f, key=lambda x: (x[0] is not None, x)) for f in found]
     return out
 
 
@@ -129,8 +130,8 @@ def _blocks(spark: SparkSession, bench: DataFrame, seed: int, block_bytes: int,
     total = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     for b in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == b)
-        got = sorted(((r["i"], r["t"]) for r in part.collect() if r["i"] is not None), key=lambda r: (r[0], r[1] or ""))
+        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+        got = sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
         if got:
             yield spark.sparkContext.broadcast(build_index([i for i, _ in got], [t for _, t in got], seed))
 

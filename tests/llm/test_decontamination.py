@@ -84,3 +84,13 @@ def test_empty_tables(spark, no_docs, case):
     assert decontamination.find_leaks(spark, no_docs, items).count() == 0
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert not any(r["contaminated"] for r in decontamination.find_leaks(spark, frame, items.limit(0)).collect())
+
+
+@pytest.mark.parametrize("block", [16 << 20, 40])
+def test_items_without_id(spark, block):
+    bench = [(None, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (3, "red green blue black white grey")]
+    docs = [(1, "x one two three four five six y red green blue black white grey"), (2, "seven eight nine ten eleven twelve"), (3, "none of them")]
+    frame, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["items"]] for r in decontamination.find_leaks(spark, frame, items, block_bytes=block).collect()}
+    assert got == {1: [None, 3], 2: [None], 3: []}
+    assert [r["doc_id"] for r in decontamination.drop_leaks(spark, frame, items, block_bytes=block).collect()] == [3]
