@@ -6,12 +6,17 @@ document and an earlier line). Lines are judged on the input, not on what is lef
 
 1. Equal lines meet by hash and keep the first place (combined before the shuffle).
 2. One edit leaves the first or the last half of the shorter line untouched, so distinct lines are
-   keyed by their halves; only lines that share a half with another one go on. This filter loses
-   nothing, and what passes is a small part of a corpus.
+   keyed by their halves; only lines that share a half with another one go on. Of those the texts are
+   fetched from their first places, and the same is done again with all but one of `PIECES` pieces of the
+   line. These filters lose nothing, and what passes is a small part of a corpus.
 3. Those emit every deletion variant as a hashed key. Equal variants deleted at the same place differ
    by one replaced character; a variant that equals a whole line differs by one inserted one. Each key
-   keeps only its earliest line, so no pairs are emitted, and the edit distance of what is found is
-   verified.
+   keeps only its earliest line, so no pairs are emitted, and what is found is verified on the lines: an
+   edit at that place, and no other.
+
+A variant of fewer than `LONG` characters is built and hashed; longer ones are never built: their hash
+is a sum over characters and places, so running sums from both ends give all variants of a line in time
+in proportion to its length.
 
 Lines are split at newlines; lines without anything but spaces are never removed. Null and empty
 texts have no lines to remove; rows that share a key share their result; null keys come first and
@@ -30,6 +35,8 @@ from quarry.llm import _store
 
 #: Candidate hashes are broadcast up to this number of rows (16 bytes each); beyond it they are joined by shuffle.
 MOST_BROADCAST = 200_000
+PIECES = 8
+LONG = 256
 
 
 def _halves(line: Column) -> Column:
@@ -42,6 +49,39 @@ def _halves(line: Column) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def _but_a_piece(line: Column) -> Column:
+    """Hashes of the line without each of its pieces, cut as if it were the shorter or the longer one of a pair."""
+    n = F.length(line)
+    keys = []
+    for m in (n, n - 1):
+        for j in range(PIECES):
+            before = F.floor(m * j / PIECES).cast("int")
+            after = (m - F.floor(m * (j + 1) / PIECES)).cast("int")
+            # substring from 0 on would count 0 as 1, and one of no characters from the end is empty
+            tail = F.when(after > 0, F.substring(line, n - after + 1, after)).otherwise("")
+            keys.append(F.xxhash64(F.lit(j), m, F.substring(line, F.lit(1), before), tail))
+    return F.array(*keys)
+
+
+def _variants(chosen: DataFrame) -> DataFrame:
+    """h, n, first, p, v of every line (h, n, first, line): the hash v of the line without its character p; p = 0: of the whole line."""
+    short = F.when(F.col("n") <= LONG, F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.struct(p.alias("p"), F.xxhash64(F.concat(F.substring(F.col("line"), F.lit(1), p - 1), F.substring(F.col("line"), p + 1, F.col("n")))).alias("v"))))
+    whole = F.when(F.col("n") < LONG, F.array(F.struct(F.lit(0).alias("p"), F.xxhash64("line").alias("v"))))
+    some = chosen.filter(F.col("n") <= LONG).select("h", "n", "first", F.explode(F.concat(F.coalesce(whole, F.array().cast("array<struct<p:int,v:bigint>>")), short)).alias("x")).select("h", "n", "first", "x.p", "x.v")
+    # longer ones: characters as rows; a character's share in a hash depends on it and its place, which is one less behind the gap
+    chars = chosen.filter(F.col("n") >= LONG).select("h", "n", "first", F.posexplode(F.split("line", "")).alias("i", "c")).withColumn("p", F.col("i") + 1)
+    run = Window.partitionBy("h", "n").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("h", "n")
+    for seed in (1, 2):
+        own = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "c", "p"), 24)
+        moved = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "c", F.col("p") - 1), 24)
+        ahead, behind = F.sum(own).over(run) - own, F.sum(moved).over(line) - F.sum(moved).over(run)
+        chars = chars.withColumns({f"v{seed}": ahead + behind, f"w{seed}": ahead + own})
+    long = chars.filter(F.col("n") > LONG).select("h", "n", "first", F.col("p").cast("int").alias("p"), F.xxhash64("v1", "v2").alias("v"))
+    full = chars.filter("p = n").select("h", "n", "first", F.lit(0).alias("p"), F.xxhash64("w1", "w2").alias("v"))
+    return some.unionByName(long).unionByName(full)
+
+
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, i, line, h, n of every line with anything but spaces."""
     rows = docs.select(F.col(key).alias("k"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("i", "line"))
@@ -59,27 +99,38 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, least: int = 20, key: s
     shared = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("half")
     passing = halves.join(shared, "half", "left_semi").select("h").distinct()
     passing = _store.cut(spark, distinct.join(passing, "h", "left_semi").filter("halves IS NOT NULL").select("h", "n", "first"))
-    some = F.broadcast(passing) if passing.count() <= MOST_BROADCAST else passing
-    # the lines themselves, each once; a copy is as good as the first one
-    chosen = lines.filter(long).join(some, ["h", "n"]).filter((F.col("k").eqNullSafe(F.col("first.k"))) & (F.col("i") == F.col("first.i")))
-    chosen = _store.cut(spark, chosen.select("h", "n", "first", "line").dropDuplicates(["h", "n"]))
-    cut = F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: F.struct(p.alias("p"), F.xxhash64(F.concat(F.substring(F.col("line"), F.lit(1), p - 1), F.substring(F.col("line"), p + 1, F.col("n")))).alias("v")))
-    variants = chosen.select("h", "n", "first", F.explode(cut).alias("x")).select("h", "n", "first", "x.p", "x.v")
+    # the lines themselves from their first places, which no two lines share, so no key is hot
+    places = passing.groupBy(F.col("first.k").alias("k")).agg(F.collect_list(F.struct(F.col("first.i").alias("i"), "h", "n")).alias("wanted"))
+    some = F.broadcast(places) if passing.count() <= MOST_BROADCAST else places
+    texts = docs.select(F.col(key).alias("dk"), F.split(F.col(text).cast("string"), "\n").alias("lines"))
+    found = texts.join(some, F.col("dk").eqNullSafe(F.col("k"))).select("k", "lines", F.explode("wanted").alias("x")).select("k", "x.*", F.get("lines", F.col("x.i")).alias("line"))
+    # rows may share a key: the hash tells whose line it is
+    found = found.filter((F.xxhash64("line") == F.col("h")) & (F.length("line") == F.col("n")))
+    chosen = _store.cut(spark, found.select("h", "n", F.struct("k", "i").alias("first"), "line").dropDuplicates(["h", "n"]))
+    pieces = chosen.select("h", F.explode(_but_a_piece(F.col("line"))).alias("piece"))
+    shared = pieces.groupBy("piece").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("piece")
+    passing = pieces.join(shared, "piece", "left_semi").select("h").distinct()
+    chosen = _store.cut(spark, chosen.join(passing, "h", "left_semi"))
+    variants = _store.cut(spark, _variants(chosen))
     me = F.struct("first", "h", "n")
     # replaced: the earliest line with the same variant at the same place
     same = Window.partitionBy("v", "p", "n")
-    replaced = variants.withColumn("other", F.min(me).over(same)).filter("other.h <> h").select("h", "n", "first", "other")
+    replaced = variants.filter("p > 0").withColumn("other", F.min(me).over(same)).filter("other.h <> h").select("h", "n", "first", "other", "p")
     # inserted or deleted: the variant is the other line, which may come before or after
-    whole = chosen.select(F.col("h").alias("v"), F.col("n").alias("wn"), F.col("first").alias("wf"))
-    met = variants.join(whole, "v").filter("wn = n - 1")
-    shorter = met.select("h", "n", "first", F.struct(F.col("wf").alias("first"), F.col("v").alias("h"), F.col("wn").alias("n")).alias("other"))
-    longer = met.select(F.col("v").alias("h"), F.col("wn").alias("n"), F.col("wf").alias("first"), me.alias("other"))
-    found = replaced.unionByName(shorter).unionByName(longer).filter("other.first < first").groupBy("h", "n").agg(F.min("other").alias("other"))
+    whole = variants.filter("p = 0").select("v", F.col("h").alias("wh"), F.col("n").alias("wn"), F.col("first").alias("wf"))
+    met = variants.filter("p > 0").join(whole, "v").filter("wn = n - 1")
+    shorter = met.select("h", "n", "first", F.struct(F.col("wf").alias("first"), F.col("wh").alias("h"), F.col("wn").alias("n")).alias("other"), "p")
+    longer = met.select(F.col("wh").alias("h"), F.col("wn").alias("n"), F.col("wf").alias("first"), me.alias("other"), "p")
+    found = replaced.unionByName(shorter).unionByName(longer).filter("other.first < first").groupBy("h", "n").agg(F.min(F.struct("other", "p")).alias("x")).select("h", "n", "x.*")
     words = chosen.select("h", "n", "line")
     mine = found.join(words, ["h", "n"])
     theirs = words.select(F.col("h").alias("oh"), F.col("n").alias("on"), F.col("line").alias("other_line"))
     near = mine.join(theirs, (F.col("other.h") == F.col("oh")) & (F.col("other.n") == F.col("on")))
-    near = near.filter(F.levenshtein("line", "other_line", 1).between(0, 1)).select("h", "n", F.lit(True).alias("near"))
+    less = lambda x: F.concat(F.substring(x, F.lit(1), F.col("p") - 1), F.substring(x, F.col("p") + 1, F.length(x)))
+    # linear, where a general edit distance is not: without the character at p, of both or of the longer one, they are equal
+    one, two = F.col("line"), F.col("other_line")
+    equal = F.when(F.col("n") == F.col("on"), less(one) == less(two)).when(F.col("n") > F.col("on"), less(one) == two).otherwise(one == less(two))
+    near = near.filter(equal).select("h", "n", F.lit(True).alias("near"))
     judged = distinct.select("h", "n", "first", "copies").join(near, ["h", "n"], "left").filter("copies > 1 OR near")
     met = _store.join_skewed(spark, lines.select("k", "i", "h", "n"), judged, ["h", "n"], "copies").filter("first IS NOT NULL")
     removed = met.filter(F.coalesce("near", F.lit(False)) | ~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("i") == F.col("first.i"))))

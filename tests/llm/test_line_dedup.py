@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -72,6 +73,27 @@ def test_against_all_pairs(spark, rows, monkeypatch, broadcast):
     assert len(want) > 60
 
 
+@pytest.mark.parametrize("long", [1, 20, 41])
+def test_long_lines_hash_alike(spark, rows, monkeypatch, long):
+    monkeypatch.setattr(line_dedup, "LONG", long)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["k"], r["i"]) for r in line_dedup.repeated_lines(spark, docs).collect()}
+    assert got == brute(rows, 20)
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(2)
+    line = "".join(rng.choice("abc é") for _ in range(100_000))
+    at = [0, 1, 256, 50_000, 99_999]
+    rows = [(0, line)] + [(1 + i, line[:p] + "Q" + line[p + 1 :]) for i, p in enumerate(at)] + [(20 + i, line[:p] + line[p + 1 :]) for i, p in enumerate(at)]
+    rows += [(40, "Q" + line), (41, line + "Q"), (42, line[:70] + "QQ" + line[70:]), (43, line[:9] + "Q" + line[10:20] + "Q" + line[21:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r["k"] for r in line_dedup.repeated_lines(spark, docs).collect()}
+    assert got == {d for d, _ in rows} - {0, 42, 43}
+    assert time.time() - began < 60
+
+
 def test_empty_repeated_and_native(spark, no_docs):
     assert line_dedup.dedup_lines(spark, no_docs).count() == 0
     twice = spark.createDataFrame([(1, "same line"), (1, "same line"), (2, "same line")], "doc_id long, text string")
