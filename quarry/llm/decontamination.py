@@ -7,8 +7,11 @@ unmarked words is marked, what marked words cut off goes back if it is still `se
 so on until none is left. An item leaks if tiles cover at least `threshold` of its words, in
 whatever order the document has them.
 
-The index is broadcast in blocks of at most `block_bytes` of benchmark text, one scan each, so the
-benchmark may grow; documents are never shuffled. Words are runs of ASCII letters, digits and
+The index is broadcast; a benchmark of more than `block_bytes` of text is taken block by block, a scan
+and a job each, so one block is in memory at a time, and only the hashes of leaking texts are kept
+between scans. Documents are never shuffled for one block; for more they meet the leaks by the hash of
+their text. Tiling looks for the longest common run by halving its length over Karp-Rabin hashes of
+both sides, so its memory is that of a document and an item, however often their words repeat. Words are runs of ASCII letters, digits and
 non-ASCII bytes, with A-Z lower-cased, so punctuation doesn't hide a leak. An item with fewer words
 than `seed` must occur whole; one without words never leaks. Null and empty texts are clean; rows
 with equal keys are judged each for itself; repeated items are separate items; items without an id count
@@ -18,7 +21,6 @@ empty results or no leaks; extra columns, clashing or not, are kept where rows a
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,10 +36,12 @@ from quarry.session import spread
 
 @dataclass
 class Index:
-    """Windows of all items of a block: for each width, sorted hashes with the item and place of each."""
+    """Words of the items of a block and, for each width, sorted hashes of its windows: one row for each
+    hash and item, with the number of places."""
 
     ids: list[int | None]
-    sizes: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
     by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -56,123 +60,198 @@ def build_index(ids: list[int | None], texts: list[str | None], seed: int) -> In
     for width in sorted({min(seed, int(n)) for n in sizes if n}):
         ok = np.flatnonzero(B.inside(first, width))
         ok = ok[(sizes[row[ok]] == width) if width < seed else (sizes[row[ok]] >= seed)]
-        h = B.window_hash(hashes, width)[ok]
-        order = np.argsort(h, kind="stable")
-        by_width[width] = (h[order], row[ok][order], (ok - first[row[ok]])[order])
-    return Index(ids, sizes, by_width)
-
-
-def tile(item: np.ndarray, doc: np.ndarray, width: int) -> int:
-    """Words of an item covered by greedy tiling; item[i], doc[i]: places of the i-th pair of equal windows."""
-    order = np.lexsort((item, doc - item))
-    i, d = item[order], (doc - item)[order]
-    cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) != 1)) + 1
-    starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(i)]])
-    heap = [(-(int(e - s) + width - 1), int(i[s]), int(i[s] + d[s])) for s, e in zip(starts, ends, strict=True)]
-    heapq.heapify(heap)
-    in_item: set[int] = set()
-    in_doc: set[int] = set()
-    while heap:
-        size, a, b = heapq.heappop(heap)
-        free = [a + k not in in_item and b + k not in in_doc for k in range(-size)]
-        if all(free):
-            in_item.update(range(a, a - size))
-            in_doc.update(range(b, b - size))
-            continue
-        k = 0
-        while k < len(free):
-            n = k
-            while n < len(free) and free[n]:
-                n += 1
-            if n - k >= width:
-                heapq.heappush(heap, (k - n, a + k, b + k))
-            k = max(n, k + 1)
-    return len(in_item)
+        h, item = B.window_hash(hashes, width)[ok], row[ok]
+        order = np.lexsort((item, h))
+        h, item = h[order], item[order]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(item) != 0) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+        by_width[width] = (h[new], item[new], np.diff(np.append(new, len(h))))
+    return Index(ids, hashes, first, by_width)
+
+
+def _common(item: np.ndarray, doc: np.ndarray, free_i: np.ndarray, free_d: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of unmarked windows of `size` words in the item and in the document that have an equal one on the other side."""
+    open_i = np.flatnonzero(free_i >= size)
+    open_d = np.flatnonzero(free_d >= size)
+    hi, hd = B.window_hash(item, size)[open_i], B.window_hash(doc, size)[open_d]
+    both = np.intersect1d(hi, hd)
+    at_i, at_d = np.isin(hi, both), np.isin(hd, both)
+    return open_i[at_i], hi[at_i], open_d[at_d], hd[at_d]
+
+
+def _run(marked: np.ndarray) -> np.ndarray:
+    """How many unmarked words stand from each place on."""
+    n = len(marked)
+    stop = np.where(marked, np.arange(n), n)
+    return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)
+
+
+def tile(item: np.ndarray, doc: np.ndarray, width: int, apart: np.ndarray | None = None) -> int:
+    """Words of an item covered by greedy tiling with matches of at least `width` words; both as word hashes.
+
+    apart: places of the document that no match may cover. The longest match of unmarked words goes first,
+    of equal ones the first in the item, then in the document.
+    """
+    mark_i, mark_d = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+    if apart is not None:
+        mark_d[apart] = True
+    most = min(len(item), len(doc))
+    while True:
+        free_i, free_d = _run(mark_i), _run(mark_d)
+        low, high, best = width, min(most, int(free_i.max(initial=0)), int(free_d.max(initial=0))), None
+        while low <= high:  # a common run of some length holds one of every smaller length
+            middle = (low + high + 1) // 2 if best is not None else low
+            found = _common(item, doc, free_i, free_d, middle)
+            if len(found[0]):
+                best, size, low = found, middle, middle + 1
+            else:
+                high = middle - 1
+        if best is None:
+            return int(mark_i.sum())
+        places = best[2][np.argsort(best[3], kind="stable")]
+        values = np.sort(best[3], kind="stable")
+        next_: dict[int, int] = {}
+        for a, h in zip(best[0].tolist(), best[1].tolist(), strict=True):
+            if mark_i[a : a + size].any():
+                continue
+            at = next_.get(h, int(np.searchsorted(values, np.uint64(h))))
+            while at < len(values) and values[at] == np.uint64(h) and mark_d[places[at] : places[at] + size].any():
+                at += 1
+            next_[h] = at
+            if at < len(values) and values[at] == np.uint64(h):
+                mark_i[a : a + size] = True
+                mark_d[places[at] : places[at] + size] = True
+        most = size
+
+
+def _near(hit: np.ndarray, width: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that windows starting at `hit` cover, run by run with a gap between, and the places of the gaps."""
+    runs = np.flatnonzero(np.diff(hit) > width) + 1
+    parts, gaps, n = [], [], 0
+    for a, b in zip([0, *runs.tolist()], [*runs.tolist(), len(hit)], strict=True):
+        part = hashes[hit[a] : hit[b - 1] + width]
+        parts += [part, np.zeros(1, np.uint64)]
+        n += len(part) + 1
+        gaps.append(n - 1)
+    return np.concatenate(parts), np.array(gaps)
 
 
 def leaks(column: pa.Array, index: Index, threshold: float) -> list[list[tuple[int | None, float]]]:
     """For each text its leaked items with the covered part of each, by item, null first."""
     data, off = B.flat(column)
+    sizes = np.diff(index.first)
     out: list[list[tuple[int | None, float]]] = []
     for i, j in B.pieces(off):
         hashes, first = _hashed(data[off[i] : off[j]], off[i : j + 1] - off[i])
         found: list[list[tuple[int | None, float]]] = [[] for _ in range(j - i)]
         for width, (keys, items, places) in index.by_width.items():
             windows = B.window_hash(hashes, width)
-            left = np.searchsorted(keys, windows)
-            hit = np.flatnonzero((keys[np.minimum(left, len(keys) - 1)] == windows) & B.inside(first, width)) if len(windows) else left
-            if not len(hit):
+            if not len(windows) or not len(keys):
                 continue
-            lo, hi = left[hit], np.searchsorted(keys, windows[hit], "right")
-            n = hi - lo
-            pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            at = np.repeat(hit, n)
-            row = np.searchsorted(first, at, "right") - 1
-            item, place, where = items[pick], places[pick], at - first[row]
-            order = np.lexsort((item, row))
-            row, item, place, where = row[order], item[order], place[order], where[order]
-            cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(row)], strict=True):
-                size = int(index.sizes[item[s]])
+            left = np.searchsorted(keys, windows)
+            hit = np.flatnonzero((keys[np.minimum(left, len(keys) - 1)] == windows) & B.inside(first, width))
+            edge = np.searchsorted(hit, first)
+            for row in np.flatnonzero(np.diff(edge)).tolist():
+                mine = hit[edge[row] : edge[row + 1]]
+                lo = np.unique(left[mine])  # a window that repeats in the document counts once
+                hi = np.searchsorted(keys, keys[lo], "right")
+                n = hi - lo
+                pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                which, back = np.unique(items[pick], return_inverse=True)
                 # a window adds at most its own width to what tiles can cover
-                if width * len(np.unique(place[s:e])) < threshold * size:
+                reach = np.bincount(back, places[pick]) * width
+                some = which[reach >= threshold * sizes[which]]
+                if not len(some):
                     continue
-                covered = tile(place[s:e], where[s:e], width) / size
-                if covered >= threshold:
-                    found[row[s]].append((index.ids[item[s]], covered))
+                words, gaps = _near(mine, width, hashes)
+                for x in some.tolist():
+                    item = index.hashes[index.first[x] : index.first[x + 1]]
+                    covered = tile(item, words, width, gaps) / int(sizes[x])
+                    if covered >= threshold:
+                        found[row].append((index.ids[x], covered))
         out += [sorted(f, key=lambda x: (x[0] is not None, x)) for f in found]
     return out
 
 
-def _blocks(spark: SparkSession, bench: DataFrame, seed: int, block_bytes: int, item: str, text: str) -> Iterator:
-    """Broadcast indexes of the benchmark, block after block; a block is what the driver holds at once."""
+def _blocks(spark: SparkSession, bench: DataFrame, block_bytes: int, item: str, text: str) -> list[DataFrame]:
+    """The benchmark in blocks of about half of `block_bytes` of text each; a block is what the driver holds at once."""
     rows = bench.select(F.col(item).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    for b in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        got = sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-        if got:
-            yield spark.sparkContext.broadcast(build_index([i for i, _ in got], [t for _, t in got], seed))
+    return [rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
 
 
-def find_leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """key, contaminated, items (array<struct<item_id, coverage>>) of each row."""
-    _store.ship(spark)
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.array().cast("array<struct<item_id:bigint,coverage:double>>").alias("items"))
+def _index(spark: SparkSession, part: DataFrame, seed: int):
+    got = sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    return spark.sparkContext.broadcast(build_index([i for i, _ in got], [t for _, t in got], seed))
+
+
+ITEMS = "array<struct<item_id:bigint,coverage:double>>"
+_ITEMS = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
+
+
+def _as_items(found: list[list[tuple[int | None, float]]]) -> pa.Array:
+    return pa.array([[{"item_id": i, "coverage": c} for i, c in f] for f in found], _ITEMS)
+
+
+def _leaking_texts(spark: SparkSession, docs: DataFrame, blocks: list[DataFrame], seed: int, threshold: float, text: str) -> DataFrame:
+    """h, g (128 bits of a text), items of the texts that leak, over all blocks: a job and an index at a time."""
+    rows = spread(docs.select(F.col(text).cast("string").alias("t"))).select(F.xxhash64("t").alias("h"), F.xxhash64(F.lit(8), "t").alias("g"), "t").filter("t IS NOT NULL")
 
     def scan(index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                new = leaks(batch.column(1), index.value, threshold)
-                lists = [old + [{"item_id": i, "coverage": c} for i, c in n] for old, n in zip(batch.column(2).to_pylist(), new, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())])))], ["k", "t", "items"])
+                found = leaks(batch.column(2), index.value, threshold)
+                full = pa.array([bool(f) for f in found], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _as_items(found)], ["h", "g", "items"]).filter(full)
 
         return run
 
-    rows = spread(rows)
-    for index in _blocks(spark, bench, seed, block_bytes, item, "text"):
-        rows = rows.mapInArrow(scan(index), f"k {kind}, t string, items array<struct<item_id:bigint,coverage:double>>")
-    return rows.select(F.col("k").alias(key), (F.size("items") > 0).alias("contaminated"), F.array_sort("items").alias("items"))
+    parts = []
+    for part in blocks:
+        index = _index(spark, part, seed)
+        path = _store.scratch(spark, "leaks")
+        rows.mapInArrow(_store.lean(scan(index)), f"h long, g long, items {ITEMS}").dropDuplicates(["h", "g"]).write.parquet(path)
+        index.destroy()
+        parts.append(path)
+    found = spark.read.parquet(*parts)
+    return found.groupBy("h", "g").agg(F.flatten(F.collect_list("items")).alias("items"))
 
 
-def drop_leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20, text: str = "text", item: str = "item_id") -> DataFrame:
-    """The clean rows of docs, all columns."""
+def find_leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """key, contaminated, items (array<struct<item_id, coverage>>) of each row."""
     _store.ship(spark)
-    place = docs.columns.index(text)
-
-    def scan(index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = docs.schema[key].dataType.simpleString()
+    blocks = _blocks(spark, bench, block_bytes, item, "text")
+    if len(blocks) > 1:
+        found = _leaking_texts(spark, docs, blocks, seed, threshold, text)
+        rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("h"), F.xxhash64(F.lit(8), F.col(text).cast("string")).alias("g"))
+        rows = rows.join(found, ["h", "g"], "left").withColumn("items", F.coalesce("items", F.array().cast(ITEMS)))
+    else:
+        index = _index(spark, blocks[0], seed)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not x for x in leaks(batch.column(place), index.value, threshold)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), _as_items(leaks(batch.column(1), index.value, threshold))], ["k", "items"])
+
+        rows = spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))).mapInArrow(_store.lean(scan), f"k {kind}, items {ITEMS}")
+    return rows.select(F.col("k").alias(key), (F.size("items") > 0).alias("contaminated"), F.array_sort("items").alias("items"))
 
-        return run
 
-    rows = docs
-    for index in _blocks(spark, bench, seed, block_bytes, item, "text"):
-        rows = rows.mapInArrow(scan(index), docs.schema)
-    return rows
+def drop_leaks(spark: SparkSession, docs: DataFrame, bench: DataFrame, seed: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20, text: str = "text", item: str = "item_id") -> DataFrame:
+    """The clean rows of docs, all columns."""
+    _store.ship(spark)
+    blocks = _blocks(spark, bench, block_bytes, item, "text")
+    if len(blocks) > 1:
+        found = _leaking_texts(spark, docs, blocks, seed, threshold, text).select(F.col("h").alias("_leak_h"), F.col("g").alias("_leak_g"))
+        whole = F.col(text).cast("string")
+        return docs.join(found, (F.xxhash64(whole) == F.col("_leak_h")) & (F.xxhash64(F.lit(8), whole) == F.col("_leak_g")), "left_anti")
+    index, place = _index(spark, blocks[0], seed), docs.columns.index(text)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not x for x in leaks(batch.column(place).cast(pa.string()), index.value, threshold)], pa.bool_()))
+
+    return docs.mapInArrow(_store.lean(scan), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
