@@ -103,8 +103,10 @@ def test_registers_estimate_jaccard():
         assert abs(np.mean(errors)) < 0.03
 
 
+@pytest.mark.parametrize("small", [0, 20, 10**6])
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (3, 4), (9, 8)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)] + [(100, 39), (100, 101)]])
-def test_components(spark, edges):
+def test_components(spark, edges, small, monkeypatch):
+    monkeypatch.setattr(_components, "SMALL", small)
     got = dict(tuple(r) for r in _components.components(spark, spark.createDataFrame(edges, "a long, b long")).collect())
     parent = {x: x for e in edges for x in e}
     for _ in range(len(edges)):

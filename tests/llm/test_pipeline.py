@@ -39,7 +39,7 @@ def test_quality(spark, sf, stages):
 def test_near(stages):
     before, after = stages[1]
     rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-    assert ids(after) == [d for d, _, _, kept in brute_near(rows) if kept]
+    assert ids(after) == [d for d, _, _, kept in brute_near(rows, 80) if kept]
 
 
 def test_leaks(spark, sf, stages):
