@@ -19,7 +19,9 @@ from quarry.llm import _bytes as B
 LETTER, NUMBER, SPACE, OTHER, FOREIGN = 1, 2, 3, 4, 0
 #: Two-byte UTF-8 from here on is left to the library.
 LIMIT = 0x240
-MOST_KEPT = 2_500_000
+MOST_KEPT = 1_000_000
+#: Bytes of text that are split at once.
+PIECE = 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -119,6 +121,12 @@ def split(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.nd
     return begin, end
 
 
+def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Two tables with keys in order, the first column, as one; they share no key."""
+    place = np.searchsorted(a[0], b[0])
+    return tuple(np.insert(x, place, y) for x, y in zip(a, b, strict=True))
+
+
 class Coder:
     """Token ids, or only their number, of texts; keeps what it merged, up to a fixed number of pre-tokens."""
 
@@ -133,9 +141,8 @@ class Coder:
         self.reset()
 
     def reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
+        """Two sorted tables of pre-tokens: a large one, and a small one that joins it when it has grown."""
+        self.tables = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))] * 2
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -143,10 +150,9 @@ class Coder:
         return [t.id for t in self.tokenize(piece.decode("latin-1").translate(self.table))]
 
     def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > MOST_KEPT:
-            self.reset()
+        """Merge new pre-tokens (keys in order) and keep place and number of their ids."""
         size = np.ones(len(keys), np.int32)
-        at = np.zeros(len(keys), np.int64)
+        at = np.zeros(len(keys), np.int32)
         whole = np.zeros(len(keys), bool)
         if self.known is not None:
             i = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
@@ -165,31 +171,37 @@ class Coder:
             size[rest] = [len(tokenize(raw[j].decode("latin-1").translate(table))) for j in rest]
         if new:
             if base + len(new) > len(self.pool):
-                self.pool = np.concatenate([self.pool[:base], np.zeros(max(len(self.pool), len(new)), np.uint32)])
+                self.pool = np.concatenate([self.pool[:base], np.zeros(max(len(self.pool) // 2, len(new)), np.uint32)])
             self.pool[base : base + len(new)] = new
             self.used += len(new)
-        place = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, place, keys)
-        self.at = np.insert(self.at, place, at)
-        self.size = np.insert(self.size, place, size)
-
-    def _find(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Places in the kept arrays of each pre-token."""
+        large, small = self.tables
+        small = _merged(small, (keys, at, size))
+        if len(small[0]) > 1 << 16 and len(small[0]) * 4 > len(large[0]):
+            large, small = _merged(large, small), tuple(a[:0] for a in small)
+        self.tables = [large, small]
+
+    def _find(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and number of ids of each pre-token."""
         keys, first, back = np.unique(B.span_hash(data, begin, end), return_index=True, return_inverse=True)
-        new = self._missing(keys)
-        if len(new):
-            if len(self.keys) + len(new) > MOST_KEPT:
+        at, size, known = self._kept(keys)
+        if not known.all():
+            if sum(len(t[0]) for t in self.tables) + int((~known).sum()) > MOST_KEPT:
                 self.reset()
-                new = np.arange(len(keys))
-            f = first[new]
-            self._learn(keys[new], [data[a:b].tobytes() for a, b in zip(begin[f].tolist(), end[f].tolist(), strict=True)])
-        return np.searchsorted(self.keys, keys)[back]
-
-    def _missing(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.arange(len(keys))
-        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.flatnonzero(self.keys[i] != keys)
+                known[:] = False
+            f = first[~known]
+            self._learn(keys[~known], [data[a:b].tobytes() for a, b in zip(begin[f].tolist(), end[f].tolist(), strict=True)])
+            at, size, _ = self._kept(keys)
+        return at[back], size[back]
+
+    def _kept(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at, size, known = np.zeros(len(keys), np.int32), np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+        for have, where, number in self.tables:
+            if len(have):
+                i = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[i] == keys
+                at[hit], size[hit] = where[i[hit]], number[i[hit]]
+                known |= hit
+        return at, size, known
 
     def _simple(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Rows that `split` handles: proven characters only and no special string."""
@@ -222,7 +234,7 @@ class Coder:
         """Number of tokens of each text, and all ids one after another (empty if only numbers are wanted)."""
         data, off = B.flat(column)
         counts, out = [], []
-        for i, j in B.pieces(off):
+        for i, j in B.pieces(off, PIECE):
             c, x = self._rows(data[off[i] : off[j]], off[i : j + 1] - off[i])
             counts.append(c)
             out.append(x)
@@ -252,14 +264,14 @@ class Coder:
         begin, end = split(data, off, self.classes)
         if not len(begin):
             return np.zeros(len(off) - 1, np.int64), np.zeros(0, np.uint32)
-        place = self._find(data, begin, end)
-        size = self.size[place].astype(np.int64)
+        at, size = self._find(data, begin, end)
+        size = size.astype(np.int64)
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
         edge = total[np.searchsorted(begin, off)]
         if not self.ids:
             return np.diff(edge), np.zeros(0, np.uint32)
-        where = np.repeat(self.at[place] - total[:-1], size) + np.arange(total[-1])
+        where = np.repeat(at - total[:-1], size) + np.arange(total[-1])
         return np.diff(edge), self.pool[where]
 
 

@@ -17,7 +17,8 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 MASK = (1 << 64) - 1
-CHUNK = 2 << 20
+CHUNK = 512 << 10
+KEPT = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -43,18 +44,18 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n; kept for reuse."""
+    """base**i and base**-i modulo 2**64 for i below n; up to `KEPT` of them stay for reuse."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16, 0 if have is None else 2 * len(have[0]))
-        size = n if size > 1 << 23 else size
+        size = n if n > KEPT else min(KEPT, max(n, 1 << 16, 0 if have is None else 2 * len(have[0])))
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, U64)
             a[0] = 1
             both.append(np.multiply.accumulate(a))
         have = (both[0], both[1])
-        _POWERS[base] = have
+        if size <= KEPT:
+            _POWERS[base] = have
     return have
 
 

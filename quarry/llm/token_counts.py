@@ -37,7 +37,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
 
     kind = docs.schema[key].dataType.simpleString()
     rows = spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
-    return rows.mapInArrow(count, f"k {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("k", key)
+    return rows.mapInArrow(_store.lean(count), f"k {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("k", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

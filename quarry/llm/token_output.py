@@ -51,7 +51,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, out: str, path: str, end_
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     dealt = rows.repartitionByRange(_store.partitions(spark), "k").sortWithinPartitions("k", F.octet_length("t"), "t")
-    coded = dealt.mapInArrow(encode, f"k {kind}, part int, offset long, n_tokens long, ids array<int>").withColumnRenamed("k", key)
+    coded = dealt.mapInArrow(_store.lean(encode), f"k {kind}, part int, offset long, n_tokens long, ids array<int>").withColumnRenamed("k", key)
     options = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.dictionary.page.size": 1 << 20, "parquet.page.write-checksum.enabled": "true", "compression": "zstd"}
     coded.write.options(**{k: str(v) for k, v in options.items()}).mode("errorifexists").parquet(out)
 
@@ -88,7 +88,7 @@ def digest(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], ["k", "start", "n_tokens", "ids_crc32"])
 
     kind = tokens.schema[key].dataType.simpleString()
-    return tokens.select(F.col(key).alias("k"), "start", "n_tokens", "ids").mapInArrow(crc, f"k {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("k", key)
+    return tokens.select(F.col(key).alias("k"), "start", "n_tokens", "ids").mapInArrow(_store.lean(crc), f"k {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("k", key)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, path: str, out: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

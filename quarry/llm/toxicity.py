@@ -9,8 +9,8 @@ Features are the distinct words of the whole text (letters and digits, A-Z lower
 64 bits; the model keeps the `most` words whose frequency in P differs most from that in U.
 Fitting uses at most `positives` and `unlabelled` rows (documented bounds, chosen by a hash of the
 key); scoring is one pass over all texts, without a shuffle. Null and empty texts get the score of
-a text without known words; rows with equal keys are scored each; without any confirmed toxic row
-all scores are the prior; extra columns are ignored.
+a text without known words; rows with equal keys are scored each; a document labelled both toxic and not
+counts as toxic; without any confirmed toxic row all scores are the prior; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.5, key: str = "doc_id",
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["k", "score", "predicted"])
 
-    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))).mapInArrow(run, f"k {kind}, score double, predicted int")
+    rows = spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))).mapInArrow(_store.lean(run), f"k {kind}, score double, predicted int")
     return rows.select(F.col("k").alias(key), _sample.held_out("k").alias("held_out"), "score", "predicted")
 
 
