@@ -22,9 +22,14 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each group stays, the one with the smallest id."""
-    gone = near_dedup.near_duplicates(spark, docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Operator 10 at a similarity of 0.8: one document of each group stays, the one with the smallest id.
+
+    A row is judged by its id and text, so rows that share an id go or stay each for itself, equal rows of
+    one id stay or go together, and rows without id stay.
+    """
+    gone = near_dedup.near_duplicates(spark, docs, percent=80, mark=True).filter(~F.col("kept")).select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("k")) & (F.xxhash64("text") == F.col("h"))
+    return docs.join(gone, same, "left_anti")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
