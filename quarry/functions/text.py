@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,22 +95,35 @@ def tokens_exact(value: Column) -> Column:
     return _mapped(lambda v: " ".join(t for t in re.findall(r"\w+", _fold(v)) if any(c.isalnum() for c in t)))(value)
 
 
+def _window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of `width` values, from two overlapping runs of a power of two."""
+    done, h = 1, ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    while done < width:
+        step = min(done, width - done)
+        h = (h[: len(h) - step] ^ (h[: len(h) - step] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[step:] * np.uint64(0x94D049BB133111EB)
+        done += step
+    return h
+
+
+def common_run(a: list[str], b: list[str]) -> int:
+    """Length of the longest run of tokens in both: its length is halved, as a run holds all shorter ones."""
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(t, len(number) + 1) for t in side], np.int64) for side in (a, b))
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if len(np.intersect1d(_window_hashes(x, middle), _window_hashes(y, middle))):
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def longest_common_run(a: Column, b: Column) -> Column:
     """Length of the longest run of tokens that two token arrays share, over the length of the first."""
 
     def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            best, before = 0, [0] * (len(y or []) + 1)
-            for s in x or []:
-                now = [0] * len(before)
-                for j, t in enumerate(y or [], 1):
-                    if s == t:
-                        now[j] = before[j - 1] + 1
-                        best = max(best, now[j])
-                before = now
-            out.append(best / len(x) if x else 0.0)
-        return pa.array(out, pa.float64())
+        return pa.array([common_run(x, y or []) / len(x) if x else 0.0 for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
 
     return F.arrow_udf(run, "double")(a, b)
 

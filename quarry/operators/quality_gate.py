@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 # Parts of field names whose values are never shown.
-SENSITIVE = ("password", "secret", "token", "api_key", "apikey", "authorization", "credential", "storage_key")
+SENSITIVE = ("password", "token", "secret", "api_key", "authorization", "connection", "database_url", "sql")
 
 
 def text_health(df: DataFrame, text: str, least: int = 20, share: float = 0.9) -> DataFrame:
@@ -56,23 +56,40 @@ def heading_levels(blocks: DataFrame, document: str, order: str, size: str, weig
     return large.withColumn("_r", F.row_number().over(Window.partitionBy(document).orderBy(order))).filter(F.col("_r") <= limit).drop("_r", "_body")
 
 
-def summarize_arguments(arguments: Column) -> Column:
-    """A map as JSON: at most 20 keys in order, sensitive ones redacted, values up to 200 characters."""
+def shortened(value: object, most: int) -> str:
+    text = str(value)
+    return text if len(text) <= most else text[: most - 3] + "..."
+
+
+def shown_fields(fields: dict, most: int, depth: int) -> dict:
+    """The first `most` fields by name, sensitive ones hidden, and how many were left out."""
+    names = sorted(fields)
+    out = {shortened(k, 100): "[REDACTED]" if any(s in shortened(k, 100).lower().replace("-", "_") for s in SENSITIVE) else shown_value(fields[k], depth) for k in names[:most]}
+    return out if len(names) <= most else out | {"_truncated_fields": len(names) - most}
+
 
-    def short(v: str | None, most: int) -> str | None:
-        return v if v is None or len(v) <= most else v[: most - 3] + "..."
+def shown_value(value: object, depth: int) -> object:
+    """Two levels of structure, ten entries of each, texts up to 200 characters."""
+    if depth > 1:
+        return "[TRUNCATED]"
+    if isinstance(value, dict):
+        return shown_fields(value, 10, depth + 1)
+    if isinstance(value, list):
+        return [shown_value(v, depth + 1) for v in value[:10]] + ["[TRUNCATED]"] * (len(value) > 10)
+    return shortened(value, 200) if isinstance(value, str) else value
+
+
+def summarize_arguments(arguments: Column) -> Column:
+    """A JSON object as bounded JSON: at most 20 fields in order, see `shown_fields`; {} for what is no object."""
 
-    def run(maps: pa.Array) -> pa.Array:
+    def run(rows: pa.Array) -> pa.Array:
         out = []
-        for m in maps.to_pylist():
-            pairs = sorted(dict(m or []).items())
-            shown = {}
-            for k, v in pairs[:20]:
-                k = short(k, 100)
-                shown[k] = "[REDACTED]" if any(s in k.lower().replace("-", "_") for s in SENSITIVE) else short(v, 200)
-            if len(pairs) > 20:
-                shown["_truncated_fields"] = len(pairs) - 20
-            out.append(json.dumps(shown, sort_keys=True, ensure_ascii=False))
+        for text in rows.to_pylist():
+            try:
+                fields = json.loads(text or "{}")
+            except ValueError:
+                fields = {}
+            out.append(json.dumps(shown_fields(fields if isinstance(fields, dict) else {}, 20, 0), sort_keys=True, ensure_ascii=False))
         return pa.array(out, pa.string())
 
     return F.arrow_udf(run, "string")(arguments)

@@ -106,7 +106,8 @@ def first_failure(rules: Sequence[tuple[Column, str]], otherwise: str = "allowed
     return out
 
 
-def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: are both tables equal as multisets."""
-    left, right = a.exceptAll(b), b.exceptAll(a)
-    return left.agg(F.count("*").alias("l")).crossJoin(right.agg(F.count("*").alias("r"))).select((F.col("l") + F.col("r") == 0).alias("equal"))
+def cohort_relation(df: DataFrame, keys: Sequence[str], first: Column, second: Column) -> DataFrame:
+    """Per group, how the rows of the first cohort stand to those of the second: equal, subset, superset or overlapping."""
+    per = df.groupBy(*keys).agg(F.count_if(first & ~second).alias("a"), F.count_if(~first & second).alias("b"))
+    a, b = F.col("a") == 0, F.col("b") == 0
+    return per.select(*keys, F.when(a & b, "equal").when(a, "subset").when(b, "superset").otherwise("overlapping").alias("relation"))

@@ -85,12 +85,14 @@ def _(spark, d):
     return rows.select("conv_id", "turn", text.safe_memory(F.col("t")).alias("safe"))
 
 
-@query("h12_argument_summary")
+@query("h12_argument_summary", """
+SELECT event_id, '{"api_key": "[REDACTED]", "extra": {"k": ' || json_extract_string(props, '$.k') || '}, "filters": {"a": {"b": "[TRUNCATED]"}, "sql_text": "[REDACTED]"}, "ids": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, "[TRUNCATED]"], "note": "' || repeat('x', 197) || '..."}' AS summary FROM events
+""")
 def _(spark, d):
-    """Bounded arguments: keys in order, sensitive ones redacted, long texts cut."""
-    rows = table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"), F.lit("x" * 300).alias("note"))
-    full = F.map_concat("m", F.create_map(F.lit("note"), F.col("note"), F.lit("api_key"), F.lit("s3cr3t")))
-    return rows.select("event_id", quality_gate.summarize_arguments(full).alias("summary"))
+    """Bounded arguments: names in order, sensitive ones hidden, long texts and lists and deep structures cut."""
+    fixed = '"note": "' + "x" * 300 + '", "api_key": "s3cr3t", "filters": {"sql_text": "select 1", "a": {"b": 1}}, "ids": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]'
+    arguments = F.concat(F.lit("{" + fixed + ', "extra": '), "props", F.lit("}"))
+    return table(spark, d, "events").select("event_id", quality_gate.summarize_arguments(arguments).alias("summary"))
 
 
 @query("h13_canonical_json", "SELECT event_id, sha256('{\"event_type\":\"' || event_type || '\",\"ids\":{\"event\":' || event_id || ',\"user\":' || user_id || '}}') AS digest FROM events")

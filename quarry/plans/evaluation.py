@@ -67,10 +67,10 @@ def _(spark, d):
 
 
 @query("e07_near_duplicate_rows", r"""
-WITH r AS (SELECT doc_id, lang, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS m, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM documents WHERE doc_id < 400)
+WITH r AS (SELECT doc_id, lang, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS m, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS t FROM documents)
 SELECT a.doc_id FROM r a WHERE EXISTS (SELECT 1 FROM r b WHERE b.doc_id < a.doc_id AND (a.m = b.m OR (len(a.t) >= 20 AND len(b.t) >= 20 AND len(a.t) * 0.9 <= len(b.t) AND len(b.t) * 0.9 <= len(a.t)
   AND len(list_intersect(a.t, b.t)) >= 0.9 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))))))
-""".replace(" WHERE doc_id < 400", ""))
+""")
 def _(spark, d):
     return near_text.repeats(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id")
 
@@ -136,7 +136,7 @@ def _(spark, d):
     return rows.groupBy("cutoff").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("hit"), 6).alias("hit_rate"))
 
 
-REASON = "CASE query_id % 100 WHEN 0 THEN 'acl_denied' WHEN 25 THEN 'version_unavailable' WHEN 50 THEN 'unknown' ELSE 'source_rejected' END"
+REASON = "CASE query_id // 100 % 4 WHEN 0 THEN 'acl_denied' WHEN 1 THEN 'version_unavailable' WHEN 2 THEN 'unknown' ELSE 'source_rejected' END"
 
 
 @query("n02_no_answer_leakage", with_views(f"SELECT query_id, {REASON} AS reason, least(count(*), 10) AS returned, CASE WHEN {REASON} = 'unknown' THEN NULL ELSE coalesce(bool_or(rank <= 10 AND candidate_id % 16 = 0), false) END AS false_recall FROM ranked GROUP BY query_id"))
@@ -146,8 +146,8 @@ def _(spark, d):
 
 def no_answer(ranked, cutoff):
     """Leakage of protected candidates; not judged where the reason protects nothing."""
-    m = F.col("query_id") % 100
-    reason = F.when(m == 0, "acl_denied").when(m == 25, "version_unavailable").when(m == 50, "unknown").otherwise("source_rejected")
+    m = F.floor(F.col("query_id") / 100) % 4
+    reason = F.when(m == 0, "acl_denied").when(m == 1, "version_unavailable").when(m == 2, "unknown").otherwise("source_rejected")
     leak = F.bool_or((F.col("rank") <= cutoff) & (F.col("candidate_id") % 16 == 0))
     per = ranked.groupBy("query_id").agg(F.least(F.count("*"), F.lit(cutoff)).alias("returned"), leak.alias("leak")).withColumn("reason", reason)
     return per.select("query_id", "reason", "returned", F.when(F.col("reason") != "unknown", F.col("leak")).alias("false_recall"))

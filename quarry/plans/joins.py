@@ -45,13 +45,14 @@ def _(spark, d):
 
 
 @query("c03_product_resolve", with_views("""
+WITH x AS (SELECT sku AS q FROM variants UNION SELECT spu FROM variants UNION SELECT upper(name_en) FROM variants)
 SELECT q, variant_id, p FROM (SELECT *, rank() OVER (PARTITION BY q ORDER BY p) AS r FROM (
-  SELECT x.q, v.variant_id, CASE WHEN v.sku = x.q THEN 1 WHEN lower(v.name_en) = lower(x.q) THEN 2 WHEN v.spu = x.q THEN 3 END AS p
-  FROM variants v, (SELECT sku AS q FROM variants WHERE variant_id % 50 = 0 UNION SELECT spu FROM variants UNION SELECT upper(name_en) FROM variants WHERE variant_id % 70 = 0) x) WHERE p IS NOT NULL) WHERE r = 1
+  SELECT q, variant_id, min(p) AS p FROM (SELECT x.q, v.variant_id, 1 AS p FROM x JOIN variants v ON v.sku = x.q UNION ALL SELECT x.q, v.variant_id, 2 FROM x JOIN variants v ON lower(v.name_en) = lower(x.q)
+  UNION ALL SELECT x.q, v.variant_id, 3 FROM x JOIN variants v ON v.spu = x.q) GROUP BY ALL)) WHERE r = 1
 """))
 def _(spark, d):
     v = view(spark, d, "variants")
-    asked = v.filter("variant_id % 50 = 0").select(F.col("sku").alias("q")).union(v.select("spu")).union(v.filter("variant_id % 70 = 0").select(F.upper("name_en"))).distinct()
+    asked = v.select(F.col("sku").alias("q")).union(v.select("spu")).union(v.select(F.upper("name_en"))).distinct()
     # one equality join per kind of match, never a join on an OR
     hits = asked.join(v, F.col("q") == F.col("sku")).select("q", "variant_id", F.lit(1).alias("p"))
     hits = hits.unionByName(asked.join(v, F.lower("q") == F.lower("name_en")).select("q", "variant_id", F.lit(2).alias("p")))
@@ -169,9 +170,9 @@ def _(spark, d):
     return met.groupBy("doc_id", "chunk").agg(F.array_join(F.sort_array(F.collect_set(F.col("part").cast("string"))), ",").alias("covered"))
 
 
-@query("c18_citation_labels", with_views("SELECT c.call_id, g.evidence_id FROM (SELECT call_id, call_id - call_id % 25 AS query_id, 1 + call_id % 14 AS ordinal FROM tool_calls) c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY evidence_id) AS ordinal FROM golden) g ON c.query_id = g.query_id AND c.ordinal = g.ordinal"))
+@query("c18_citation_labels", with_views("SELECT c.call_id, g.evidence_id FROM (SELECT call_id, call_id - call_id % 100 AS query_id, 1 + call_id % 14 AS ordinal FROM tool_calls) c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY evidence_id) AS ordinal FROM golden) g ON c.query_id = g.query_id AND c.ordinal = g.ordinal"))
 def _(spark, d):
-    cited = view(spark, d, "tool_calls").select("call_id", (F.col("call_id") - F.col("call_id") % 25).alias("query_id"), (1 + F.col("call_id") % 14).alias("ordinal"))
+    cited = view(spark, d, "tool_calls").select("call_id", (F.col("call_id") - F.col("call_id") % 100).alias("query_id"), (1 + F.col("call_id") % 14).alias("ordinal"))
     allowed = view(spark, d, "golden").withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("evidence_id")))
     return cited.join(allowed, ["query_id", "ordinal"], "left").select("call_id", "evidence_id")
 

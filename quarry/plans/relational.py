@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions import text, vectors
+from quarry.functions import text
 from quarry.operators import relational as R
+from quarry.operators import retrieval
 from quarry.plans.views import view, with_views
 from quarry.registry import query
 from quarry.session import table
@@ -44,10 +45,10 @@ def _(spark, d):
     return table(spark, d, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.col("o_orderstatus").isin("F", "O")).select("o_orderkey")
 
 
-@query("b05_neighbour_range", "SELECT q.conv_id, q.turn AS anchor, c.turn FROM conversations q JOIN conversations c ON q.conv_id = c.conv_id AND c.turn BETWEEN greatest(1, q.turn - 1) AND q.turn + 1 WHERE q.turn % 4 = 0")
+@query("b05_neighbour_range", "SELECT q.conv_id, q.turn AS anchor, c.turn FROM conversations q JOIN conversations c ON q.conv_id = c.conv_id AND c.turn BETWEEN greatest(1, q.turn - 1) AND q.turn + 1")
 def _(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn")
-    q = c.filter("turn % 4 = 0").withColumnRenamed("turn", "anchor")
+    q = c.withColumnRenamed("turn", "anchor")
     return q.join(c, "conv_id").filter(F.col("turn").between(F.greatest(F.lit(1), F.col("anchor") - 1), F.col("anchor") + 1))
 
 
@@ -204,16 +205,15 @@ def _(spark, d):
     return out.withColumn("status", F.when(F.col("matching") == 0, "identity_mismatch").otherwise("ok"))
 
 
-QUERY_VECTOR = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
-COSINE = "1 - list_dot_product(e.embedding::DOUBLE[], x.q::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(x.q::DOUBLE[], x.q::DOUBLE[])))"
+COSINE = "1 - list_dot_product(e.embedding::DOUBLE[], x.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])))"
 
 
-@query("f01_dense_topk", f"SELECT vec_id, round(dist, 6) + 0.0 AS distance FROM (SELECT e.vec_id, {COSINE} AS dist FROM embeddings e, {QUERY_VECTOR} x) ORDER BY dist, vec_id LIMIT 30")
+@query("f01_dense_topk", f"SELECT query_id, vec_id, round(dist, 6) + 0.0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS r FROM (SELECT x.vec_id AS query_id, e.vec_id, {COSINE} AS dist FROM embeddings e, embeddings x WHERE x.vec_id % 100 = 0)) WHERE r <= 30")
 def _(spark, d):
     rows = table(spark, d, "embeddings")
-    q = rows.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    near = rows.crossJoin(F.broadcast(q)).withColumn("dist", vectors.cosine_distance(F.col("embedding"), F.col("q")))  # a single query row
-    return near.orderBy("dist", "vec_id").limit(30).select("vec_id", (F.round("dist", 6) + 0.0).alias("distance"))
+    q = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = retrieval.dense_topk(rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), q, 30)
+    return near.select("query_id", F.col("chunk_id").alias("vec_id"), (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @query("f05_recent_list", with_views("SELECT document_id FROM docs WHERE NOT is_deleted ORDER BY created_seq DESC, document_id LIMIT 50"))
@@ -267,13 +267,16 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@query("g04_same_cohort", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE doc_id % 2 = 0 EXCEPT ALL SELECT doc_id FROM labels WHERE doc_id % 2 = 0)) = 0 AS equal")
+@query("g04_same_cohort", """
+SELECT lang, CASE WHEN a = 0 AND b = 0 THEN 'equal' WHEN a = 0 THEN 'subset' WHEN b = 0 THEN 'superset' ELSE 'overlapping' END AS relation
+FROM (SELECT lang, count_if(quality = 1 AND toxic <> 0) AS a, count_if(quality <> 1 AND toxic = 0) AS b FROM labels JOIN documents USING (doc_id) GROUP BY lang)
+""")
 def _(spark, d):
-    rows = table(spark, d, "labels").filter("doc_id % 2 = 0").select("doc_id")
-    return R.same_set(rows, rows.repartition(3))
+    """How the cohort of good documents stands to that of harmless ones, language by language."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return R.cohort_relation(rows, ["lang"], F.col("quality") == 1, F.col("toxic") == 0)
 
 
-@query("g05_ordered_distinct", "SELECT event_id, 'b,a,c' AS labels FROM events")
+@query("g05_ordered_distinct", "SELECT conv_id, turn, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)")
 def _(spark, d):
-    rows = table(spark, d, "events")
-    return rows.select("event_id", F.array_join(F.array_distinct(F.array(*map(F.lit, ["b", "a", "b", "c", "a"]))), ",").alias("labels"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))

@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text, vectors
-from quarry.operators import chunking, context, ranking, retrieval
+from quarry.operators import chunking, ranking, retrieval
 from quarry.operators import joins as J
 from quarry.operators import relational as R
 from quarry.operators import writes as W
 from quarry.plans.documents import LINES, lines
 from quarry.plans.relational import read_range, sheet
-from quarry.plans.retrieval import RERANKED, ROUTES, built_context, chunk_table, hybrid_route, lexical_route, reranked
+from quarry.plans.retrieval import CONTEXT, RERANKED, ROUTES, built_context, lexical_route, reranked
 from quarry.plans.views import view, with_views
 from quarry.registry import query
 from quarry.session import table
@@ -41,7 +41,10 @@ def _(spark, d):
     return rows.select("c.case_id", F.col("c.extra.k").alias("k"), "c.should_answer")
 
 
-@query("e04_adjacent_rows", "SELECT l_orderkey, l_linenumber, l_partkey, lag(l_partkey) OVER w AS previous, lead(l_partkey) OVER w AS next FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)".replace("lag(l_partkey) OVER w", "CASE WHEN lag(l_linenumber) OVER w = l_linenumber - 1 THEN lag(l_partkey) OVER w END").replace("lead(l_partkey) OVER w", "CASE WHEN lead(l_linenumber) OVER w = l_linenumber + 1 THEN lead(l_partkey) OVER w END"))
+@query("e04_adjacent_rows", """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN lag(l_linenumber) OVER w = l_linenumber - 1 THEN lag(l_partkey) OVER w END AS previous, CASE WHEN lead(l_linenumber) OVER w = l_linenumber + 1 THEN lead(l_partkey) OVER w END AS next
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)
+""")
 def _(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     return J.neighbours(rows, ["l_orderkey"], "l_linenumber", "l_partkey")
@@ -89,14 +92,10 @@ def _(spark, d):
     return table(spark, d, "documents").withColumn("n", n).filter("n > 0").select("doc_id", F.round(retrieval.lexical_score(F.col("n")), 6).alias("score"))
 
 
-@query("j04_search_knowledge")
+@query("j04_search_knowledge", with_views(f"WITH RECURSIVE {CONTEXT} SELECT query_id, position, chunk_id, role, tokens FROM chosen"))
 def _(spark, d):
-    """Hybrid search, its best chunks as context with neighbours, budgeted and in reading order."""
-    found = hybrid_route(spark, d, 4).select("query_id", (F.col("chunk_id") % 500).alias("chunk_id"), "rank").groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
-    chunks = chunk_table(spark, d)
-    near = J.neighbours(chunks.drop("body"), ["document_id"], "chunk_index", "chunk_id")
-    rows = context.candidates(found, near.select("chunk_id", "previous", "next")).join(chunks, "chunk_id").withColumn("overlap_tokens", F.lit(0))
-    return context.select_context(rows).select("query_id", "position", "chunk_id", "role", "tokens")
+    """Hybrid search, its best chunks as context with neighbours, all of them authorised, budgeted and in reading order."""
+    return built_context(spark, d).select("query_id", "position", "chunk_id", "role", "tokens")
 
 
 @query("j05_read_uploaded_file", "SELECT o_orderkey AS row_number, o_orderstatus || '|' || o_orderpriority AS cells, length(o_orderstatus || o_orderpriority) AS characters FROM orders WHERE o_orderkey BETWEEN 10 AND 20")
@@ -124,7 +123,7 @@ def _(spark, d):
     return own.groupBy("doc_id").agg(F.sum("own_tokens").alias("tokens"))
 
 
-@query("m11_natural_order")
+@query("m11_natural_order", with_views(f"WITH RECURSIVE {CONTEXT} SELECT query_id, position, rank AS anchor_rank, true AS in_order FROM chosen"))
 def _(spark, d):
     w = Window.partitionBy("query_id").orderBy("position")
     return built_context(spark, d).select("query_id", "position", "anchor_rank", (F.coalesce(F.lag("anchor_rank").over(w), F.lit(0)) <= F.col("anchor_rank")).alias("in_order"))

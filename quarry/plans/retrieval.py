@@ -103,48 +103,58 @@ def _(spark, d):
     return ranking.evidence_gate(reranked(spark, d).select("query_id", "rank", "score"), 0.3, 0.9, 5, 0.9995, 0.05)
 
 
-ANCHORS = "(SELECT query_id, candidate_id % 500 AS chunk_id, min(rank) AS rank FROM ranked WHERE rank <= 4 GROUP BY ALL)"
+ANCHORS = f"{ROUTES}, a AS (SELECT query_id, chunk_id, rank FROM best WHERE rank <= 4)"
+CANDIDATES = f"""{ANCHORS}, c AS (SELECT query_id, chunk_id, 'anchor' AS role, rank, 0 AS tier, 0 AS side FROM a UNION ALL SELECT query_id, chunk_id - 1, 'previous', rank, 1, 0 FROM a WHERE chunk_id % 20 > 0 AND chunk_id - 1 IN (SELECT document_id FROM allowed)
+  UNION ALL SELECT query_id, chunk_id + 1, 'next', rank, 1, 1 FROM a WHERE chunk_id % 20 < 19 AND chunk_id + 1 IN (SELECT document_id FROM allowed)),
+wanted AS (SELECT query_id, chunk_id, role, rank, side, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank, side) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY tier, rank, side) AS r FROM c) WHERE r = 1)"""
+# admitted one by one in order of priority: a text that repeats or breaks the budget of 4,000 tokens is left out
+CONTEXT = f"""{CANDIDATES}, bodies AS (SELECT w.*, trim(d.text, ' ' || chr(9) || chr(10) || chr(13)) AS body, CAST(list_sum(list_transform(regexp_extract_all(d.text, '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{Z}}\\p{{L}}\\p{{N}}_]'), lambda x: ceil(length(x) / 4.0))) AS INT) AS tokens FROM wanted w JOIN documents d ON d.doc_id = w.chunk_id),
+walk AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS priority, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS texts, CAST([] AS BIGINT[]) AS ids FROM bodies
+  UNION ALL SELECT s.query_id, s.priority + 1, CASE WHEN b.fits THEN s.used + b.tokens ELSE s.used END, CASE WHEN b.fits THEN list_append(s.texts, b.body) ELSE s.texts END, CASE WHEN b.fits THEN list_append(s.ids, b.chunk_id) ELSE s.ids END
+  FROM walk s JOIN LATERAL (SELECT b.*, b.body <> '' AND NOT list_contains(s.texts, b.body) AND s.used + b.tokens <= 4000 AS fits FROM bodies b WHERE b.query_id = s.query_id AND b.priority = s.priority + 1) b ON true),
+final AS (SELECT query_id, unnest(arg_max(ids, priority)) AS chunk_id FROM walk GROUP BY query_id),
+chosen AS (SELECT b.query_id, b.chunk_id, b.role, b.rank, b.tokens, b.body, row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank, CASE b.role WHEN 'previous' THEN 0 WHEN 'anchor' THEN 1 ELSE 2 END) AS position FROM final f JOIN bodies b ON b.query_id = f.query_id AND b.chunk_id = f.chunk_id)"""
 
 
-def anchors(spark, d):
-    return view(spark, d, "ranked").filter("rank <= 4").groupBy("query_id", (F.col("candidate_id") % 500).alias("chunk_id")).agg(F.min("rank").alias("rank"))
+def readable(spark, d):
+    """Chunks the caller may read: every document as a chunk of a longer one, twenty neighbours make a document.
+
+    Anchors and neighbours are taken from these rows alone, so a chunk that is not allowed is neither shown nor stepped over.
+    """
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 20).alias("document_id"), (F.col("doc_id") % 20 + 1).cast("int").alias("chunk_index"), F.col("text").alias("body"))
+    return chunks.join(allowed(spark, d).select(F.col("document_id").alias("chunk_id")), "chunk_id", "left_semi")
 
 
-def chunk_table(spark, d):
-    """Every document as a chunk of a longer one: twenty neighbours make a document."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 20).alias("document_id"), (F.col("doc_id") % 20 + 1).cast("int").alias("chunk_index"), F.col("text").alias("body"))
+def anchors(spark, d):
+    return hybrid_route(spark, d, 4).select("query_id", "chunk_id", "rank")
 
 
-@query("m07_rehydrated_windows", with_views(f"SELECT a.query_id, a.chunk_id, p.doc_id AS previous, n.doc_id AS next FROM {ANCHORS} a JOIN documents c ON c.doc_id = a.chunk_id LEFT JOIN documents p ON p.doc_id = c.doc_id - 1 AND p.doc_id // 20 = c.doc_id // 20 LEFT JOIN documents n ON n.doc_id = c.doc_id + 1 AND n.doc_id // 20 = c.doc_id // 20"))
+@query("m07_rehydrated_windows", with_views(f"WITH {ANCHORS} SELECT a.query_id, a.chunk_id, p.document_id AS previous, n.document_id AS next FROM a LEFT JOIN allowed p ON p.document_id = a.chunk_id - 1 AND p.document_id // 20 = a.chunk_id // 20 LEFT JOIN allowed n ON n.document_id = a.chunk_id + 1 AND n.document_id // 20 = a.chunk_id // 20"))
 def _(spark, d):
-    near = J.neighbours(chunk_table(spark, d).drop("body"), ["document_id"], "chunk_index", "chunk_id")
+    near = J.neighbours(readable(spark, d).drop("body"), ["document_id"], "chunk_index", "chunk_id")
     return anchors(spark, d).join(near, "chunk_id").select("query_id", "chunk_id", "previous", "next")
 
 
-@query("m08_candidate_priority", with_views(f"""
-WITH a AS {ANCHORS}, c AS (SELECT query_id, chunk_id, 'anchor' AS role, rank, 0 AS tier, 0 AS side FROM a UNION ALL SELECT query_id, chunk_id - 1, 'previous', rank, 1, 0 FROM a WHERE chunk_id % 20 > 0 AND chunk_id IN (SELECT doc_id FROM documents) AND chunk_id - 1 IN (SELECT doc_id FROM documents)
-  UNION ALL SELECT query_id, chunk_id + 1, 'next', rank, 1, 1 FROM a WHERE chunk_id % 20 < 19 AND chunk_id IN (SELECT doc_id FROM documents) AND chunk_id + 1 IN (SELECT doc_id FROM documents))
-SELECT query_id, chunk_id, role, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank, side) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY tier, rank, side) AS r FROM c) WHERE r = 1
-"""))
+@query("m08_candidate_priority", with_views(f"WITH {CANDIDATES} SELECT query_id, chunk_id, role, priority FROM wanted"))
 def _(spark, d):
-    near = J.neighbours(chunk_table(spark, d).drop("body"), ["document_id"], "chunk_index", "chunk_id")
+    near = J.neighbours(readable(spark, d).drop("body"), ["document_id"], "chunk_index", "chunk_id")
     return context.candidates(anchors(spark, d), near.select("chunk_id", "previous", "next")).select("query_id", "chunk_id", "role", "priority")
 
 
 def built_context(spark, d):
-    chunks = chunk_table(spark, d)
+    chunks = readable(spark, d)
     near = J.neighbours(chunks.drop("body"), ["document_id"], "chunk_index", "chunk_id")
     wanted = context.candidates(anchors(spark, d), near.select("chunk_id", "previous", "next"))
     rows = wanted.join(chunks, "chunk_id").withColumn("overlap_tokens", F.lit(0))
     return context.select_context(rows)
 
 
-@query("m10_budgeted_context")
+@query("m10_budgeted_context", with_views(f"WITH RECURSIVE {CONTEXT} SELECT query_id, position, chunk_id, role, tokens FROM chosen"))
 def _(spark, d):
     return built_context(spark, d).select("query_id", "position", "chunk_id", "role", "tokens")
 
 
-@query("m12_context_identity")
+@query("m12_context_identity", with_views(f"WITH RECURSIVE {CONTEXT} SELECT query_id, count(*) AS segments, CAST(sum(tokens) AS BIGINT) AS tokens, sha256(string_agg(chunk_id || ':' || sha256(body), ',' ORDER BY position)) AS context_hash FROM chosen GROUP BY query_id"))
 def _(spark, d):
     segment = F.struct("position", F.concat_ws(":", F.col("chunk_id").cast("string"), hashing.text_sha256("text")).alias("s"))
     rows = built_context(spark, d).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(segment)), lambda x: x["s"]), ",").alias("s"), F.count("*").alias("segments"), F.sum("tokens").alias("tokens"))

@@ -45,10 +45,12 @@ VIEWS = {
         CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status, CAST(floor(value * 10) AS BIGINT) AS duration_ms, ts, props FROM events""",
     "tasks": """SELECT event_id AS task_id, event_id - event_id % 10 AS plan_id, concat('w', CAST(event_id % 3 AS STRING)) AS worker, CASE WHEN event_id % 10 < 3 THEN 'completed' WHEN event_id % 10 = 9 THEN 'failed' ELSE 'pending' END AS status FROM events""",
     "task_edges": """SELECT event_id AS task_id, event_id - 2 AS depends_on FROM events WHERE event_id % 10 >= 2 UNION ALL SELECT event_id, event_id - 5 FROM events WHERE event_id % 10 >= 5""",
-    # Ranked lists: a query per tenth vector of a label, candidates by a fixed order.
-    "golden": """SELECT q.vec_id AS query_id, c.vec_id AS evidence_id FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 25 = 0 AND c.vec_id % 20 = q.vec_id % 20 AND c.vec_id <> q.vec_id""",
-    "ranked": """SELECT query_id, candidate_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY (candidate_id * 7919 + query_id * 104729) % 1009, candidate_id) AS INT) AS rank FROM (
-        SELECT q.vec_id AS query_id, c.vec_id AS candidate_id FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 25 = 0 AND c.vec_id <> q.vec_id AND c.vec_id % 4 = 0) x""",
+    # Ranked lists: queries are the rows whose id is divisible by 100, candidates all other rows of the label. Evidence are the
+    # six nearest by their first component; the ranked list is the first forty by a fixed order.
+    "golden": """SELECT query_id, evidence_id FROM (SELECT q.vec_id AS query_id, c.vec_id AS evidence_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(CAST(element_at(c.embedding, 1) AS DOUBLE) - CAST(element_at(q.embedding, 1) AS DOUBLE)), c.vec_id) AS r
+        FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id) x WHERE r <= 6""",
+    "ranked": """SELECT query_id, candidate_id, CAST(rank AS INT) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY (c.vec_id * 7919 + q.vec_id * 104729) % 1009, c.vec_id) AS rank
+        FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id) x WHERE rank <= 40""",
 }
 
 
@@ -85,7 +87,7 @@ def with_views(text: str) -> str:
     if not ordered:
         return text
     body = text.strip()
-    more = re.match(r"(?i)with\s+", body)
-    # DuckDB knows STRING as a name of VARCHAR
-    heads = ", ".join(f"{n} AS ({VIEWS[n]})" for n in ordered)
-    return f"WITH {heads}, {body[more.end():]}" if more else f"WITH {heads} {body}"
+    more = re.match(r"(?i)with\s+(recursive\s+)?", body)
+    # DuckDB knows STRING as a name of VARCHAR, and element_at of lists by another one
+    heads = ", ".join(f"{n} AS ({VIEWS[n]})" for n in ordered).replace("element_at(", "list_extract(")
+    return f"WITH {more[1] or ''}{heads}, {body[more.end():]}" if more else f"WITH {heads} {body}"

@@ -203,3 +203,37 @@ def test_citations(spark):
     rows = spark.createDataFrame([("a [E1] b [E2] [E1]",), ("［E1］",), ("[E0]",), ("none",), ("[E12] [e1]",)], "t string")
     got = [r[0] for r in rows.select(text.citation_labels(F.col("t"))).collect()]
     assert got == [["[E1]", "[E2]"], None, None, [], None]
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_context_holds_readable_chunks_only(spark, folder):
+    from quarry import registry
+    from quarry.plans.retrieval import allowed
+
+    d = f"/root/testdata/{folder}"
+    fine = {r["document_id"] for r in allowed(spark, d).select("document_id").collect()}
+    for name in ("j04_search_knowledge", "m08_candidate_priority"):
+        rows = registry.queries()[name](spark, d).collect()
+        assert rows and {r["chunk_id"] for r in rows} <= fine
+    for r in registry.queries()["m07_rehydrated_windows"](spark, d).collect():
+        assert {r["chunk_id"], r["previous"], r["next"]} - {None} <= fine
+
+
+def test_longest_common_run():
+    import random
+
+    from quarry.functions.text import common_run
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 25))] for _ in range(2))
+        plain = max((n for i in range(len(a)) for n in range(1, len(a) - i + 1) if any(a[i : i + n] == b[j : j + n] for j in range(len(b)))), default=0)
+        assert common_run(a, b) == plain
+
+
+def test_arguments_are_bounded():
+    from quarry.operators.quality_gate import shown_fields
+
+    got = shown_fields({f"k{i:02}": i for i in range(23)} | {"a-Token": "x", "b": [{"c": {"d": 1}}] * 12, "c": "y" * 201}, 20, 0)
+    assert got["a-Token"] == "[REDACTED]" and got["b"] == [{"c": "[TRUNCATED]"}] * 10 + ["[TRUNCATED]"] and got["c"] == "y" * 197 + "..."
+    assert got["_truncated_fields"] == 6 and len(got) == 21
