@@ -75,3 +75,55 @@ def test_quality_stage_keeps_columns(spark, world):
     assert kept.schema == docs.schema
     want = {r["doc_id"] for r in quality.score(docs, model).collect() if r["predicted"]}
     assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_quality_scores_follow_the_sizes(spark, world):
+    """Every score against plain compression with the two dictionaries."""
+    import math
+
+    import numpy as np
+    import zstandard as z
+
+    docs, labels, _ = world
+    model = quality.train(spark, docs, labels)
+    packers = [z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False) for x in (model.good, model.bad)]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.score(docs, model).collect():
+        t = (texts[r["doc_id"]] or "").encode()
+        n, g, b = len(t) + 1, *(len(p.compress(t)) + 1 for p in packers)
+        d, e = (g - b) / n, (g - b) / (g + b)
+        x = [d, e, *(max(d - k, 0) for k in model.knots[:, 0]), *(max(e - k, 0) for k in model.knots[:, 1])]
+        x += [v * f for f in (math.log(n),) for v in (d, e, abs(d), abs(e))] + [v * min(g, b) / n for v in (d, e)]
+        at = float(np.dot((np.array(x) - model.mean) / model.scale, model.weights[:-1]) + model.weights[-1])
+        assert r["score"] == pytest.approx(0.0 if not t else 1 / (1 + math.exp(-max(-30, min(30, at)))), abs=1e-9)
+
+
+def test_equal_differences_score_alike():
+    import numpy as np
+
+    sizes = np.array([[1000, 300, 250], [1000, 300, 250], [2000, 300, 250]])
+    knots = quality.knots_of(np.array([[100, 50, 40], [100, 40, 50], [300, 80, 80]]))
+    a, b, c = quality.describe(sizes, knots)
+    assert (a == b).all() and not (a == c).all()
+    same = quality.describe(np.array([[500, 90, 90], [9000, 700, 700]]), knots)
+    assert np.allclose(same[0], same[1])  # no difference: length and compressibility say nothing
+
+
+def test_fit_lowers_the_non_negative_risk():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    words = np.arange(1, 9, dtype=np.uint64)
+    draw = lambda toxic: np.flatnonzero(rng.random(8) < ([0.8, 0.6, 0.3, 0.3, 0.3, 0.3, 0.3, 0.3] if toxic else [0.05, 0.05, 0.3, 0.3, 0.3, 0.3, 0.3, 0.3])).astype(np.uint64) + 1
+    p, u = [draw(True) for _ in range(200)], [draw(i < 60) for i in range(300)]
+
+    def risk(model):
+        z = lambda rows: np.array([model.bias + sum(model.weights[int(w) - 1] for w in r) for r in rows])
+        zp, zu = z(p), z(u)
+        plus, minus = lambda x: np.log1p(np.exp(-x)).mean(), lambda x: np.log1p(np.exp(x)).mean()
+        return 0.2 * plus(zp) + max(0.0, minus(zu) - 0.2 * minus(zp))
+
+    start = toxicity.Model(words, np.zeros(8), float(np.log(0.2 / 0.8)))
+    fitted = toxicity.fit(words, p, u, 0.2)
+    assert risk(fitted) < 0.8 * risk(start)
+    assert fitted.weights[:2].min() > fitted.weights[2:].max()

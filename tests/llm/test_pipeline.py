@@ -91,3 +91,24 @@ def test_tokens(stages):
 
 def test_run_is_the_stages(spark, sf, stages):
     assert sorted(map(tuple, pipeline.run(spark, sf).collect())) == sorted(map(tuple, stages[-1][1].collect()))
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Null and repeated ids, null and empty texts, clashing extra columns, empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k long, h string, t string, copies int"
+    same = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, same), (2, same), (2, "quite another text that stands alone here today"), (3, same + " more"), (None, same), (4, None), (5, ""), (6, "six words are in this one"), (6, "six words are in this one")]
+    docs = spark.createDataFrame([(d, x, "en", "a", len(x or ""), 7, "h", "t", 9) for d, x in rows], schema)
+    kept = pipeline.drop_near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    want = [(1, same), (2, rows[2][1]), (None, same), (4, None), (5, ""), (6, rows[7][1]), (6, rows[7][1])]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
+    clean = pipeline.drop_benchmark_leaks(spark, docs, sf)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    mixed = pipeline.mix_sources(spark, docs, sf)
+    assert mixed.columns == docs.columns and {r["copies"] for r in mixed.collect()} == {9}
+    assert pipeline.filter_quality(spark, docs, sf).columns == docs.columns
+    assert pipeline.write_tokens(spark, docs, sf).count() == len(rows)
+    none = docs.limit(0)
+    for _, f in pipeline.STAGES:
+        assert f(spark, none, sf).count() == 0
