@@ -28,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one id stay or go together, and rows without id stay.
     """
     gone = near_dedup.near_duplicates(spark, docs, percent=80, mark=True).filter(~F.col("kept")).select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("k")) & (F.xxhash64("text") == F.col("h"))
-    return docs.join(gone, same, "left_anti")
+    same = (F.col("docs.doc_id").cast("long") == F.col("gone.k")) & (F.xxhash64(F.col("docs.text").cast("string")) == F.col("gone.h"))
+    return docs.alias("docs").join(gone.alias("gone"), same, "left_anti")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
