@@ -68,11 +68,24 @@ def read_tokens(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame
 
 
 def read_span(spark: SparkSession, out: str, start: int, length: int, key: str = "doc_id") -> DataFrame:
-    """Documents of the id stream that touch [start, start + length), with the ids that lie in it."""
-    rows = read_tokens(spark, out, key).filter((F.col("start") < start + length) & (F.col("start") + F.col("n_tokens") > start))
+    """Documents of the id stream that touch [start, start + length), with the ids that lie in it.
+
+    The parts' totals, a small table read from token counts alone, tell which parts the span touches and
+    where; only their files, and of them only row groups with such offsets, are read for ids.
+    """
+    rows, end = spark.read.parquet(out), start + length
+    totals = sorted((r["part"], r["s"]) for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("s")).collect())
+    base, wanted, near = 0, [], F.lit(False)
+    for part, total in totals:
+        if base < end and base + total > start:
+            wanted.append((part, base))
+            near = near | ((F.col("part") == part) & (F.col("offset") < end - base) & (F.col("offset") + F.col("n_tokens") > start - base))
+        base += total
+    first = F.col("offset") + F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in wanted for x in pair]), F.col("part").cast("long")) if wanted else F.lit(0).cast("long")
+    some = rows.filter(F.col("part").isin([p for p, _ in wanted]) & (F.col("offset") < end) & near).withColumn("start", first)
     skip = F.greatest(F.lit(start) - F.col("start"), F.lit(0)).cast("int")
-    take = F.least(F.col("n_tokens"), F.lit(start + length) - F.col("start")).cast("int") - skip
-    return rows.select(key, "start", F.slice("ids", skip + 1, take).alias("ids"))
+    take = F.least(F.col("n_tokens"), F.lit(end) - F.col("start")).cast("int") - skip
+    return some.select(key, "start", F.slice("ids", skip + 1, take).alias("ids"))
 
 
 def digest(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
