@@ -28,6 +28,7 @@ SECRETS = (
 # What looks like a citation, and what is one.
 CITATION_LIKE = r"(?:\[|［|【)\s*[EeＥｅ](?:\s*\d{0,5}\s*(?:\]|］|】)?|\s*(?:\]|］|】))"
 CITATION = r"\[E(?:[1-9]|1[0-2])\]"
+# Fixed value: what opens a list item.
 LIST_MARK = r"^(?:[-*–—]\s+|[•▪◦]\s*|(?:\d{1,4}|[A-Za-z])[.)、]\s*)"
 
 
@@ -80,6 +81,10 @@ def _fold(value: str) -> str:
     return unicodedata.normalize("NFKC", value).casefold()
 
 
+def nfc(value: Column) -> Column:
+    return _mapped(lambda v: unicodedata.normalize("NFC", v))(value)
+
+
 def match_text_exact(value: Column) -> Column:
     return _mapped(lambda v: " ".join(_fold(v).split()))(value)
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.chunking import count_tokens, token_spans
@@ -36,6 +37,25 @@ def trim(body: str, overlap: int, previous: str | None) -> str | None:
     return body[end:].strip() if previous.rstrip().endswith(body[:end].strip()) else None
 
 
+def trim_chunks(chunks: DataFrame, key: str) -> DataFrame:
+    """key, chunk_index, text: every chunk without what it shares with the one before; null if that isn't its end.
+
+    chunks: key, chunk_index, body, overlap_tokens, all of them chosen. A document's chunks lie in one task.
+    """
+
+    def run(bodies: pa.Array, overlaps: pa.Array, before: pa.Array) -> pa.Array:
+        return pa.array([trim(b, n or 0, p) for b, n, p in zip(bodies.to_pylist(), overlaps.to_pylist(), before.to_pylist(), strict=True)], pa.string())
+
+    before = F.lag("body").over(Window.partitionBy(key).orderBy("chunk_index"))
+    rows = chunks.select(key, "chunk_index", "body", "overlap_tokens", before.alias("_before"))
+    return rows.select(key, "chunk_index", F.arrow_udf(run, "string")("body", "overlap_tokens", "_before").alias("text"))
+
+
+def trim_table(body: Column) -> Column:
+    """A table chunk without the rows it repeats as context; a row is a line, and its mark says what it is."""
+    return F.array_join(F.filter(F.split(body, "\n"), lambda line: ~line.rlike(r"^\[(?:header|data) context row \d+\]")), "\n")
+
+
 def _choose(query, group: pd.DataFrame, most_tokens: int, most_segments: int) -> pd.DataFrame:
     """Admit in order of priority; whoever breaks a budget or repeats a text is left out and costs nothing."""
     chosen: list = []

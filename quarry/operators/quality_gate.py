@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,23 @@ from pyspark.sql import functions as F
 # Parts of field names whose values are never shown.
 SENSITIVE = ("password", "token", "secret", "api_key", "authorization", "connection", "database_url", "sql")
 
+# Names whose fields a review never shows, and the texts it hides.
+PRIVATE = ("authorization", "api_key", "password", "secret", "tenant_id", "user_id", "owner_user_id", "acl", "roles", "market_scopes", "storage_key", "path", "local_path", "sql", "exception", "stack",
+           "reasoning", "reasoning_content", "trusted_user_fixture_id", "acl_fixture_id", "version_fixture_id")
+SUSPICIOUS = re.compile(
+    r"(?i)(?:\bsk-[\w-]+|\bBearer\s+\S+|[A-Z]:[\\/]|"
+    r"/(?:home|Users|tmp|etc|var)/|\b(?:SELECT\s+.+?\s+FROM|INSERT\s+INTO|DELETE\s+FROM)\b|"
+    r"[\"']?(?:tenant_id|user_id|api_key|password|authorization|reasoning_content|acl)[\"']?\s*[:=])"
+)
+# What a line is by its form.
+FIELD_LABEL = r"(?i)(?:number|identifier|reference|code|date|country|category|brand|model|type)\z"
+SECTION = r"(?i)^(?:part|annex|chapter|section)\s+[A-Za-z0-9]"
+CURRENCY = r"(?i)^(?:approximately\s+)?(?:EUR|USD|GBP|CNY|JPY|€|\$|£|¥)\s*\d[\d.,]*(?:\s+(?:billion|million|thousand))?(?:\s+per\s+\w+)?\z"
+REFERENCE_CODE = r"(?i)^[A-Z]?\d+(?:[/_-]\d+){1,}[A-Z]?\z"
+OUTLINE = r"^(?:(?:\d{1,4}(?:\.\d{1,4})*)[.)、:]?|[A-Za-z][.)、]|[（(]?[一二三四五六七八九十]+[)）.、])\s*\z"
+NUMBERED = r"^(?:(?:\d{1,4}(?:\.\d{1,4})*)[.)、:]|[A-Za-z][.)、]|[（(]?[一二三四五六七八九十]+[)）.、])\s+"
+LINE_KINDS = {"currency": CURRENCY, "reference_code": REFERENCE_CODE, "outline": OUTLINE, "label": FIELD_LABEL, "section": SECTION, "numbered": NUMBERED, "heading": r"^[^.!?]{1,30}\z"}
+
 
 def text_health(df: DataFrame, text: str, least: int = 20, share: float = 0.9) -> DataFrame:
     """status healthy, suspect or unusable, with reasons; valid characters are letters, numbers and punctuation."""
@@ -41,7 +59,11 @@ def retention_status(native: Column, final: Column, least: float = 0.7) -> Colum
 
 
 def line_kind(line: Column) -> Column:
-    return F.when(line.rlike(r"(?i)(?:number|code|date|type)$"), "label").when(line.rlike(r"(?i)^(?:part|annex|chapter|section)\s+[A-Za-z0-9]"), "section").when(line.rlike(r"^[^.!?]{1,30}$"), "heading").otherwise("text")
+    """The first kind in `LINE_KINDS` whose form the trimmed line has; currency and reference codes are data, never headings."""
+    line, kind = F.trim(F.regexp_replace(line, r"\s+", " ")), F
+    for name, form in LINE_KINDS.items():
+        kind = kind.when(line.rlike(form), name)
+    return kind.otherwise("text")
 
 
 def heading_levels(blocks: DataFrame, document: str, order: str, size: str, weight: Column, most: int = 6, limit: int = 100) -> DataFrame:
@@ -95,6 +117,27 @@ def summarize_arguments(arguments: Column) -> Column:
     return F.arrow_udf(run, "string")(arguments)
 
 
+def review_value(text: str | None) -> str | None:
+    """JSON without private fields at any depth and with suspicious texts hidden; what is no JSON counts as one text."""
+
+    def shown(value: object) -> object:
+        if isinstance(value, list):
+            return [shown(v) for v in value]
+        return "[REDACTED]" if isinstance(value, str) and SUSPICIOUS.search(value) else value
+
+    if text is None:
+        return None
+    try:  # the hook meets inner objects first, so a field's value is an object already cleared or a plain one
+        value = json.loads(text, object_pairs_hook=lambda pairs: {k: shown(v) for k, v in pairs if k.lower() not in PRIVATE})
+    except ValueError:
+        value = text
+    return json.dumps(shown(value), sort_keys=True, ensure_ascii=False)
+
+
+def review_values(values: Column) -> Column:
+    return F.arrow_udf(lambda rows: pa.array([review_value(v) for v in rows.to_pylist()], pa.string()), "string")(values)
+
+
 def page_regressions(native: DataFrame, final: DataFrame, keys: list[str], least: int = 10, baseline: int = 50) -> DataFrame:
     """Pages that had at least `baseline` characters and keep fewer than `least`."""
     joined = native.withColumnRenamed("characters", "before").join(final.withColumnRenamed("characters", "after"), keys, "left")

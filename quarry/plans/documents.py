@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import hashing, text, vectors
-from quarry.operators import chunking, quality_gate
+from quarry.operators import audit, chunking, context, quality_gate
 from quarry.operators import relational as R
 from quarry.plans.views import view, with_views
 from quarry.registry import query
@@ -200,7 +200,10 @@ def lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
 
 
-@query("h31_line_kinds", rf"SELECT doc_id, i, CASE WHEN regexp_matches(line, '(?i)(?:number|code|date|type)$') THEN 'label' WHEN regexp_matches(line, '(?i)^(?:part|annex|chapter|section)\s+[A-Za-z0-9]') THEN 'section' WHEN regexp_matches(line, '^[^.!?]{{1,30}}$') THEN 'heading' ELSE 'text' END AS kind FROM {LINES}")
+KINDS = " ".join(f"WHEN regexp_matches(t, '{form}') THEN '{kind}'" for kind, form in quality_gate.LINE_KINDS.items())
+
+
+@query("h31_line_kinds", rf"SELECT doc_id, i, CASE {KINDS} ELSE 'text' END AS kind FROM (SELECT doc_id, i, trim(regexp_replace(line, '\s+', ' ', 'g')) AS t FROM {LINES})")
 def _(spark, d):
     x = F.col("line")
     return lines(spark, d).select("doc_id", "i", quality_gate.line_kind(x).alias("kind"))
@@ -300,13 +303,31 @@ def _(spark, d):
     return chunking.heading_lanes(rows, "doc_id", "i", "level", "line", 3).select("doc_id", "i", F.array_join("heading_path", " > ").alias("path"))
 
 
+def order_tables(spark, d):
+    """A table per order, a row per line, numbered from 1 in order of its values, the first as header."""
+    values = F.struct("l_linenumber", "l_returnflag", "l_linestatus")
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(values)).alias("v"))
+    cells = lambda v: F.array(*[F.struct(F.lit(i).alias("column"), F.lit(1).alias("span"), v[c].cast("string").alias("text")) for i, c in enumerate(("l_linenumber", "l_returnflag", "l_linestatus"), 1)])
+    return orders.select("l_orderkey", F.transform("v", lambda v, i: F.struct((i + 1).alias("number"), (i == 0).alias("header"), cells(v).alias("cells"))).alias("rows"))
+
+
+def order_chunks(tables):
+    return chunking.chunk_tables(tables.filter(chunking.skip_reason(F.lit(False), F.col("rows")).isNull()), "l_orderkey", "rows", chunking.Settings(target=30, most=60))
+
+
 @query("l11_table_chunks")
 def _(spark, d):
-    cells = F.array(*[F.struct(F.lit(i).alias("column"), F.lit(1).alias("span"), c.alias("text")) for i, c in enumerate([F.col("l_linenumber").cast("string"), F.col("l_returnflag"), F.col("l_linestatus")], 1)])
-    row = F.struct(F.col("l_linenumber").alias("number"), (F.col("l_linenumber") == 1).alias("header"), cells.alias("cells"))
-    tables = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    out = chunking.chunk_tables(tables.filter(chunking.skip_reason(F.lit(False), F.col("rows")).isNull()), "l_orderkey", "rows", chunking.Settings(target=30, most=60))
-    return out.select("l_orderkey", "chunk_index", "first_row", "last_row", "token_count")
+    return order_chunks(order_tables(spark, d)).select("l_orderkey", "chunk_index", "first_row", "last_row", "token_count")
+
+
+@query("m09_table_trim", """
+SELECT l_orderkey, sha256(string_agg('[' || CASE WHEN r = 1 THEN 'header' ELSE 'data' END || ' row ' || r || '] ' || l_linenumber || ' | ' || l_returnflag || ' | ' || l_linestatus, chr(10) ORDER BY r)) AS digest
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS r FROM lineitem) GROUP BY l_orderkey
+""")
+def _(spark, d):
+    """Table chunks without the rows they repeat, joined: the rows of the table, each once."""
+    rows = order_chunks(order_tables(spark, d)).withColumn("own", context.trim_table(F.col("body")))
+    return rows.groupBy("l_orderkey").agg(F.sha2(R.joined_in_order(F.col("own"), "chunk_index", "\n"), 256).alias("digest"))
 
 
 @query("l12_merged_chunks", """
@@ -328,8 +349,12 @@ def _(spark, d):
 
 @query("n05_structure_audit")
 def _(spark, d):
-    """Per document: chunks in order without gaps, within the limit, and no text lost between them."""
-    chunks = chunking.chunk_texts(table(spark, d, "documents"), "doc_id", "text")
-    w = Window.partitionBy("doc_id").orderBy("chunk_index")
-    rows = chunks.withColumn("step", F.col("chunk_index") - F.coalesce(F.lag("chunk_index").over(w), F.lit(0)))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.every(F.col("step") == 1).alias("ordered"), F.every(F.col("token_count") <= 700).alias("bounded"))
+    """Per document: lines that a chunk holds whole, chunks in order without gaps and within the limit."""
+    docs = table(spark, d, "documents")
+    return audit.audit_texts(docs, chunking.chunk_texts(docs, "doc_id", "text"), "doc_id", "text")
+
+
+@query("n05_table_audit", "SELECT l_orderkey, count(*) AS table_rows, count(*) AS rows_preserved FROM lineitem GROUP BY l_orderkey")
+def _(spark, d):
+    tables = order_tables(spark, d)
+    return audit.audit_rows(tables, order_chunks(tables), "l_orderkey", "rows")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text, vectors
-from quarry.operators import chunking, ranking, retrieval
+from quarry.operators import chunking, context, quality_gate, ranking, retrieval, tools
 from quarry.operators import joins as J
 from quarry.operators import relational as R
 from quarry.operators import writes as W
@@ -106,8 +106,6 @@ def _(spark, d):
 
 @query("j08_capabilities", with_views("SELECT role_name, count(DISTINCT user_id) AS users, CASE WHEN role_name IN ('viewer') THEN 'search_knowledge' ELSE 'get_evidence_detail,get_product_spec,read_uploaded_file,search_inventory,search_knowledge' END AS tools FROM user_roles GROUP BY role_name"))
 def _(spark, d):
-    from quarry.operators import tools
-
     roles = view(spark, d, "user_roles").groupBy("role_name").agg(F.countDistinct("user_id").alias("users"))
     grants = [(r, t.name) for r in ("viewer", "other") for t in tools.TOOLS if r == "other" or t.name == "search_knowledge"]
     policy = spark.createDataFrame(grants, "kind string, tool string")  # a fixed table of a few rows
@@ -115,12 +113,15 @@ def _(spark, d):
     return full.groupBy("role_name", "users").agg(F.array_join(F.sort_array(F.collect_set("tool")), ",").alias("tools"))
 
 
-@query("m09_overlap_trim")
+BLANK = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
+
+
+@query("m09_overlap_trim", rf"SELECT doc_id, sha256(t) AS digest FROM (SELECT doc_id, regexp_replace(nfc_normalize(text), '{BLANK}', '', 'g') AS t FROM documents) WHERE t <> ''")
 def _(spark, d):
-    """Chunks of a document without what they share with the chunk before, joined: the tokens of the document."""
-    rows = chunking.chunk_texts(table(spark, d, "documents"), "doc_id", "text")
-    own = rows.select("doc_id", "chunk_index", (F.col("token_count") - F.col("overlap_tokens")).alias("own_tokens"))
-    return own.groupBy("doc_id").agg(F.sum("own_tokens").alias("tokens"))
+    """Chunks of a document without what they share with the chunk before, joined: the document but for white space."""
+    own = context.trim_chunks(chunking.chunk_texts(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    whole = F.regexp_replace(R.joined_in_order(F.coalesce("text", F.lit("lost")), "chunk_index", ""), BLANK, "")
+    return own.groupBy("doc_id").agg(F.sha2(whole, 256).alias("digest"))
 
 
 @query("m11_natural_order", with_views(f"WITH RECURSIVE {CONTEXT} SELECT query_id, position, rank AS anchor_rank, true AS in_order FROM chosen"))
@@ -168,6 +169,39 @@ def _(spark, d):
     return view(spark, d, "golden").select("evidence_id").distinct().join(docs, "evidence_id")
 
 
+STALLED = "status = 'running'"
+
+
+@query("p26_no_progress", with_views(f"""
+SELECT r.user_id, count(*) AS results, min(s.stopped_at) AS stopped_at FROM runs r
+LEFT JOIN (SELECT user_id, min(run_id) AS stopped_at FROM (SELECT user_id, run_id, {STALLED} AND lag({STALLED}) OVER (PARTITION BY user_id ORDER BY run_id) AS again FROM runs) WHERE again GROUP BY user_id) s ON s.user_id = r.user_id
+WHERE s.stopped_at IS NULL OR r.run_id <= s.stopped_at GROUP BY r.user_id
+"""))
+def _(spark, d):
+    """Results each user's worker gives until two in a row show no progress, and the one that ended it."""
+    rows = tools.until_stalled(view(spark, d, "runs"), ["user_id"], "run_id", ~F.expr(STALLED))
+    return rows.groupBy("user_id").agg(F.count("*").alias("results"), F.min(F.when(F.col("stopped"), F.col("run_id"))).alias("stopped_at"))
+
+
+@query("p26_repeated_handoffs", with_views("SELECT r.root_id, c.tool, c.props, count(*) AS handoffs, count(*) - 1 AS refused FROM tool_calls c JOIN runs r ON r.run_id = c.run_id GROUP BY r.root_id, c.tool, c.props"))
+def _(spark, d):
+    calls = view(spark, d, "tool_calls").join(view(spark, d, "runs").select("run_id", "root_id"), "run_id")
+    rows = tools.repeated_handoffs(calls, ["root_id"], "call_id", F.to_json(F.struct("tool", "props")))
+    return rows.groupBy("root_id", "tool", "props").agg(F.count("*").alias("handoffs"), F.count_if("refused").alias("refused"))
+
+
+@query("p28_review_values", """
+SELECT event_id, '{"items": ["[REDACTED]", {"n": ' || event_id || '}], "note": "' || CASE event_id % 4 WHEN 0 THEN '[REDACTED]' WHEN 1 THEN 'plain ' || event_type WHEN 2 THEN '[REDACTED]' ELSE 'sql select' END || '", "props": {"k": ' || json_extract_string(props, '$.k') || '}}' AS shown FROM events
+""")
+def _(spark, d):
+    """Review values: private fields gone at any depth, suspicious texts hidden."""
+    n = F.col("event_id") % 4
+    note = F.when(n == 0, "see Bearer abc").when(n == 1, F.concat(F.lit("plain "), "event_type")).when(n == 2, "Select a from b").otherwise("sql select")
+    number = F.col("event_id").cast("string")
+    value = F.concat(F.lit('{"note": "'), note, F.lit('", "user_id": '), F.col("user_id").cast("string"), F.lit(', "Stack": [1], "items": ["/home/a/b", {"n": '), number, F.lit(', "SQL": "x"}], "props": '), "props", F.lit("}"))
+    return table(spark, d, "events").select("event_id", quality_gate.review_values(value).alias("shown"))
+
+
 @query("p30_retrieval_runner", with_views("""
 SELECT k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(CASE WHEN first <= 10 THEN 1.0 / first ELSE 0.0 END), 6) AS mrr
 FROM (SELECT g.query_id, min(r.rank) AS first FROM (SELECT DISTINCT query_id FROM golden) g LEFT JOIN (SELECT r.* FROM ranked r JOIN golden x ON r.query_id = x.query_id AND r.candidate_id = x.evidence_id) r ON r.query_id = g.query_id GROUP BY g.query_id), (SELECT unnest([5, 10, 20]) AS k) GROUP BY k

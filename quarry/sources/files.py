@@ -188,6 +188,18 @@ def _pdf_string(raw: bytes) -> str:
     return out.decode("utf-16-be", "replace") if out.startswith(b"\xfe\xff") else out.decode("cp1252", "replace")
 
 
+def _pdf_streams(source: bytes) -> Iterator[bytes]:
+    """The streams of a file, unpacked; those in other packings are passed over."""
+    for m in re.finditer(rb"<<(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*>>\s*stream\r?\n(.*?)\r?\nendstream", source, re.S):
+        raw = m[1]
+        if b"/FlateDecode" in m[0][: len(m[0]) - len(raw)]:
+            try:
+                raw = zlib.decompressobj().decompress(raw, 8 * MAX_BYTES)
+            except zlib.error:
+                continue
+        yield raw
+
+
 def read_pdf(source: bytes) -> Iterator[dict]:
     """A block per page with the text its content streams show in simple fonts, in order of drawing.
 
@@ -197,13 +209,7 @@ def read_pdf(source: bytes) -> Iterator[dict]:
     if not source.startswith(b"%PDF-"):
         raise FileError("malformed")
     page = 0
-    for m in re.finditer(rb"<<(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*>>\s*stream\r?\n(.*?)\r?\nendstream", source, re.S):
-        raw = m[1]
-        if b"/FlateDecode" in m[0][: len(m[0]) - len(raw)]:
-            try:
-                raw = zlib.decompressobj().decompress(raw, 8 * MAX_BYTES)
-            except zlib.error:
-                continue
+    for raw in _pdf_streams(source):
         if b"BT" not in raw:
             continue
         page += 1
@@ -237,6 +243,36 @@ def parse(extension: str, source: bytes) -> list[dict]:
         raise FileError("malformed") from e
 
 
+def layout_tags(extension: str, source: bytes) -> list[str]:
+    """What makes a file hard to read, sorted: header or footer text and media of a DOCX, merged cells of an XLSX, four or more drawn paths of a PDF content stream.
+
+    Two-column pages need block positions: `quality_gate.two_columns`. Other extensions have no tags; FileError where it can't be read.
+    """
+    if len(source) > MAX_BYTES:
+        raise FileError("limit")
+    tags = set()
+    if extension == "pdf":
+        if not source.startswith(b"%PDF-"):
+            raise FileError("malformed")
+        for raw in _pdf_streams(source):
+            drawn = re.sub(rb"\((?:\\.|[^\\()])*\)|\bBT\b.*?\bET\b", b" ", raw, flags=re.S)
+            if len(re.findall(rb"(?<!\S)(?:[fBb]\*?|[FSs])(?!\S)", drawn)) >= 4:
+                tags.add("detected_document_table")
+    elif extension in ("docx", "xlsx"):
+        try:
+            with zipfile.ZipFile(io.BytesIO(source)) as z:
+                part = lambda heads, mark: any(n.startswith(heads) and n.endswith(".xml") and mark in z.read(n) for n in z.namelist())
+                if extension == "xlsx" and part("xl/worksheets/", b"<mergeCells"):
+                    tags.add("detected_merged_cells")
+                if extension == "docx" and part(("word/header", "word/footer"), b"<w:t"):
+                    tags.add("detected_header_footer")
+                if extension == "docx" and any(n.startswith("word/media/") for n in z.namelist()):
+                    tags.add("detected_embedded_media")
+        except (zipfile.BadZipFile, KeyError, zlib.error) as e:
+            raise FileError("malformed") from e
+    return sorted(tags)
+
+
 def blocks(files: DataFrame) -> DataFrame:
     """Blocks of files given as path, content."""
     columns = [f.split()[0] for f in BLOCKS.split(", ")]

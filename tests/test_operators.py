@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import text, vectors
-from quarry.operators import chunking, context, joins, near_text, ranking, retrieval, writes
+from quarry.operators import audit, chunking, context, joins, near_text, quality_gate, ranking, retrieval, tools, writes
 from quarry.operators import relational as R
 
 TEXTS = st.text(alphabet=st.sampled_from("ab c.,\n;é中文字!?１_ ́"), max_size=400)
@@ -237,3 +237,93 @@ def test_arguments_are_bounded():
     got = shown_fields({f"k{i:02}": i for i in range(23)} | {"a-Token": "x", "b": [{"c": {"d": 1}}] * 12, "c": "y" * 201}, 20, 0)
     assert got["a-Token"] == "[REDACTED]" and got["b"] == [{"c": "[TRUNCATED]"}] * 10 + ["[TRUNCATED]"] and got["c"] == "y" * 197 + "..."
     assert got["_truncated_fields"] == 6 and len(got) == 21
+
+
+def test_line_kinds(spark):
+    want = {"Invoice  NUMBER": "label", "Product category ": "label", "Section 4 scope of the whole agreement as signed": "section", "approximately EUR 1,200.50 million per year": "currency", "$ 5": "currency", "A12/34-5": "reference_code",
+            "1.2)": "outline", "（三）": "outline", "3. Terms of use": "numbered", "Overview": "heading", "This one ends. It is a text.": "text", "EUR five": "heading", "": "text"}
+    rows = spark.createDataFrame([(k,) for k in want] + [(None,)], "line string")
+    got = {r["line"]: r["kind"] for r in rows.select("line", quality_gate.line_kind(F.col("line")).alias("kind")).collect()}
+    assert got == want | {None: "text"}
+
+
+def test_review_values():
+    value = '{"a": [{"Password": "x", "t": "sk-1"}, "SELECT a FROM b", 3], "acl": [1], "b": {"path": 1, "c": {"stack": 1, "d": "C:\\\\x"}}, "e": "select", "f": "user_id = 4"}'
+    assert quality_gate.review_value(value) == '{"a": [{"t": "[REDACTED]"}, "[REDACTED]", 3], "b": {"c": {"d": "[REDACTED]"}}, "e": "select", "f": "[REDACTED]"}'
+    assert quality_gate.review_value(None) is None and quality_gate.review_value("Bearer x") == '"[REDACTED]"' and quality_gate.review_value("") == '""' and quality_gate.review_value("[]") == "[]"
+
+
+def plain_stall(progress, most):
+    streak = 0
+    for n, p in enumerate(progress, 1):
+        streak = 0 if p else streak + 1
+        if streak > most:
+            return n, True
+    return len(progress), False
+
+
+def test_workers_stop_without_progress(spark):
+    rng = random.Random(5)
+    runs = {k: [rng.choice([True, False, None]) for _ in range(rng.randrange(1, 12))] for k in range(30)}
+    rows = spark.createDataFrame([(k, i, p) for k, ps in runs.items() for i, p in enumerate(ps)], "k int, i int, p boolean")
+    for most in (1, 2):
+        out = tools.until_stalled(rows, ["k"], "i", F.col("p"), most).groupBy("k").agg(F.count("*"), F.max("stopped"), F.count_if("stopped")).collect()
+        assert {r[0]: (r[1], r[2]) for r in out} == {k: plain_stall(p, most) for k, p in runs.items()}
+        assert all(r[3] <= 1 for r in out)
+
+
+def test_repeated_handoffs_are_refused(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 4, "a"), (1, 5, "a")], "root int, i int, s string")
+    assert {r["i"]: r["refused"] for r in tools.repeated_handoffs(rows, ["root"], "i", F.col("s"), 2).collect()} == {1: False, 2: False, 3: False, 4: False, 5: True}
+
+
+def test_text_audit(spark):
+    s = chunking.Settings(target=30, most=40, overlap=5)
+    texts = {1: "First line here.\n\nSECOND  line e\u0301\n" + "long words follow one another " * 12 + "\nlast line", 2: "", 3: None, 4: " \n", 5: "word " * 200, 6: "a\nb\nc"}
+    docs = spark.createDataFrame(list(texts.items()) + [(None, "x")], "k int, t string")
+    got = {r["k"]: r for r in audit.audit_texts(docs, chunking.chunk_texts(docs.filter("k IS NOT NULL"), "k", "t", s), "k", "t", s.most).collect()}
+    norm = lambda v: " ".join(unicodedata.normalize("NFC", v).lower().split())
+    assert set(got) == set(texts)
+    for k, t in texts.items():
+        value = unicodedata.normalize("NFC", t or "")
+        bodies = [norm(value[a:b]) for a, b, *_ in chunking.text_windows(value, s)]
+        units = [norm(x) for x in value.split("\n") if norm(x) and chunking.count_tokens(x) <= s.most]
+        held = sum(any(u in b for b in bodies) for u in units)
+        r = got[k]
+        assert (r["units"], r["preserved"], r["chunks"], r["ordered"], r["bounded"]) == (len(units), held, len(bodies), True, True)
+        assert r["break_rate"] == (round(1 - held / len(units), 6) if units else None)
+    cut = spark.createDataFrame([(6, 1, "a b", 700), (6, 3, "c", 2)], "k int, chunk_index int, body string, token_count int")
+    r = audit.audit_texts(docs.filter("k = 6"), cut, "k", "t").first()
+    assert (r["units"], r["preserved"], r["ordered"], r["bounded"]) == (3, 3, False, True)
+
+
+def test_table_audit_and_trim(spark):
+    rows = [{"number": 1, "header": True, "cells": [cell(1, "name"), cell(2, "n|m")]}] + [{"number": i, "header": False, "cells": [cell(1, f"item\n{i}"), cell(2, "")]} for i in range(2, 12)]
+    table = spark.createDataFrame([(1, rows), (2, rows[:1]), (3, [])], "k int, rows array<struct<number:int,header:boolean,cells:array<struct<column:int,span:int,text:string>>>>")
+    chunks = chunking.chunk_tables(table, "k", "rows", chunking.Settings(target=50, most=70))
+    assert {tuple(r) for r in audit.audit_rows(table, chunks, "k", "rows").collect()} == {(1, 11, 11), (2, 1, 1)}
+    assert {tuple(r) for r in audit.audit_rows(table, chunks.filter("chunk_index > 1"), "k", "rows").filter("k = 2").collect()} == {(2, 1, 0)}
+    own = [r["own"] for r in chunks.filter("k = 1").orderBy("chunk_index").select(context.trim_table(F.col("body")).alias("own")).collect()]
+    lines = "\n".join(own).split("\n")
+    assert len(own) > 1 and len(lines) == 11 and lines[0].startswith("[header row 1]") and [int(x.split()[2][:-1]) for x in lines] == list(range(1, 12))
+
+
+def test_chunks_are_trimmed_by_the_chunk_before(spark):
+    value = " ".join(f"word{i}{'.' * (i % 7 == 0)}" for i in range(400))
+    rows = spark.createDataFrame([(1, value), (2, None)], "k int, t string")
+    chunks = chunking.chunk_texts(rows, "k", "t", chunking.Settings(target=60, most=70, overlap=9))
+    out = context.trim_chunks(chunks, "k").orderBy("chunk_index").collect()
+    assert len(out) > 5 and "".join(r["text"] for r in out).replace(" ", "") == value.replace(" ", "")
+    odd = spark.createDataFrame([(1, 1, "a b", 0), (1, 2, "x c", 1)], "k int, chunk_index int, body string, overlap_tokens int")
+    assert [r["text"] for r in context.trim_chunks(odd, "k").orderBy("chunk_index").collect()] == ["a b", None]
+
+
+def test_fixed_embedding(spark):
+    import hashlib
+    import struct
+
+    got = spark.createDataFrame([("a",), ("",), ("é中",)], "t string").select("t", vectors.fixed_embedding(F.col("t"), "query", 8).alias("v")).collect()
+    for r in got:
+        raw = struct.unpack(">8i", hashlib.shake_256(b"query\0" + r["t"].encode()).digest(32))
+        size = sum(x * x for x in raw) ** 0.5
+        assert r["v"] == pytest.approx([x / size for x in raw], rel=1e-12)

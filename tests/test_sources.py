@@ -99,3 +99,24 @@ def test_exact_text_functions(spark):
     got = rows.select(text.match_text_exact(F.col("t")).alias("m"), text.tight_text_exact(F.col("t")).alias("s"), text.tokens_exact(F.col("t")).alias("w")).collect()
     assert tuple(got[0]) == ("strasse fine viii", "strassefineviii", "strasse fine viii")
     assert tuple(got[1]) == (None, None, None) and tuple(got[2]) == ("", "", "")
+
+
+def test_layout_tags():
+    def packed(parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, value in parts.items():
+                z.writestr(name, value)
+        return out.getvalue()
+
+    assert files.layout_tags("docx", document_file()) == ["detected_header_footer"]
+    assert files.layout_tags("docx", packed({"word/media/a.png": "x", "word/footer1.xml": "<w:p/>"})) == ["detected_embedded_media"]
+    assert files.layout_tags("xlsx", sheet_file()) == [] == files.layout_tags("csv", b"a,b")
+    assert files.layout_tags("xlsx", packed({"xl/worksheets/s1.xml": "<worksheet><mergeCells/></worksheet>"})) == ["detected_merged_cells"]
+    paths = b"0 0 m 9 9 l S 0 0 5 5 re f* BT (S S S S) Tj ET 1 1 m 2 2 l s "
+    page = lambda stream: b"%PDF-1.4\n1 0 obj << /Length 1 >>\nstream\n" + stream + b"\nendstream endobj"
+    assert files.layout_tags("pdf", page(paths + b"0 0 m B")) == ["detected_document_table"]
+    assert files.layout_tags("pdf", page(paths)) == files.layout_tags("pdf", page_file()) == []
+    for name, bad in (("pdf", b"x"), ("docx", b"x")):
+        with pytest.raises(files.FileError):
+            files.layout_tags(name, bad)
