@@ -11,6 +11,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -146,24 +147,29 @@ def table_windows(rows: list[dict], settings: Settings = Settings()) -> list[dic
         lines = [line(r, "header", not first, band) for r in headers]
         return "\n".join(lines + [line(r, "data", True, band) for r in context] + [line(r, "data", False, band) for r in new])
 
+    # a line opens with a bracket, so a chunk's tokens are those of its lines
+    sizes = {flag: [count_tokens(line(r, "data", flag, (1, width))) for r in body] for flag in (True, False)}
+    heads = {first: sum(count_tokens(line(r, "header", not first, (1, width))) for r in headers) for first in (True, False)}
+    upto = [0, *accumulate(sizes[False])]
+
+    def cost(low: int, at: int, stop: int) -> int:
+        """Tokens of a chunk with rows low..at as context and at..stop as its own."""
+        return heads[not out] + sum(sizes[True][low:at]) + upto[stop] - upto[at]
+
     all_columns = (1, width)
     out: list[dict] = []
     at = 0
     if not body and headers:
         return [{"rows": [r["number"] for r in headers], "columns": all_columns, "body": (t := render([], [], True, all_columns)), "token_count": count_tokens(t)}]
     while at < len(body):
-        context = body[max(0, at - settings.row_overlap) : at]
-        stop = at + 1
-        while stop < len(body) and count_tokens(render(context, body[at:stop], not out, all_columns)) < settings.target:
-            if count_tokens(render(context, body[at : stop + 1], not out, all_columns)) > settings.most:
-                break
+        low, stop = max(0, at - settings.row_overlap), at + 1
+        while stop < len(body) and cost(low, at, stop) < settings.target and cost(low, at, stop + 1) <= settings.most:
             stop += 1
-        while context and count_tokens(render(context, body[at:stop], not out, all_columns)) > settings.most:
-            context = context[1:]
-        new = body[at:stop]
-        text = render(context, new, not out, all_columns)
-        if count_tokens(text) <= settings.most:
-            out.append({"rows": [r["number"] for r in new], "columns": all_columns, "body": text, "token_count": count_tokens(text)})
+        while low < at and cost(low, at, stop) > settings.most:
+            low += 1
+        new, n = body[at:stop], cost(low, at, stop)
+        if n <= settings.most:
+            out.append({"rows": [r["number"] for r in new], "columns": all_columns, "body": render(body[low:at], new, not out, all_columns), "token_count": n})
         else:
             out += _bands(new, headers, render, width, not out, settings)
         at = stop
