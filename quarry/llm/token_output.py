@@ -46,6 +46,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, out: str, path: str, end_
                     [rows.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(done + edge[:-1]), pa.array(n + 1), lists], ["k", "part", "offset", "n_tokens", "ids"]
                 )
                 done += int(edge[-1])
+                del rows, ids, full, keep, lists
+                _store.give_back()
 
     _store.ship(spark)
     kind = docs.schema[key].dataType.simpleString()
