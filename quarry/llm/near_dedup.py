@@ -317,7 +317,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, key
     _store.ship(spark)
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     hashed = rows.withColumn("h", F.when(F.col("t").isNotNull(), F.xxhash64("t")))
-    described = _store.cut(spark, spread(hashed).mapInArrow(_store.lean(_describe(percent)), "k long, h long, n long, bytes long, f long, g long, bands array<long>"))
+    with _store.small_batches(spark):
+        described = _store.cut(spark, spread(hashed).mapInArrow(_store.lean(_describe(percent)), "k long, h long, n long, bytes long, f long, g long, bands array<long>"))
     full = described.filter("n > 0 AND k IS NOT NULL")
     classes = full.groupBy("n", "f", "g").agg(F.min("k").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("bands", "bytes"), "k").alias("x"))
     classes = _store.cut(spark, classes.select("n", "f", "g", "rep", "copies", "x.bands", "x.bytes"))

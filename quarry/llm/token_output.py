@@ -55,7 +55,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, out: str, path: str, end_
     dealt = rows.repartitionByRange(_store.partitions(spark), "k").sortWithinPartitions("k", F.octet_length("t"), "t")
     coded = dealt.mapInArrow(_store.lean(encode), f"k {kind}, part int, offset long, n_tokens long, ids array<int>").withColumnRenamed("k", key)
     options = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.dictionary.page.size": 1 << 20, "parquet.page.write-checksum.enabled": "true", "compression": "zstd"}
-    coded.write.options(**{k: str(v) for k, v in options.items()}).mode("errorifexists").parquet(out)
+    with _store.small_batches(spark):
+        coded.write.options(**{k: str(v) for k, v in options.items()}).mode("errorifexists").parquet(out)
 
 
 def read_tokens(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +40,16 @@ def test_code_is_shipped_once(spark):
     before = spark.sparkContext._jsc.sc().listFiles().size()
     _store.ship(spark)
     assert spark.sparkContext._jsc.sc().listFiles().size() == before
+
+
+def test_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    with _store.small_batches(spark, 700):
+        inside = [r["n"] for r in sizes.collect()]
+    assert sum(inside) == 5000 and max(inside) == 700
+    assert spark.conf.get(name) == before
+    with pytest.raises(ValueError), _store.small_batches(spark):
+        raise ValueError
+    assert spark.conf.get(name) == before
