@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("substring_dedup", "token_output", "mixing", "ann", "toxicity", "quality", "token_counts", "decontamination", "line_dedup", "near_dedup")
+MODULES = ("substring_dedup", "token_output", "mixing", "ann", "toxicity", "quality", "token_counts", "decontamination", "line_dedup", "near_dedup", "sharding", "filter_audit", "lexical_search")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
