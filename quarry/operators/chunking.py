@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import source
 from quarry.session import spread
 
 CJK = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u3040-\u30ff\uac00-\ud7af"
@@ -111,6 +112,26 @@ def chunk_texts(df: DataFrame, key: str, text: str, settings: Settings = Setting
     return rows.select(key, "c.*")
 
 
+def chunk_sources(df: DataFrame, key: str, text: str, settings: Settings = Settings()) -> DataFrame:
+    """key, chunk_index, body, token_count, overlap_tokens, char_start, char_end, source_start, source_end.
+
+    Chunks of the regular form of a text (`functions.source`): the char range is the body's place in that form, the source range
+    the place in the text as it was given, so a citation of a chunk shows the source itself. A base and its marks stay whole there.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            said, first, last = source.normalize(t or "")
+            out.append([{"chunk_index": i, "body": said[a:b], "token_count": n, "overlap_tokens": s, "char_start": a, "char_end": b, "source_start": int(first[a]), "source_end": int(last[b - 1])} for i, (a, b, n, s) in enumerate(text_windows(said, settings), 1)])
+        return pa.array(out, pa.list_(pa.struct([(c, pa.string() if c == "body" else pa.int32()) for c in columns])))
+
+    columns = ("chunk_index", "body", "token_count", "overlap_tokens", "char_start", "char_end", "source_start", "source_end")
+    kind = ",".join(f"{c}:{'string' if c == 'body' else 'int'}" for c in columns)
+    rows = spread(df.select(key, text)).select(F.col(key), F.explode(F.arrow_udf(run, f"array<struct<{kind}>>")(F.col(text))).alias("c"))
+    return rows.select(key, "c.*")
+
+
 def _column_groups(cells: list[dict], width: int) -> list[tuple[int, int]]:
     """Column ranges that no merged cell crosses."""
     reach = list(range(width + 1))

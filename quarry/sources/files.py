@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import pdf
+
 # Limits of one file.
 MAX_BYTES = 25 * 1024 * 1024
 MAX_ROWS = 200_000
@@ -182,12 +184,6 @@ def read_docx(source: bytes) -> Iterator[dict]:
                 yield {"kind": "header" if "header" in name else "footer", "text": text}
 
 
-def _pdf_string(raw: bytes) -> str:
-    """A literal string of a content stream."""
-    out = re.sub(rb"\\([nrtbf()\\]|[0-7]{1,3})", lambda m: {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}.get(m[1], bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else m[1]), raw)
-    return out.decode("utf-16-be", "replace") if out.startswith(b"\xfe\xff") else out.decode("cp1252", "replace")
-
-
 def _pdf_streams(source: bytes) -> Iterator[bytes]:
     """The streams of a file, unpacked; those in other packings are passed over."""
     for m in re.finditer(rb"<<(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*>>\s*stream\r?\n(.*?)\r?\nendstream", source, re.S):
@@ -201,24 +197,23 @@ def _pdf_streams(source: bytes) -> Iterator[bytes]:
 
 
 def read_pdf(source: bytes) -> Iterator[dict]:
-    """A block per page with the text its content streams show in simple fonts, in order of drawing.
+    """A block per page with its text in order of drawing; `quarry.operators.layout` has lines, columns and boxes.
 
-    Enough for text drawn with standard encodings; pages without such text come out empty, which the
-    health rules then call unusable. Images and embedded font maps need a library that is not here.
+    Scanned pages come out empty, which the health rules then call unusable.
     """
-    if not source.startswith(b"%PDF-"):
-        raise FileError("malformed")
-    page = 0
-    for raw in _pdf_streams(source):
-        if b"BT" not in raw:
-            continue
-        page += 1
-        lines: list[str] = []
-        for part in re.split(rb"\b(?:T\*|Td|TD|Tm|ET)\b", raw):
-            said = "".join(_pdf_string(s) for s in re.findall(rb"\(((?:\\.|[^\\()])*)\)", part))
-            if said.strip():
-                lines.append(said)
-        yield {"kind": "page", "page": page, "text": "\n".join(lines)}
+    try:
+        for page in pdf.read_pages(source):
+            lines: list[str] = []
+            last = None
+            for run in page.runs:
+                if last is not None and abs(run.baseline - last.baseline) <= 0.4 * run.size and run.box[0] >= last.box[0]:
+                    lines[-1] += (" " if run.box[0] - last.box[2] > 0.15 * run.size else "") + run.text
+                else:
+                    lines.append(run.text)
+                last = run
+            yield {"kind": "page", "page": page.number, "text": "\n".join(lines)}
+    except pdf.PdfError as e:
+        raise FileError(str(e)) from e
 
 
 def read_text(source: bytes) -> Iterator[dict]:
@@ -239,7 +234,7 @@ def parse(extension: str, source: bytes) -> list[dict]:
         return list(reader(source))
     except FileError:
         raise
-    except (KeyError, ValueError, IndexError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
+    except (KeyError, ValueError, IndexError, TypeError, AttributeError, RecursionError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
         raise FileError("malformed") from e
 
 
@@ -278,8 +273,8 @@ def blocks(files: DataFrame) -> DataFrame:
     columns = [f.split()[0] for f in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
                     found = parse(path.rpartition(".")[2].lower(), bytes(content))
                 except FileError as e:
