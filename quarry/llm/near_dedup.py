@@ -19,8 +19,8 @@ Jaccard index for sets of any size and no bucket stays empty.
 4. The components of the confirmed links, plus the classes, are the result.
 
 No link is lost but by the registers: a pair at the threshold shares no band with probability below
-`MISSED`, and its estimate lies below the cut, 0.15 under the threshold, with probability below 1e-8
-(256 registers).
+`MISSED`, and its estimate lies below the cut, 0.15 under the threshold, with probability below 1e-8 from 80 % on
+(256 registers; 1e-6 at 50 %).
 
 The threshold sets the least size that another set than an equal one can match (6 shingles at 85, 4 at
 80) and the bands: 32 of 8 registers at 85, 64 of 4 at 80, as wide as lets a pair at the threshold share
@@ -234,10 +234,13 @@ def _confirm_stars(percent: int) -> Callable[[pa.Table], pa.Table]:
             while j < len(order) and lows[order[j]] == lows[order[i]]:
                 j += 1
             some = order[i:j]
-            if keys[some[0]] == lows[some[0]]:
-                regs = registers([sets[x] for x in some])
-                good = np.flatnonzero(estimated(regs[1:], regs[0]) >= percent / 100 - 0.15) + 1
-                out += [(int(keys[some[x]]), int(lows[some[0]])) for x in good.tolist() if similar(sets[some[x]], sets[some[0]], percent)]
+            heads = int((keys[some] == lows[some]).sum())  # more than one where the low's id has several texts
+            regs = registers([sets[x] for x in some]) if heads else None
+            found: set[int] = set()
+            for head in range(heads):
+                good = np.flatnonzero(estimated(regs[heads:], regs[head]) >= percent / 100 - 0.15) + heads
+                found.update(x for x in good.tolist() if x not in found and similar(sets[some[x]], sets[some[head]], percent))
+            out += [(int(keys[some[x]]), int(lows[some[0]])) for x in sorted(found)]
             i = j
         return _pairs(out)
 
@@ -249,9 +252,8 @@ def _confirm_rest(percent: int) -> Callable[[pa.Table], pa.Table]:
         keys, comp = group.column("k").to_numpy(), group.column("comp").to_numpy()
         block, known = group.column("block").to_numpy(), group.column("known").to_numpy()
         sets, right = _representatives(group)
-        chosen = {}
-        for x in right:
-            chosen.setdefault((comp[x], keys[x]), x)
+        f, g = group.column("f").to_numpy(), group.column("g").to_numpy()
+        chosen = {(comp[x], keys[x], f[x], g[x]): x for x in reversed(right)}  # each text of an id once
         order = sorted(chosen.values(), key=lambda x: (comp[x], keys[x]))
         out: list[tuple[int, int]] = []
         i = 0

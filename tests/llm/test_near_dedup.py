@@ -91,6 +91,16 @@ def test_empty_and_repeated(spark, no_docs):
     assert got == [(3, 0, 3, True), (4, 3, 4, True), (4, 3, 4, True), (9, 0, 9, True)]
 
 
+def test_an_id_with_several_texts_loses_no_link(spark):
+    rng = random.Random(4)
+    a, b = ([f"{x}{rng.randint(0, 9999)}" for _ in range(40)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*b, "more"])), (3, " ".join([*a, "word"])), (3, "something else altogether that nobody has"), (9, " ".join(f"c{i}" for i in range(30)))]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark, docs).collect())
+        assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (9, 9)]
+
+
 def test_registers_estimate_jaccard():
     rng = np.random.default_rng(2)
     for n in (7, 60, 3000):
