@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -41,6 +42,39 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset and all is one machine (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = known.get() if known.isDefined() else None
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The same rows from checkpoint files: what follows more than once is computed once, and lost executors don't matter."""
+    shared_dir(spark)
+    return df.checkpoint(eager=True)
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """What tells one state of a table's files from another: their names, sizes and times."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = [], fs.listFiles(root, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over all cores if the scan has fewer partitions than there are; a larger scan stays as it is.
 
