@@ -57,29 +57,35 @@ def trim_table(body: Column) -> Column:
 
 
 def _choose(query, group: pd.DataFrame, most_tokens: int, most_segments: int) -> pd.DataFrame:
-    """Admit in order of priority; whoever breaks a budget or repeats a text is left out and costs nothing."""
-    chosen: list = []
+    """Admit in order of priority; whoever breaks a budget or repeats a text is left out and costs nothing.
+
+    A row changes its own text and that of the chunk after it, which now has a predecessor; no other.
+    """
+    chosen: dict[tuple, tuple] = {}  # (document, chunk index) -> row, text, tokens
     raw: set[str] = set()
+    total = 0
 
-    def rendered(rows: list) -> list[tuple] | None:
-        at = {(r.document_id, r.chunk_index): r.body for r in rows}
-        out, texts = [], set()
-        for r in rows:
-            text = trim(r.body, int(r.overlap_tokens), at.get((r.document_id, r.chunk_index - 1)))
-            if not text or text in texts:
-                return None
-            texts.add(text)
-            out.append((r, text, count_tokens(text)))
-        return out
+    def shown(row, before) -> tuple | None:
+        text = trim(row.body, int(row.overlap_tokens), before.body if before is not None else None)
+        return (row, text, count_tokens(text)) if text else None
 
     for row in group.itertuples():
-        if row.body in raw:
+        if row.body in raw or len(chosen) == most_segments:
+            continue
+        place, following = (row.document_id, row.chunk_index), (row.document_id, row.chunk_index + 1)
+        before = chosen.get((row.document_id, row.chunk_index - 1))
+        changed = {place: shown(row, before[0] if before else None)}
+        if following in chosen:
+            changed[following] = shown(chosen[following][0], row)
+        texts = {c[1] for at, c in chosen.items() if at not in changed}
+        new = [c[1] for c in changed.values() if c is not None]
+        cost = total + sum(c[2] for c in changed.values() if c is not None) - sum(chosen[at][2] for at in changed if at in chosen)
+        if place in chosen or None in changed.values() or len(set(new)) < len(new) or texts & set(new) or cost > most_tokens:
             continue
-        trial = rendered([*chosen, row])
-        if trial is not None and len(trial) <= most_segments and sum(n for *_, n in trial) <= most_tokens:
-            chosen.append(row)
-            raw.add(row.body)
-    out = [(query, r.chunk_id, r.role, int(r.anchor_rank), text, n) for r, text, n in rendered(chosen) or []]
+        chosen |= changed
+        total = cost
+        raw.add(row.body)
+    out = [(query, r.chunk_id, r.role, int(r.anchor_rank), text, n) for r, text, n in chosen.values()]
     rank = {"previous": 0, "anchor": 1, "next": 2}
     out.sort(key=lambda x: (x[3], rank[x[2]]))
     return pd.DataFrame([(*x, i) for i, x in enumerate(out, 1)], columns=["query_id", "chunk_id", "role", "anchor_rank", "text", "tokens", "position"])

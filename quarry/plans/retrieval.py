@@ -8,12 +8,13 @@ from quarry.functions import hashing, vectors
 from quarry.operators import context, ranking, retrieval
 from quarry.operators import joins as J
 from quarry.operators import relational as R
+from quarry.plans import indexes
 from quarry.plans.documents import marked
 from quarry.plans.joins import FILE, LIVE
 from quarry.plans.relational import live_versions
 from quarry.plans.views import view, with_views
 from quarry.registry import query
-from quarry.session import table
+from quarry.session import cut, table
 
 TERMS = ["stupid", "licensed", "erea", "des", "que"]
 DISTANCE = "1 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
@@ -39,18 +40,26 @@ def queries_of(spark, d):
     return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.array(F.lit(TERMS[0]), F.lit(TERMS[1]), third).alias("terms"))
 
 
-def dense_route(spark, d, k=30):
-    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(allowed(spark, d).select(F.col("document_id").alias("chunk_id")), "chunk_id", "left_semi")
+def permitted(spark, d):
+    """The ids of `allowed`, computed once for all that a query does with them."""
+    return cut(spark, allowed(spark, d).select(F.col("document_id").alias("chunk_id")))
+
+
+def dense_route(spark, d, k=30, ok=None):
+    ok = allowed(spark, d).select(F.col("document_id").alias("chunk_id")) if ok is None else ok
+    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(ok, "chunk_id", "left_semi")
     return retrieval.dense_topk(chunks, queries_of(spark, d).select("query_id", "q"), k)
 
 
-def lexical_route(spark, d, k=30):
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("body")).join(allowed(spark, d).select(F.col("document_id").alias("chunk_id")), "chunk_id", "left_semi")
-    return retrieval.lexical_topk(chunks, queries_of(spark, d).select("query_id", "terms"), k)
+def lexical_route(spark, d, k=30, ok=None):
+    """By the stored index: the postings of the asked terms alone are read."""
+    ok = allowed(spark, d).select(F.col("document_id").alias("chunk_id")) if ok is None else ok
+    return indexes.lexical(spark, d).search(queries_of(spark, d).select("query_id", "terms"), k, ok)
 
 
-def hybrid_route(spark, d, k=8):
-    return retrieval.hybrid(dense_route(spark, d), lexical_route(spark, d), k)
+def hybrid_route(spark, d, k=8, ok=None):
+    ok = permitted(spark, d) if ok is None else ok
+    return retrieval.hybrid(dense_route(spark, d, ok=ok), lexical_route(spark, d, ok=ok), k)
 
 
 @query("m01_dense_route", with_views(f"WITH {ROUTES} SELECT query_id, chunk_id, rank, round(1 - greatest(0.0, least(2.0, dist)), 6) AS similarity FROM dense"))
@@ -116,37 +125,47 @@ final AS (SELECT query_id, unnest(arg_max(ids, priority)) AS chunk_id FROM walk
 chosen AS (SELECT b.query_id, b.chunk_id, b.role, b.rank, b.tokens, b.body, row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank, CASE b.role WHEN 'previous' THEN 0 WHEN 'anchor' THEN 1 ELSE 2 END) AS position FROM final f JOIN bodies b ON b.query_id = f.query_id AND b.chunk_id = f.chunk_id)"""
 
 
-def readable(spark, d):
+def readable(spark, d, ok):
     """Chunks the caller may read: every document as a chunk of a longer one, twenty neighbours make a document.
 
     Anchors and neighbours are taken from these rows alone, so a chunk that is not allowed is neither shown nor stepped over.
     """
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 20).alias("document_id"), (F.col("doc_id") % 20 + 1).cast("int").alias("chunk_index"), F.col("text").alias("body"))
-    return chunks.join(allowed(spark, d).select(F.col("document_id").alias("chunk_id")), "chunk_id", "left_semi")
+    return chunks.join(ok, "chunk_id", "left_semi")
+
 
+def searched(spark, d):
+    """What one search gives all that follows: the chunks that may be read, and its four best of each query with both ranks."""
+    ok = permitted(spark, d)
+    return ok, cut(spark, hybrid_route(spark, d, 4, ok).select("query_id", "chunk_id", "rank", "rrf", "rank_0", "rank_1"))
 
-def anchors(spark, d):
-    return hybrid_route(spark, d, 4).select("query_id", "chunk_id", "rank")
+
+def windows(spark, d, ok, found):
+    """chunk_id, previous, next of the chunks found: only documents that hold one of them are looked at."""
+    chunks = readable(spark, d, ok).drop("body")
+    near = J.neighbours(chunks.join(found.select(F.floor(F.col("chunk_id") / 20).alias("document_id")).distinct(), "document_id", "left_semi"), ["document_id"], "chunk_index", "chunk_id")
+    return near.select("chunk_id", "previous", "next")
 
 
 @query("m07_rehydrated_windows", with_views(f"WITH {ANCHORS} SELECT a.query_id, a.chunk_id, p.document_id AS previous, n.document_id AS next FROM a LEFT JOIN allowed p ON p.document_id = a.chunk_id - 1 AND p.document_id // 20 = a.chunk_id // 20 LEFT JOIN allowed n ON n.document_id = a.chunk_id + 1 AND n.document_id // 20 = a.chunk_id // 20"))
 def _(spark, d):
-    near = J.neighbours(readable(spark, d).drop("body"), ["document_id"], "chunk_index", "chunk_id")
-    return anchors(spark, d).join(near, "chunk_id").select("query_id", "chunk_id", "previous", "next")
+    ok, found = searched(spark, d)
+    return found.join(windows(spark, d, ok, found), "chunk_id").select("query_id", "chunk_id", "previous", "next")
 
 
 @query("m08_candidate_priority", with_views(f"WITH {CANDIDATES} SELECT query_id, chunk_id, role, priority FROM wanted"))
 def _(spark, d):
-    near = J.neighbours(readable(spark, d).drop("body"), ["document_id"], "chunk_index", "chunk_id")
-    return context.candidates(anchors(spark, d), near.select("chunk_id", "previous", "next")).select("query_id", "chunk_id", "role", "priority")
+    ok, found = searched(spark, d)
+    return context.candidates(found, windows(spark, d, ok, found)).select("query_id", "chunk_id", "role", "priority")
+
+
+def context_of(spark, d, ok, found):
+    wanted = context.candidates(found, windows(spark, d, ok, found))
+    return context.select_context(wanted.join(readable(spark, d, ok), "chunk_id").withColumn("overlap_tokens", F.lit(0)))
 
 
 def built_context(spark, d):
-    chunks = readable(spark, d)
-    near = J.neighbours(chunks.drop("body"), ["document_id"], "chunk_index", "chunk_id")
-    wanted = context.candidates(anchors(spark, d), near.select("chunk_id", "previous", "next"))
-    rows = wanted.join(chunks, "chunk_id").withColumn("overlap_tokens", F.lit(0))
-    return context.select_context(rows)
+    return context_of(spark, d, *searched(spark, d))
 
 
 @query("m10_budgeted_context", with_views(f"WITH RECURSIVE {CONTEXT} SELECT query_id, position, chunk_id, role, tokens FROM chosen"))
@@ -154,6 +173,27 @@ def _(spark, d):
     return built_context(spark, d).select("query_id", "position", "chunk_id", "role", "tokens")
 
 
+@query("j04_search_evidence", with_views(f"""WITH RECURSIVE {CONTEXT} SELECT c.query_id, CAST(c.position AS INT) AS ordinal, '[E' || c.position || ']' AS label, sha256(c.query_id || '|' || c.chunk_id || '|' || sha256(c.body)) AS evidence_id, c.chunk_id, d.source || ' ' || c.chunk_id // 20 AS title, d.lang AS language,
+  CAST(c.chunk_id % 20 + 1 AS INT) AS chunk_index, CAST(length(d.text) - length(ltrim(d.text, ' ' || chr(9) || chr(10) || chr(13))) AS INT) AS char_start, CAST(length(rtrim(d.text, ' ' || chr(9) || chr(10) || chr(13))) AS INT) AS char_end, c.role, CAST(c.rank AS INT) AS anchor_rank,
+  CAST(x.rank AS INT) AS dense_rank, CAST(y.rank AS INT) AS lexical_rank, round(b.rrf, 6) AS rrf, substr(c.body, 1, 240) AS excerpt
+  FROM chosen c JOIN documents d ON d.doc_id = c.chunk_id LEFT JOIN best b ON c.role = 'anchor' AND b.query_id = c.query_id AND b.chunk_id = c.chunk_id LEFT JOIN dense x ON c.role = 'anchor' AND x.query_id = c.query_id AND x.chunk_id = c.chunk_id LEFT JOIN lexical y ON c.role = 'anchor' AND y.query_id = c.query_id AND y.chunk_id = c.chunk_id"""))
+def _(spark, d):
+    """What a search returns to its caller: evidence in reading order with label, identity, title, locator, ranks of both routes and excerpt."""
+    ok, found = searched(spark, d)
+    rows = context_of(spark, d, ok, found).withColumn("body_hash", hashing.text_sha256("text"))
+    hits = found.select("query_id", "chunk_id", F.lit("anchor").alias("role"), "rrf", "rank_0", "rank_1")
+    about = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "lang", F.col("text").alias("whole"))
+    full = rows.join(hits, ["query_id", "chunk_id", "role"], "left").join(about, "chunk_id")
+    blank = r"[ \t\n\r]+"
+    start = F.length("whole") - F.length(F.regexp_replace("whole", f"^{blank}", ""))
+    identity = F.sha2(F.concat_ws("|", F.col("query_id").cast("string"), F.col("chunk_id").cast("string"), "body_hash"), 256)
+    return full.select(
+        "query_id", F.col("position").alias("ordinal"), F.format_string("[E%d]", "position").alias("label"), identity.alias("evidence_id"), "chunk_id", F.concat_ws(" ", "source", F.floor(F.col("chunk_id") / 20).cast("string")).alias("title"), F.col("lang").alias("language"),
+        (F.col("chunk_id") % 20 + 1).cast("int").alias("chunk_index"), start.alias("char_start"), F.length(F.regexp_replace("whole", f"{blank}$", "")).alias("char_end"), "role", "anchor_rank",
+        F.col("rank_0").cast("int").alias("dense_rank"), F.col("rank_1").cast("int").alias("lexical_rank"), F.round("rrf", 6).alias("rrf"), F.substring("text", 1, 240).alias("excerpt"),
+    )
+
+
 @query("m12_context_identity", with_views(f"WITH RECURSIVE {CONTEXT} SELECT query_id, count(*) AS segments, CAST(sum(tokens) AS BIGINT) AS tokens, sha256(string_agg(chunk_id || ':' || sha256(body), ',' ORDER BY position)) AS context_hash FROM chosen GROUP BY query_id"))
 def _(spark, d):
     segment = F.struct("position", F.concat_ws(":", F.col("chunk_id").cast("string"), hashing.text_sha256("text")).alias("s"))
