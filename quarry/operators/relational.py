@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import percentiles
+
 
 def as_csv_line(df: DataFrame) -> Column:
     """Values joined by commas without quoting; null prints None."""
@@ -37,12 +39,12 @@ def upload_status(extension: str, content: str, magic: dict[str, str], most: int
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and interpolated quartiles of each column, in one pass."""
-    stats = []
-    for c in columns:
-        q = lambda p, c=c: F.percentile(c, p).alias("q")
-        stats.append(F.struct(F.lit(c).alias("name"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).cast("double").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(c).cast("double").alias("max")))
-    return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("x")).select("x.*")
+    """Count, mean, deviation, extremes and interpolated quartiles of each column; no column's values meet in one task."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")
+    long = df.select(values).select("x.*")
+    stats = long.groupBy("name").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    quartiles = percentiles.interpolated(long, ["name"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}).drop("n")
+    return stats.join(quartiles, "name", "left").select("name", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def seed_outcome(seed: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:

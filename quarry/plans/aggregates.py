@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import ranking
+from quarry.operators import percentiles, ranking
 from quarry.operators import relational as R
 from quarry.plans.views import view, with_views
 from quarry.registry import query
@@ -51,12 +51,15 @@ def _(spark, d):
 
 @query("d08_nearest_rank_percentiles", with_views("SELECT tool, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95 FROM tool_calls GROUP BY tool"))
 def _(spark, d):
-    return view(spark, d, "tool_calls").groupBy("tool").agg(ranking.nearest_rank("duration_ms", 0.5).alias("p50"), ranking.nearest_rank("duration_ms", 0.95).alias("p95"))
+    return percentiles.nearest_ranks(view(spark, d, "tool_calls"), ["tool"], "duration_ms", {"p50": 0.5, "p95": 0.95}).select("tool", "p50", "p95")
 
 
 @query("d09_latency_summary", with_views("SELECT count(*) AS n, min(duration_ms) AS min, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95, max(duration_ms) AS max FROM tool_calls"))
 def _(spark, d):
-    return view(spark, d, "tool_calls").agg(F.count("*").alias("n"), F.min("duration_ms").alias("min"), ranking.nearest_rank("duration_ms", 0.5).alias("p50"), ranking.nearest_rank("duration_ms", 0.95).alias("p95"), F.max("duration_ms").alias("max"))
+    calls = view(spark, d, "tool_calls")
+    whole = calls.agg(F.count("*").alias("n"), F.min("duration_ms").alias("min"), F.max("duration_ms").alias("max"))
+    ranks = percentiles.nearest_ranks(calls, [], "duration_ms", {"p50": 0.5, "p95": 0.95}).drop("n")
+    return whole.join(F.broadcast(ranks), F.lit(True), "left").select("n", "min", "p50", "p95", "max")  # one row each
 
 
 @query("d10_cohort_means", with_views("SELECT coalesce(tool, 'all') AS cohort, status, count(*) AS n, round(avg(duration_ms), 6) AS mean FROM tool_calls GROUP BY GROUPING SETS ((tool, status), (status))"))
@@ -160,7 +163,10 @@ def _(spark, d):
 
 @query("d24_parser_aggregate", "SELECT source, count_if(n_chars < 500) AS native, count_if(n_chars >= 500) AS enhanced, quantile_disc(n_chars, 0.5) AS p50, max(n_chars) AS peak FROM documents GROUP BY source")
 def _(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") < 500).alias("native"), F.count_if(F.col("n_chars") >= 500).alias("enhanced"), ranking.nearest_rank("n_chars", 0.5).alias("p50"), F.max("n_chars").alias("peak"))
+    docs = table(spark, d, "documents")
+    counts = docs.groupBy("source").agg(F.count_if(F.col("n_chars") < 500).alias("native"), F.count_if(F.col("n_chars") >= 500).alias("enhanced"), F.max("n_chars").alias("peak"))
+    middle = percentiles.nearest_ranks(docs, ["source"], "n_chars", {"p50": 0.5}).select(F.col("source").alias("_s"), "p50")
+    return counts.join(middle, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "native", "enhanced", "p50", "peak")
 
 
 @query("d25_chunk_cohorts", "SELECT lang, source, count(*) AS chunks, round(avg(n_chars), 6) AS mean FROM documents GROUP BY lang, source")
