@@ -18,9 +18,12 @@ def repeats(df: DataFrame, key: str, text: str, share: float = 0.9) -> DataFrame
     first few tokens, so candidates meet on an equality of rare tokens. Rows that are equal after
     normalisation count once, by their first key, before pairs are looked for; nothing is dropped.
     """
-    rows = spread(df.select(key, text)).select(F.col(key).alias("k"), T.match_text(F.col(text)).alias("m"), F.array_distinct(T.tokens(F.col(text))).alias("t"))
-    firsts = rows.groupBy("m").agg(F.min("k").alias("k"), F.first("t").alias("t"))
-    exact = rows.join(firsts.select("m", F.col("k").alias("first")), "m").filter("k > first").select("k", "first")
+    said = T.match_text(F.col(text))
+    # texts are known by 128 bits of hash and their length, so none is shuffled
+    same = ["h", "g", "n"]
+    rows = spread(df.select(key, text)).select(F.col(key).alias("k"), F.xxhash64(said).alias("h"), F.xxhash64(F.lit(7), said).alias("g"), F.length(said).alias("n"), F.array_distinct(T.tokens(F.col(text))).alias("t"))
+    firsts = rows.groupBy(*same).agg(F.min("k").alias("k"), F.first("t").alias("t"))
+    exact = rows.drop("t").join(firsts.select(*same, F.col("k").alias("first")), same).filter("k > first").select("k", "first")
     large = firsts.filter(F.size("t") >= LEAST_TOKENS).select("k", "t")
     wide = large.select("k", F.size("t").alias("n"), F.explode("t").alias("w"))
     rarity = wide.groupBy("w").agg(F.count("*").alias("df"))

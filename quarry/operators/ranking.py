@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import cut
+
 CUTOFFS = (1, 3, 5, 8, 10, 20)
 
 
@@ -19,6 +21,19 @@ def top_k(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int) ->
     return numbered(df, key, order).filter(F.col("rank") <= k)
 
 
+def positions(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """All rows numbered from 1 in one order, without a task that sees them all: ranges are sorted apart and numbered from their sizes.
+
+    The order is total; rows that it does not tell apart are numbered as they come.
+    """
+    spark = df.sparkSession
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(spark, df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_nth": nth}))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_nth") + 1).cast("int")).drop("_part", "_nth", "_before")  # a row a partition
+
+
 def fuse(routes: Sequence[DataFrame], key: Sequence[str], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: sum of 1 / (k + rank) over the routes that have the candidate."""
     parts = [r.select(*key, (1 / (F.lit(k) + F.col("rank"))).alias("part"), F.lit(i).alias("route"), "rank") for i, r in enumerate(routes)]

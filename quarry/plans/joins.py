@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import joins as J
+from quarry.operators import ranking
 from quarry.operators import relational as R
 from quarry.plans.relational import live_versions
 from quarry.plans.views import view, with_views
@@ -104,8 +105,21 @@ FULL OUTER JOIN (SELECT vec_id AS k, CAST(row_number() OVER (ORDER BY vec_id DES
 """)
 def _(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.col("label").alias("f"))
-    a = e.filter("k % 3 = 0").withColumn("rank", F.row_number().over(Window.orderBy("k")))
-    b = e.filter("k % 4 = 0").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("k")))).withColumn("f", F.when(F.col("k") % 7 == 0, -1).otherwise(F.col("f")))
+    a = ranking.positions(e.filter("k % 3 = 0"), [F.col("k")])
+    b = ranking.positions(e.filter("k % 4 = 0"), [F.desc("k")]).withColumn("f", F.when(F.col("k") % 7 == 0, -1).otherwise(F.col("f")))
+    return J.merge_ranked(a, b, ["k"], ["f"]).select("k", "rank_a", "rank_b", "conflict")
+
+
+@query("c10_merged_lists", """
+SELECT a.k, a.rank AS rank_a, b.rank AS rank_b, a.f <> b.f AS conflict FROM (SELECT doc_id AS k, CAST(row_number() OVER (ORDER BY n_chars, doc_id) AS INT) AS rank, lang AS f FROM documents) a
+JOIN (SELECT doc_id AS k, CAST(row_number() OVER (ORDER BY source, doc_id DESC) AS INT) AS rank, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS f FROM documents) b ON a.k = b.k
+""")
+def _(spark, d):
+    """Two orders of all documents as ranked lists, merged; facts differ for each seventh."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("f"), "n_chars", "source")
+    a = ranking.positions(rows.select("k", "f", "n_chars"), [F.col("n_chars"), F.col("k")]).drop("n_chars")
+    b = ranking.positions(rows.select("k", "f", "source"), [F.col("source"), F.desc("k")]).drop("source")
+    b = b.withColumn("f", F.when(F.col("k") % 7 == 0, "xx").otherwise(F.col("f")))
     return J.merge_ranked(a, b, ["k"], ["f"]).select("k", "rank_a", "rank_b", "conflict")
 
 

@@ -9,7 +9,9 @@ they have two bytes. Coordinates are points from the upper left corner of the pa
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,9 +19,15 @@ MOST = 200 * 1024 * 1024
 DEPTH = 12
 #: Where no width is given: an average letter, in thousandths of the size.
 WIDTH = 500
-_SPACE = re.compile(rb"(?:[\x00\t\n\f\r ]+|%[^\r\n]*)*")
-_WORD = re.compile(rb"[^\x00\t\n\f\r ()<>\[\]{}/%]+")
+_END = rb"\x00\t\n\f\r ()<>\[\]{}/%"
+_TOKEN = re.compile(
+    rb"(?:[\x00\t\n\f\r ]++|%[^\r\n]*+)*+(?:(?P<number>[+-]?(?:\d+\.?\d*|\.\d+))(?![^" + _END + rb"])|<(?P<hex>[0-9A-Fa-f\x00\t\n\f\r ]*)>|(?P<open><<|[\[{])|(?P<close>>>|[\]}])"
+    rb"|(?P<string>\()|/(?P<name>[^" + _END + rb"]*)|(?P<word>[^" + _END + rb"]+)|(?P<other>.))",
+    re.S,
+)
+_KEYWORDS = {b"true": True, b"false": False, b"null": None}
 _OBJECT = re.compile(rb"(?<!\d)(\d{1,10})[\x00\t\n\f\r ]+\d{1,5}[\x00\t\n\f\r ]+obj\b")
+_OCTAL = re.compile(rb"[0-7]{1,3}")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 PAINT = ("f", "F", "f*", "B", "B*", "b", "b*", "S", "s")
 
@@ -67,7 +75,7 @@ def _string(data: bytes, at: int) -> tuple[bytes, int]:
     while i < len(data):
         c = data[i : i + 1]
         if c == b"\\":
-            digits = re.compile(rb"[0-7]{1,3}").match(data, i + 1)
+            digits = _OCTAL.match(data, i + 1)
             if digits:
                 out.append(int(digits[0], 8) & 255)
                 i = digits.end()
@@ -90,44 +98,35 @@ def _string(data: bytes, at: int) -> tuple[bytes, int]:
 def values(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
     """The values and operators of a stretch of PDF syntax, each with the place after it."""
     stack: list[list] = []
-    while True:
-        at = _SPACE.match(data, at).end()
-        if at >= len(data):
-            return
-        c, two = data[at : at + 1], data[at : at + 2]
-        if two == b"<<" or c in b"[{":
-            stack.append([two == b"<<"])
-            at += 2 if two == b"<<" else 1
+    match = _TOKEN.match
+    while m := match(data, at):
+        kind, at = m.lastgroup, m.end()
+        if kind == "number":
+            said = m[kind]
+            value: object = float(said) if b"." in said else int(said)
+        elif kind == "word":
+            said = m[kind]
+            if said == b"R" and stack and len(stack[-1]) > 2 and isinstance(stack[-1][-2], int):
+                stack[-1][-2:] = [Ref(stack[-1][-2])]
+                continue
+            value = _KEYWORDS[said] if said in _KEYWORDS else Word(said.decode("latin-1"))
+        elif kind == "name":
+            value = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), m[kind]).decode("latin-1"))
+        elif kind == "hex":
+            digits = b"".join(m[kind].split())
+            value = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode().replace("\0", ""))
+        elif kind == "open":
+            stack.append([m[kind] == b"<<"])
             continue
-        if two == b">>" or c in b"]}":
-            at += 2 if two == b">>" else 1
+        elif kind == "close":
             if not stack:
                 continue
             pairs, *held = stack.pop()
-            value: object = dict(zip(held[::2], held[1::2], strict=False)) if pairs else held
-        elif c == b"(":
-            value, at = _string(data, at)
-        elif c == b"<":
-            end = data.find(b">", at)
-            digits = re.sub(rb"[^0-9A-Fa-f]", b"", data[at + 1 : end if end > 0 else len(data)])
-            value, at = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), (end if end > 0 else len(data)) + 1
-        elif c == b"/":
-            m = _WORD.match(data, at + 1)
-            value, at = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), m[0]).decode("latin-1") if m else ""), m.end() if m else at + 1
+            value = dict(zip(held[::2], held[1::2], strict=False)) if pairs else held
+        elif kind == "string":
+            value, at = _string(data, at - 1)
         else:
-            m = _WORD.match(data, at)
-            if m is None:
-                at += 1
-                continue
-            text, at = m[0].decode("latin-1"), m.end()
-            try:
-                value = float(text) if "." in text else int(text)
-            except ValueError:
-                value = {"true": True, "false": False, "null": None}.get(text, Word(text))
-            if text == "R" and stack and len(stack[-1]) > 2 and isinstance(stack[-1][-2], int):
-                number = stack[-1][-2]
-                del stack[-1][-2:]
-                value = Ref(number)
+            continue
         if stack:
             stack[-1].append(value)
         else:
@@ -229,7 +228,7 @@ class Font:
     def __init__(self, file: File, about: dict) -> None:
         self.wide = about.get("Subtype") == "Type0"
         self.widths: dict[int, float] = {}
-        self.map = _unicode_map(file.content(about.get("ToUnicode"))) if about.get("ToUnicode") else {}
+        self.map = UnicodeMap(file.content(about.get("ToUnicode"))) if about.get("ToUnicode") else None
         self.default = float(WIDTH)
         if self.wide:
             below = self.dictionary_of(file, about)
@@ -254,38 +253,55 @@ class Font:
         return file.dictionary(below[0]) if isinstance(below, list) and below else {}
 
     def codes(self, raw: bytes) -> list[int]:
-        return [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)] if self.wide else list(raw)
+        return list(struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2])) if self.wide else list(raw)
 
     def text(self, raw: bytes) -> str:
-        if self.map:
-            said = "".join(self.map.get(c, "") for c in self.codes(raw))
+        if self.map is not None and (self.map.known or self.map.ranges):
+            said = "".join(map(self.map.get, self.codes(raw)))
             return said.encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")
         if self.wide or raw.startswith(b"\xfe\xff"):
             return raw.removeprefix(b"\xfe\xff").decode("utf-16-be", "replace")
         return raw.decode("cp1252", "replace")
 
 
-def _unicode_map(data: bytes) -> dict[int, str]:
-    """Code to text from the bfchar and bfrange sections of a map."""
-    out: dict[int, str] = {}
-    said = lambda b: b.decode("utf-16-be", "surrogatepass")
-    held: list = []
-    for value, _ in values(data):
-        if not isinstance(value, Word):
-            held.append(value)
-            continue
-        number = lambda b: int.from_bytes(b, "big")
-        if value == "endbfchar":
-            out |= {number(a): said(b) for a, b in zip(held[::2], held[1::2], strict=False) if isinstance(a, bytes) and isinstance(b, bytes)}
-        elif value == "endbfrange":
-            for a, b, to in zip(held[::3], held[1::3], held[2::3], strict=False):
-                for n in range(min(number(b) - number(a), 65535) + 1):
-                    if isinstance(to, list):
-                        out |= {number(a) + n: said(to[n])} if n < len(to) else {}
-                    else:
-                        out[number(a) + n] = said(to[:-2]) + chr(number(to[-2:]) + n) if number(to[-2:]) + n < 65536 else ""
-        held = []
-    return out
+class UnicodeMap:
+    """Code to text from the bfchar and bfrange sections of a map. Ranges stay ranges: a code is looked up when it is met."""
+
+    def __init__(self, data: bytes) -> None:
+        self.known: dict[int, str] = {}
+        self.ranges: list[tuple[int, int, object]] = []
+        held: list = []
+        for value, _ in values(data):
+            if not isinstance(value, Word):
+                held.append(value)
+                continue
+            number = lambda b: int.from_bytes(b, "big")
+            if value == "endbfchar":
+                self.known |= {number(a): self._said(b) for a, b in zip(held[::2], held[1::2], strict=False) if isinstance(a, bytes) and isinstance(b, bytes)}
+            elif value == "endbfrange":
+                self.ranges += [(number(a), number(b), to) for a, b, to in zip(held[::3], held[1::3], held[2::3], strict=False) if isinstance(a, bytes) and isinstance(b, bytes)]
+            held = []
+        self.ranges.sort(key=lambda r: r[:2])
+        self.firsts = [r[0] for r in self.ranges]
+
+    @staticmethod
+    def _said(raw: object) -> str:
+        return raw.decode("utf-16-be", "surrogatepass") if isinstance(raw, bytes) else ""
+
+    def get(self, code: int) -> str:
+        if code not in self.known:
+            at = bisect_right(self.firsts, code) - 1
+            first, last, to = self.ranges[at] if at >= 0 else (0, -1, b"")
+            n = code - first
+            if code > last:
+                said = ""
+            elif isinstance(to, list):
+                said = self._said(to[n]) if n < len(to) else ""
+            else:
+                unit = int.from_bytes(to[-2:], "big") + n if isinstance(to, bytes) else 1 << 16
+                said = self._said(to[:-2]) + chr(unit) if unit < 1 << 16 else ""
+            self.known[code] = said
+        return self.known[code]
 
 
 def _times(a: tuple, b: tuple) -> tuple:
@@ -366,7 +382,8 @@ class Drawing:
                 text = font.text(part)
                 codes = font.codes(part)
                 said += text
-                at += sum(font.widths.get(c, font.default) for c in codes) / 1000 * size * wide + len(codes) * state["Tc"] * wide
+                across = sum(font.widths.get(c, font.default) for c in codes) if font.widths else len(codes) * font.default
+                at += across / 1000 * size * wide + len(codes) * state["Tc"] * wide
                 at += (codes.count(32) if not font.wide else 0) * state["Tw"] * wide
             elif isinstance(part, int | float):
                 at -= part / 1000 * size * wide

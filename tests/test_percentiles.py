@@ -25,9 +25,9 @@ def groups(rows):
     return {k: sorted(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("bins", [3, 1024])
-def test_nearest_ranks(rows, bins, monkeypatch):
-    monkeypatch.setattr(percentiles.select_ranks, "__defaults__", (bins,))
+@pytest.mark.parametrize(("bins", "few"), [(3, 2), (1024, 4), (1024, 16384)])
+def test_nearest_ranks(rows, bins, few, monkeypatch):
+    monkeypatch.setattr(percentiles.select_ranks, "__defaults__", (bins, few))
     some = rows.filter("k IS NULL OR k <> 'wide'")
     shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     got = {r["k"]: tuple(r[c] for c in ("n", *shares)) for r in percentiles.nearest_ranks(some, ["k"], "v", shares).collect()}
