@@ -11,7 +11,7 @@ from quarry.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "m16_hybrid_search"
-MODULES = ("scans", "relational", "joins", "aggregates", "evaluation", "documents", "retrieval", "runtime", "writes", "remaining", "layout", "indexes", "surface", "records")
+MODULES = ("scans", "relational", "joins", "aggregates", "evaluation", "documents", "retrieval", "runtime", "writes", "remaining", "layout", "indexes", "surface", "records", "formats")
 
 #: Whole-number sums that DuckDB widens to 128 bits; the oracle returns them in 64, as Spark does.
 LONGS = {
