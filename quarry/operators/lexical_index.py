@@ -104,9 +104,11 @@ class LexicalIndex:
         segments = self._manifest()[1] if segments is None else segments
         asked, buckets = None, None
         if terms is not None:
-            buckets = [r["b"] for r in terms.select(self.bucket("term").alias("b")).distinct().collect()]  # at most self.buckets
-            some = [r["term"] for r in terms.select("term").distinct().limit(PUSHED + 1).collect()]
-            asked = some if len(some) <= PUSHED else None
+            some = terms.select("term", self.bucket("term").alias("b")).distinct().limit(PUSHED + 1).collect()
+            if len(some) <= PUSHED:
+                asked, buckets = [r["term"] for r in some], sorted({r["b"] for r in some})
+            else:
+                buckets = [r["b"] for r in terms.select(self.bucket("term").alias("b")).distinct().collect()]  # at most self.buckets
         found, later = None, None
         for name in reversed(segments):
             rows = self.spark.read.schema("term string, chunk_id long, n int, positions array<int>, bucket int").parquet(f"{self.root}/{name}/postings")
