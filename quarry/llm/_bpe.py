@@ -1,9 +1,10 @@
 """Byte-level BPE through the tokenizers library, paid once per distinct pre-token.
 
 The file's pre-tokenizer is a fixed pattern over four character classes (letter, number,
-space, other). `split` finds its matches for a whole batch with numpy, `Coder` merges only
-pre-tokens it has not met, and texts with characters outside the proven range, like files of
-another kind, go to the library whole.
+space, other). `split` finds its matches for a whole batch with numpy, in every script, and
+`Coder` merges only pre-tokens it has not met. A character's class is proven on the library when
+it is first met; texts with characters that the proof can't place, like files of another kind,
+go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 
 from quarry.llm import _bytes as B
 
-LETTER, NUMBER, SPACE, OTHER, FOREIGN = 1, 2, 3, 4, 0
-#: Two-byte UTF-8 from here on is left to the library.
-LIMIT = 0x240
+LETTER, NUMBER, SPACE, OTHER, FOREIGN, UNMET = 1, 2, 3, 4, 0, 255
 MOST_KEPT = 1_000_000
+#: Ids that kept pre-tokens may have; scripts without spaces have long ones.
+MOST_IDS = 1 << 23
 #: Bytes of text that are split at once.
 PIECE = 1 << 20
 
@@ -38,15 +39,38 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(4)
-def _classes(path: str) -> np.ndarray | None:
-    """The class of each code point under LIMIT as the file's own pre-tokenizer treats it.
+class Classes:
+    """How the file's own pre-tokenizer treats each character.
 
-    Each guess is proven on the library: a class is kept only where the pre-tokenizer joins and
-    splits the character as the class predicts. None: the file is not byte-level BPE of this kind.
+    Each guess is proven on the library, once, when the character is first met: a class is kept only
+    where the pre-tokenizer joins and splits the character as the class predicts, else it is FOREIGN.
     """
-    import regex
 
+    def __init__(self, path: str):
+        splitter = _load(path).pre_tokenizer
+        self.cuts = lambda s: len(splitter.pre_tokenize_str(s))
+        self.table = np.full(0x110000, UNMET, np.uint8)
+
+    def prove(self, c: str) -> int:
+        import regex
+
+        guess = LETTER if regex.match(r"\p{L}", c) else NUMBER if regex.match(r"\p{N}", c) else SPACE if regex.match(r"\s", c) else OTHER
+        fits = all((self.cuts(x + c) == 1) == (k == guess) for k, x in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "#")))
+        return guess if fits and (guess != SPACE or self.cuts("\t" + c + "\t") == 1) else FOREIGN
+
+    def of(self, cp: np.ndarray) -> np.ndarray:
+        kind = self.table[cp]
+        unmet = kind == UNMET
+        if unmet.any():
+            for x in np.unique(cp[unmet]).tolist():
+                self.table[x] = self.prove(chr(x))
+            kind = self.table[cp]
+        return kind
+
+
+@lru_cache(4)
+def _classes(path: str) -> Classes | None:
+    """None: the file is not byte-level BPE of this kind."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
@@ -54,17 +78,7 @@ def _classes(path: str) -> np.ndarray | None:
         return None
     if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens", [])):
         return None
-    splitter = _load(path).pre_tokenizer
-    cuts = lambda s: [span for _, span in splitter.pre_tokenize_str(s)]
-    out = np.zeros(LIMIT, np.uint8)
-    for cp in range(LIMIT):
-        c = chr(cp)
-        guess = LETTER if regex.match(r"\p{L}", c) else NUMBER if regex.match(r"\p{N}", c) else SPACE if regex.match(r"\s", c) else OTHER
-        joins = {k: len(cuts(x + c)) == 1 for k, x in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "#"))}
-        expect = {k: k == guess for k in joins}
-        if joins == expect and (guess != SPACE or len(cuts("\t" + c + "\t")) == 1):
-            out[cp] = guess
-    return out
+    return Classes(path)
 
 
 @lru_cache(4)
@@ -73,17 +87,28 @@ def _specials(path: str) -> list[tuple[str, int]]:
         return [(t["content"], t["id"]) for t in json.load(f).get("added_tokens", [])]
 
 
-def split(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans of the pattern's matches in every row; all code points must be under LIMIT."""
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte's place and code point of each character of UTF-8."""
+    char = np.flatnonzero((data & 0xC0) != 0x80)
+    cp = data[char].astype(np.uint32)
+    wide = np.flatnonzero(cp >= 0xC0)
+    if len(wide):
+        lead, at = cp[wide], char[wide]
+        size = 1 + (lead >= 0xE0).astype(np.uint32) + (lead >= 0xF0)
+        value = lead & (np.uint32(0x3F) >> size)
+        for i in range(1, 4):
+            more = np.flatnonzero(size >= i)
+            value[more] = (value[more] << 6) | (data[at[more] + i] & 0x3F)
+        cp[wide] = value
+    return char, cp
+
+
+def split(data: np.ndarray, off: np.ndarray, char: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of the pattern's matches in every row, from the place and class of each character."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    char = np.flatnonzero((data & 0xC0) != 0x80)
     byte = data[char]
-    cp = byte.astype(np.uint16)
-    two = np.flatnonzero(byte >= 0xC0)
-    cp[two] = ((byte[two].astype(np.uint16) & 0x1F) << 6) | (data[char[two] + 1] & 0x3F)
-    kind = classes[cp]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     m = len(char)
@@ -185,7 +210,7 @@ class Coder:
         keys, first, back = np.unique(B.span_hash(data, begin, end), return_index=True, return_inverse=True)
         at, size, known = self._kept(keys)
         if not known.all():
-            if sum(len(t[0]) for t in self.tables) + int((~known).sum()) > MOST_KEPT:
+            if sum(len(t[0]) for t in self.tables) + int((~known).sum()) > MOST_KEPT or self.used > MOST_IDS:
                 self.reset()
                 known[:] = False
             f = first[~known]
@@ -203,24 +228,11 @@ class Coder:
                 known |= hit
         return at, size, known
 
-    def _simple(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def _simple(self, data: np.ndarray, off: np.ndarray, char: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Rows that `split` handles: proven characters only and no special string."""
-        n = len(off) - 1
-        if self.classes is None:
-            return np.zeros(n, bool)
-        odd = np.zeros(len(data) + 1, np.int64)
-        if len(data):
-            bad = data >= 0xC0 + (LIMIT >> 6)
-            unproven = np.flatnonzero(self.classes == FOREIGN)
-            for cp in unproven:
-                e = chr(cp).encode()
-                hit = data == e[0]
-                if len(e) > 1:
-                    hit[:-1] &= data[1:] == e[1]
-                    hit[-1] = False
-                bad |= hit
-            np.cumsum(bad, out=odd[1:])
-        fine = odd[off[1:]] == odd[off[:-1]]
+        fine = np.ones(len(off) - 1, bool)
+        foreign = char[kind == FOREIGN]
+        fine[np.searchsorted(off, foreign, "right") - 1] = False
         if self.special:
             whole = data.tobytes()
             for s, _ in self.special:
@@ -242,26 +254,32 @@ class Coder:
         return (np.concatenate(counts) if counts else np.zeros(0, np.int64)), (np.concatenate(out) if out else none)
 
     def _rows(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fine = self._simple(data, off)
+        if self.classes is None:
+            return self._whole(data, off)
+        char, cp = characters(data)
+        kind = self.classes.of(cp)
+        del cp
+        fine = self._simple(data, off, char, kind)
         if fine.all():
-            return self._fast(data, off)
+            return self._fast(data, off, char, kind)
         runs = np.flatnonzero(np.diff(fine)) + 1
         counts, out = [], []
         for a, b in zip([0, *runs], [*runs, len(fine)], strict=True):
             part, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
-            if fine[a]:
-                c, x = self._fast(part, o)
-            else:
-                texts = [part[o[k] : o[k + 1]].tobytes().decode("utf-8") for k in range(len(o) - 1)]
-                got = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-                c = np.array([len(g) for g in got], np.int64)
-                x = np.array([t for g in got for t in g], np.uint32) if self.ids else np.zeros(0, np.uint32)
+            i, j = np.searchsorted(char, (off[a], off[b]))
+            c, x = self._fast(part, o, char[i:j] - off[a], kind[i:j]) if fine[a] else self._whole(part, o)
             counts.append(c)
             out.append(x)
         return np.concatenate(counts), np.concatenate(out)
 
-    def _fast(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin, end = split(data, off, self.classes)
+    def _whole(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Through the library."""
+        texts = [data[a:b].tobytes().decode("utf-8") for a, b in zip(off[:-1], off[1:], strict=True)]
+        got = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return np.array([len(g) for g in got], np.int64), np.array([t for g in got for t in g], np.uint32) if self.ids else np.zeros(0, np.uint32)
+
+    def _fast(self, data: np.ndarray, off: np.ndarray, char: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, end = split(data, off, char, kind)
         if not len(begin):
             return np.zeros(len(off) - 1, np.int64), np.zeros(0, np.uint32)
         at, size = self._find(data, begin, end)

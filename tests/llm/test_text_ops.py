@@ -38,6 +38,50 @@ def test_coder_equals_the_library(texts):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+@given(st.lists(st.text(max_size=40), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_coder_equals_the_library_on_any_characters(texts):
+    import pyarrow as pa
+
+    coder = _bpe.Coder(PATH)
+    want = [e.ids for e in coder.library.encode_batch(texts, add_special_tokens=False)]
+    n, ids = coder.encode(pa.array(texts, pa.string()))
+    assert n.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_no_script_goes_to_the_library_whole(library, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["中文的句子，没有空格。", "Ελληνικά и кириллица", "हिन्दी ١٢٣ 한국어", "quotes \u201cso\u201d \u2014 and 😀👍🏽", "", "plain's"]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    monkeypatch.setattr(_bpe.Coder, "_whole", None)
+    for known in (None, _bpe.whole_tokens(PATH)):
+        assert _bpe.Coder(PATH, ids=False, known=known).encode(pa.array(texts))[0].tolist() == want
+
+
+def test_characters_the_proof_cannot_place_go_to_the_library(library):
+    import pyarrow as pa
+
+    odd = chr(0x558)  # stands for one that the two sides class differently
+    kinds = _bpe.Classes(PATH)
+    kinds.table[ord(odd)] = _bpe.FOREIGN
+    coder = _bpe.Coder(PATH)
+    coder.classes = kinds
+    texts = ["before it", f"a {odd} b{odd}", "中 after it", f"{odd}", None]
+    assert coder.encode(pa.array(texts))[1].tolist() == [i for t in texts for i in library.encode(t or "", add_special_tokens=False).ids]
+
+
+def test_kept_ids_are_bounded(library, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(_bpe, "MOST_IDS", 50)
+    monkeypatch.setattr(_bpe, "PIECE", 64)
+    coder, texts = _bpe.Coder(PATH), [f"数据{i}的处理 word{i}" for i in range(60)] * 2
+    assert coder.encode(pa.array(texts))[1].tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+    assert coder.used < 200
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json"])
 def test_other_files_go_to_the_library(name, texts):
     import pyarrow as pa
@@ -55,8 +99,19 @@ def test_token_counts(docs, no_docs, library):
 
 
 def test_whole_tokens_are_proven(library):
+    """A vocabulary string is in the table just when the library gives it back as one token."""
+    import numpy as np
+
+    from quarry.llm import _bytes as B
+
     known = _bpe.whole_tokens(PATH)
     assert len(known) > 50_000 and (known[1:] > known[:-1]).all()
+    back = {c: b for b, c in _bpe.Coder(PATH).letters.items()}
+    entries = [s for s in library.get_vocab(with_added_tokens=False) if all(c in back for c in s)]
+    raw = [bytes(back[c] for c in s) for s in entries]
+    off = np.cumsum([0, *map(len, raw)])
+    found = np.isin(B.span_hash(np.frombuffer(b"".join(raw), np.uint8), off[:-1], off[1:]), known)
+    assert found.tolist() == [len(library.model.tokenize(s)) == 1 for s in entries]
 
 
 def test_token_output_round_trip(spark, docs, no_docs, library, tmp_path):
