@@ -97,6 +97,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_values(rows: DataFrame, key: str, parts: int) -> list:
+    """Values of a column, None among them, that more than half of an even share of the rows have: at most 2 * parts.
+
+    Candidates come from one pass that keeps a bounded number of values and misses none of those; a second pass
+    counts them. Both read the column alone and shuffle no values but the candidates.
+    """
+    share = max(1 / (2 * parts), 1e-4)
+    column = rows.select(F.col(key).alias("v"))
+    n, known = column.agg(F.count("*"), F.count("v")).first()
+    least = max(n * share, HOT_LEAST)
+    if n < least:
+        return []
+    found = column.filter("v IS NOT NULL").stat.freqItems(["v"], share).first()[0]
+    counted = column.filter(F.col("v").isin(found)).groupBy("v").count().filter(F.col("count") > least).collect() if found else []
+    return ([None] if n - known > least else []) + sorted(r["v"] for r in counted)
+
+
 #: A key is hot from this share of the rows on, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 2000
 HOT_LEAST = 200

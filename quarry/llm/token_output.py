@@ -8,7 +8,8 @@ column and offset indexes. So token counts and positions are read without touchi
 ids of one document or span of the stream without the rest.
 
 The texts are dealt out by key range once, then encoded and written where they are. Null and
-empty texts give the end id alone; rows with equal keys stand side by side, shorter text first;
+empty texts give the end id alone; rows with equal keys stand side by side, shorter text first (a key
+of many rows fills several parts, by length and a hash of the text; only equal rows must share one);
 null keys come first; an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -52,7 +53,13 @@ def write_tokens(spark: SparkSession, docs: DataFrame, out: str, path: str, end_
     _store.ship(spark)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    dealt = rows.repartitionByRange(_store.partitions(spark), "k").sortWithinPartitions("k", F.octet_length("t"), "t")
+    parts, order = _store.partitions(spark), [F.col("k"), F.octet_length("t")]
+    # Ranges are drawn from the keys alone, unless keys repeat so often that one would fill a range.
+    hot = _store.hot_values(rows, "k", parts)
+    if hot:
+        often = F.when(F.col("k").isNull(), F.lit(None in hot)).otherwise(F.col("k").isin([v for v in hot if v is not None]))
+        order = [F.col("k"), F.when(often, F.octet_length("t")), F.when(often, F.xxhash64("t")), F.octet_length("t")]
+    dealt = rows.repartitionByRange(parts, *(order[:3] if hot else order[:1])).sortWithinPartitions(*order, "t")
     coded = dealt.mapInArrow(_store.lean(encode), f"k {kind}, part int, offset long, n_tokens long, ids array<int>").withColumnRenamed("k", key)
     options = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": row_group, "parquet.page.size": page, "parquet.dictionary.page.size": 1 << 20, "parquet.page.write-checksum.enabled": "true", "compression": "zstd"}
     with _store.small_batches(spark):

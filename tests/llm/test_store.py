@@ -53,3 +53,14 @@ def test_small_batches(spark):
     with pytest.raises(ValueError), _store.small_batches(spark):
         raise ValueError
     assert spark.conf.get(name) == before
+
+
+def test_hot_values_are_those_with_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(_store, "HOT_LEAST", 20)
+    rows = [(None,)] * 300 + [(5,)] * 200 + [(6,)] * 30 + [(i,) for i in range(100, 570)]
+    frame = spark.createDataFrame(rows, "a long").repartition(7)
+    assert _store.hot_values(frame, "a", 8) == [None, 5]
+    assert _store.hot_values(frame, "a", 100) == [None, 5, 6]
+    assert _store.hot_values(frame.filter("a >= 100"), "a", 8) == []
+    assert _store.hot_values(frame.limit(0), "a", 8) == []
+    assert _store.hot_values(frame.select(F.col("a").cast("string")), "a", 8) == [None, "5"]

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import _bpe, mixing, substring_dedup, token_counts, token_output
@@ -148,6 +149,27 @@ def test_token_files_are_dictionary_encoded_with_page_indexes(spark, docs, tmp_p
             last = columns["doc_id"].statistics.max
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_token_output_spreads_a_key_of_many_rows(spark, library, monkeypatch, hot, tmp_path):
+    from quarry.llm import _store
+
+    monkeypatch.setattr(_store, "HOT_LEAST", 10)
+    rows = [(hot, f"row {i} " * (i % 13)) for i in range(400)] + [(i, f"other {i}") for i in range(60)] + [(hot, None), (hot, "")]
+    docs, out = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), f"file://{tmp_path}/t"
+    got = sorted(tuple(r) for r in token_output.token_digests(spark, docs, PATH, out).select("start", "doc_id", "n_tokens", "ids_crc32").collect())
+    coded = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 0]
+    digest = lambda ids: zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+    assert sorted((str(d), n, c) for _, d, n, c in got) == sorted((str(d), len(x := coded(t)), digest(x)) for d, t in rows)
+    keys = [-1 if d is None else d for _, d, _, _ in got]
+    assert keys == sorted(keys)
+    start = 0
+    for at, _, n, _ in got:
+        assert at == start
+        start += n
+    parts = spark.read.parquet(out).groupBy(F.col("doc_id").eqNullSafe(F.lit(hot)).alias("hot"), "part").count().filter("hot").collect()
+    assert len(parts) > 3 and max(r["count"] for r in parts) < 200
+
+
 def brute_repeats(rows, width):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1] is None, r[1] or ""))
     seen, out = set(), []
