@@ -12,10 +12,14 @@ def held_out(key: str | Column) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def pick(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
-    """About `most` rows, never more than a tenth above, chosen by a hash of the key alone."""
+def pick(rows: DataFrame, key: str | list[str], most: int, seed: int) -> DataFrame:
+    """About `most` rows, chosen by a hash of the key columns alone, so reruns choose the same.
+
+    The number of different keys is binomial: above 1.1 * most with probability below exp(-most / 300).
+    Rows that agree in all key columns are chosen together; callers count them once.
+    """
     n = rows.count()
     if n <= most:
         return rows
     unit = 1 << 30
-    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(unit)) < int(unit * most / n)).limit(most + most // 10)
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), *([key] if isinstance(key, str) else key)), F.lit(unit)) < int(unit * most / n))

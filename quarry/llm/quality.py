@@ -113,9 +113,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = 1
     picked = [_sample.pick(known.filter(F.col("y") == y), "k", 2 * rows, seed) for y in (0, 1)]
     whole = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter(F.octet_length("t").between(1, dictionary_bytes // 16))
     some = whole.join(F.broadcast(picked[0].unionByName(picked[1])), "k").withColumns({"half": F.pmod(F.xxhash64(F.lit(seed + 1), "k"), F.lit(2)), "copy": F.xxhash64("t")})
-    some = some.groupBy("y", "copy").agg(F.min(F.struct("half", "k", "t")).alias("x")).select("y", "x.*")  # a text stands once
+    some = _store.cut(spark, some.groupBy("y", "copy").agg(F.min(F.struct("half", "k", "t")).alias("x")).select("y", "copy", "x.*"))  # a text stands once
+    # the running total passes lengths alone; which texts stay is a list as long as the sample
     upto = Window.partitionBy("y", "half").orderBy(F.xxhash64(F.lit(seed + 2), "k"), "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    some = some.withColumn("upto", F.sum(F.octet_length("t")).over(upto)).filter(F.col("upto") <= dictionary_bytes)
+    sizes = some.select("y", "half", "k", "copy", F.octet_length("t").alias("n")).withColumn("upto", F.sum("n").over(upto))
+    some = some.join(F.broadcast(sizes.filter(F.col("upto") <= dictionary_bytes).select("y", "copy")), ["y", "copy"], "left_semi")
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     curve: list[tuple[bytes, int]] = []
     for r in sorted(some.select("y", "half", "k", "t").collect(), key=lambda r: (r["y"], r["half"], r["k"])):

@@ -109,7 +109,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: in
 
     # `sure` is bounded by the sample's size, so it may be broadcast.
     p = rows.join(F.broadcast(sure), "k", "left_semi").mapInArrow(describe, "k long, w array<long>")
-    u = _sample.pick(rows, "k", unlabelled, seed + 1).mapInArrow(describe, "k long, w array<long>")
+    u = _sample.pick(rows, ["k", "t"], unlabelled, seed + 1).mapInArrow(describe, "k long, w array<long>")
     # copies of one text would count as many; by content, each stands once
     both = p.withColumn("positive", F.lit(True)).unionByName(u.withColumn("positive", F.lit(False)))
     samples = _store.cut(spark, both.withColumn("h", F.xxhash64("w")).dropDuplicates(["positive", "h"]).select("positive", "h", "w"))

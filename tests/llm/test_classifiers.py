@@ -127,3 +127,30 @@ def test_fit_lowers_the_non_negative_risk():
     fitted = toxicity.fit(words, p, u, 0.2)
     assert risk(fitted) < 0.8 * risk(start)
     assert fitted.weights[:2].min() > fitted.weights[2:].max()
+
+
+def test_samples_agree_between_runs(spark):
+    """By hash of the key columns: the same rows from other partitions, of repeated keys some and not all."""
+    from quarry.llm import _sample
+
+    frame = spark.createDataFrame([(None if i % 3 else i, f"text {i}") for i in range(6000)], "k long, t string")
+    runs = [sorted(r["t"] for r in _sample.pick(frame.repartition(n), ["k", "t"], 600, 5).collect()) for n in (2, 7)]
+    assert runs[0] == runs[1] and 450 < len(runs[0]) < 750
+    assert _sample.pick(frame, "k", 6000, 5).count() == 6000
+
+
+def test_quality_fits_the_same_from_other_partitions(spark, world):
+    docs, labels, _ = world
+    one, two = (quality.train(spark, d, labels) for d in (docs, docs.repartition(3)))
+    assert one.good == two.good and one.bad == two.bad and (one.weights == two.weights).all()
+
+
+def test_quality_keeps_to_its_bound_of_bytes(spark, world, monkeypatch):
+    docs, labels, _ = world
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, curve, prior: seen.append((texts, curve)) or quality.Model(b"", b"", quality.np.zeros(0), quality.np.zeros((0, 2)), quality.np.zeros(0), quality.np.zeros(0), prior))
+    quality.train(spark, docs, labels, dictionary_bytes=16_000)
+    texts, curve = seen[0]
+    for y in (0, 1):
+        assert 12_000 < sum(map(len, texts[y])) <= 16_000
+        assert 12_000 < sum(len(t) for t, label in curve if label == y) <= 16_000
