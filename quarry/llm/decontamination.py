@@ -173,11 +173,19 @@ def leaks(column: pa.Array, index: Index, threshold: float) -> list[list[tuple[i
 
 
 def _blocks(spark: SparkSession, bench: DataFrame, block_bytes: int, item: str, text: str) -> list[DataFrame]:
-    """The benchmark in blocks of about half of `block_bytes` of text each; a block is what the driver holds at once."""
+    """The benchmark in blocks of about half of `block_bytes` of text each; a block is what the driver holds at once.
+
+    Rows are dealt by where they stand, not by what they say, so copies of one item don't meet in a block;
+    the blocks are written, so each is read alone and stays what it was. An item larger than a block is one.
+    """
     rows = bench.select(F.col(item).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    return [rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]
+    if total <= block_bytes:
+        return [rows]
+    path, n = _store.scratch(spark, "items"), -(-2 * total // block_bytes)
+    rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))).repartition("block").write.partitionBy("block").parquet(path)
+    dealt = spark.read.schema("i long, t string, block long").parquet(path)
+    return [dealt.filter(F.col("block") == b).select("i", "t") for b in range(n)]
 
 
 def _index(spark: SparkSession, part: DataFrame, seed: int):

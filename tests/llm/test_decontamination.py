@@ -94,3 +94,14 @@ def test_items_without_id(spark, block):
     got = {r["doc_id"]: [x["item_id"] for x in r["items"]] for r in decontamination.find_leaks(spark, frame, items, block_bytes=block).collect()}
     assert got == {1: [None, 3], 2: [None], 3: []}
     assert [r["doc_id"] for r in decontamination.drop_leaks(spark, frame, items, block_bytes=block).collect()] == [3]
+
+
+def test_copies_of_an_item_do_not_meet_in_one_block(spark):
+    text = "one two three four five six seven"
+    items = spark.createDataFrame([(1, text)] * 400 + [(2, "red green blue black white grey")], "item_id long, text string")
+    blocks = decontamination._blocks(spark, items, 4000, "item_id", "text")
+    sizes = [sum(len(r["t"]) for r in b.collect()) for b in blocks]
+    assert sum(sizes) == 400 * len(text) + 31 and max(sizes) <= 4000
+    frame = spark.createDataFrame([(1, "x " + text + " y"), (2, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: len(r["items"]) for r in decontamination.find_leaks(spark, frame, items, block_bytes=8000).collect()}
+    assert got == {1: 400, 2: 0}
