@@ -27,35 +27,43 @@ def runs(files: DataFrame) -> DataFrame:
     """RUNS of PDF files (path, content): a row per shown string, one without text for an empty page, one with an error for a file that can't be read."""
     kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in RUNS.split(", "))])
+    none = (None,) * 8
 
-    def read(path: str, content: bytes) -> Iterator[dict]:
+    def read(path: str, content: bytes) -> Iterator[tuple]:
         try:
             for page in pdf.read_pages(content):
-                about = {"path": path, "page": page.number, "page_width": page.width, "page_height": page.height, "images": page.images, "drawings": page.drawings}
+                about = (path, page.number, page.width, page.height, page.images, page.drawings)
                 if not page.runs:
-                    yield about
+                    yield (*about, *none, None)
                 for n, r in enumerate(page.runs, 1):
-                    yield about | {"run": n, "text": r.text, "size": r.size, "left": r.box[0], "top": r.box[1], "right": r.box[2], "bottom": r.box[3], "baseline": r.baseline}
+                    yield (*about, n, r.text, r.size, *r.box, r.baseline, None)
         except pdf.PdfError as e:
-            yield {"path": path, "error": str(e)}
+            yield (path, *(None,) * 5, *none, str(e))
         except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError):  # damaged inside
-            yield {"path": path, "error": "malformed"}
+            yield (path, *(None,) * 5, *none, "malformed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_pylist(list(read(path.as_py(), content.as_py() or b"")), schema)
+                columns = zip(*read(path.as_py(), content.as_py() or b""), strict=True)
+                arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)]
+                if arrays:  # a file without pages has no rows
+                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return files.select("path", "content").mapInArrow(run, RUNS)
 
 
-def lines(found: DataFrame) -> DataFrame:
+def lines(found: DataFrame, empty: bool = False) -> DataFrame:
     """path, page, page_width, band, column, line, block, text, font_size, box, char_start, char_end: lines in reading order from 1.
 
+    With `empty`, also images, drawings and error, and a row of null text for each page without text and each file that can't be
+    read: so pages, blocks and tags need no second reading of the files.
+
     Runs on one baseline are a line unless a gap of `GUTTER` sizes parts them. A line that crosses most of the page opens a
     band; within a band, lines whose extents overlap are a column; columns are read one after the other.
     """
-    said = found.filter(F.col("text").isNotNull())
+    held = ["images", "drawings", "error"] if empty else []
+    said = found if empty else found.filter(F.col("text").isNotNull())
     down = Window.partitionBy(*PAGE).orderBy("baseline", "left", "run")
     said = said.withColumn("row", F.sum(F.coalesce((F.col("baseline") - F.lag("baseline").over(down) > F.col("size") * SAME_LINE).cast("int"), F.lit(1))).over(down))
     along = Window.partitionBy(*PAGE, "row").orderBy("left", "run")
@@ -65,8 +73,9 @@ def lines(found: DataFrame) -> DataFrame:
     spaced = F.concat(F.when(F.col("gap") > 0.15, F.lit(" ")).otherwise(F.lit("")), F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("left", "run", spaced.alias("t"))))
     whole = said.groupBy(*PAGE, "page_width", "row", "piece").agg(
-        F.trim(F.array_join(F.transform(parts, lambda p: p["t"]), "")).alias("text"), F.max("size").alias("font_size"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom")
-    ).filter(F.col("text") != "")
+        F.trim(F.array_join(F.transform(parts, lambda p: p["t"]), "")).alias("text"), F.max("size").alias("font_size"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"), *[F.max(c).alias(c) for c in held], F.count("run").alias("shown")
+    )
+    whole = whole.filter((F.col("text") != "") | (F.col("shown") == 0)).withColumn("text", F.when(F.col("shown") > 0, F.col("text")))
     crossing = (F.col("right") - F.col("left")) >= F.col("page_width") * CROSSING
     upto = Window.partitionBy(*PAGE).orderBy("top", "left", "row", "piece")
     # each crossing line is a band of its own, and what follows it the next
@@ -84,7 +93,7 @@ def lines(found: DataFrame) -> DataFrame:
     ends = F.sum(F.length("text") + 1).over(reading)
     return whole.select(
         *PAGE, "page_width", F.col("band").cast("int").alias("band"), F.col("column").cast("int").alias("column"), F.row_number().over(reading).alias("line"), F.sum("opens").over(reading).cast("int").alias("block"), "text", "font_size", "left", "top", "right", "bottom",
-        (ends - F.length("text") - 1).cast("int").alias("char_start"), (ends - 1).cast("int").alias("char_end"),
+        (ends - F.length("text") - 1).cast("int").alias("char_start"), (ends - 1).cast("int").alias("char_end"), *held,
     )
 
 
@@ -100,7 +109,18 @@ def pages(found: DataFrame, of_lines: DataFrame, low: int = 20) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("line", "text")))
     texts = of_lines.groupBy(*PAGE).agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
     about = found.filter(F.col("error").isNull()).groupBy(*PAGE).agg(F.max("images").alias("images"), F.max("drawings").alias("drawings"))
-    rows = about.join(texts, PAGE, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return _described(about.join(texts, PAGE, "left"), low)
+
+
+def pages_of(of_lines: DataFrame, low: int = 20) -> DataFrame:
+    """The same from lines with `empty` alone."""
+    parts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("line", "text"))))
+    rows = of_lines.filter(F.col("error").isNull()).groupBy(*PAGE).agg(F.max("images").alias("images"), F.max("drawings").alias("drawings"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+    return _described(rows, low)
+
+
+def _described(rows: DataFrame, low: int) -> DataFrame:
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("characters", F.length(F.regexp_replace("text", r"\s", ""))).withColumn("low_text", F.col("characters") < low)
     few = F.when(F.col("characters") == 0, "empty_page").when(F.col("low_text"), "low_text_page")
     return rows.withColumn("warnings", F.array_compact(F.array(few, F.when(F.col("low_text") & (F.col("images") > 0), "scanned_page_suspected"))))

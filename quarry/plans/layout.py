@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import source
 from quarry.operators import chunking, layout
 from quarry.registry import query
-from quarry.session import spread, table
+from quarry.session import cut, spread, table
 from quarry.sources import pdf
 
 # How a text is set: words a line, lines a block, lines a column, columns a page (odd ids one, even ids two), points.
@@ -65,8 +65,7 @@ def _(spark, d):
 FROM (SELECT doc_id, page, regexp_replace(string_agg(said, ' '), '\s', '', 'g') AS t FROM set_lines GROUP BY doc_id, page)""")
 def _(spark, d):
     """Characters and warnings of every page that has text."""
-    found = layout.runs(document_files(spark, d))
-    rows = layout.pages(found, layout.lines(found)).filter("characters > 0")
+    rows = layout.pages_of(layout.lines(layout.runs(document_files(spark, d)), empty=True)).filter("characters > 0")
     return rows.select(F.col("path").cast("long").alias("doc_id"), "page", F.col("characters").cast("long").alias("characters"), F.array_join("warnings", ",").alias("warnings"))
 
 
@@ -74,8 +73,10 @@ def _(spark, d):
 SELECT d.doc_id, coalesce(max(s.l >= 3 AND s.r >= 3), false) AS two_columns FROM documents d LEFT JOIN sides s ON s.doc_id = d.doc_id GROUP BY d.doc_id""")
 def _(spark, d):
     """The two-column tag from the blocks that the files' pages really show."""
-    found = layout.runs(document_files(spark, d))
-    tagged = layout.tags(found, layout.blocks(layout.lines(found)))
+    # what tags need of each block, or of a page without one: a few numbers, cut so that files are set and read once
+    rows = layout.lines(layout.runs(document_files(spark, d)), empty=True)
+    found = cut(spark, rows.groupBy("path", "page", "page_width", "block").agg(F.count("text").alias("lines"), *[F.min(c).alias(c) for c in ("left", "top")], *[F.max(c).alias(c) for c in ("right", "bottom", "drawings", "error")]))
+    tagged = layout.tags(found, found.filter("lines > 0"))
     return tagged.select(F.col("path").cast("long").alias("doc_id"), F.array_contains("tags", "detected_two_column").alias("two_columns"))
 
 

@@ -109,3 +109,28 @@ def test_pages_headings_and_tags(pages):
     assert heads == [("Heading one", 1), ("Sub", 2)]
     tagged = {r["path"]: r["tags"] for r in layout.tags(pages, layout.blocks(rows)).collect()}
     assert tagged == {"brief": ["detected_two_column"], "banded": [], "wordy": [], "scan": ["detected_document_table"]}
+
+
+def test_pages_and_tags_from_lines_alone(pages):
+    rows = layout.lines(pages, empty=True)
+    pick = ["path", "page", "images", "drawings", "text", "characters", "low_text", "warnings"]
+    want = layout.pages(pages, layout.lines(pages)).select(*pick).collect()
+    assert sorted(map(str, layout.pages_of(rows).select(*pick).collect())) == sorted(map(str, want))
+    said = rows.filter("text IS NOT NULL")
+    assert sorted(map(str, said.drop("images", "drawings", "error").collect())) == sorted(map(str, layout.lines(pages).collect()))
+
+
+@pytest.mark.parametrize("name", ["a08_pdf_pages", "l03_pdf_columns"])
+def test_files_are_read_once(spark, sf, name):
+    from quarry import registry
+
+    # setting and reading are a step each
+    assert registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+
+
+def test_a_font_map_is_read_once_for_many_files(monkeypatch):
+    seen = []
+    monkeypatch.setattr(pdf, "UnicodeMap", lambda data, f=pdf.UnicodeMap: seen.append(data) or f(data))
+    for i in range(5):
+        assert [r.text for p in pdf.read_pages(pdf.write_pages([[(10.0, 20.0, 9.0, f"text {i} \u00e9\U0001f600")]])) for r in p.runs] == [f"text {i} \u00e9\U0001f600"]
+    assert len(seen) <= 1
