@@ -44,3 +44,32 @@ def fixed_embedding(value: Column, purpose: str, dimension: int = 64) -> Column:
         return pa.array(out, pa.list_(pa.float64()))
 
     return F.arrow_udf(run, "array<double>")(value)
+
+
+def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of a column as rows in double precision, and which of them are whole: not null, of this width, without null components. Others are zero."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten()
+    if not column.null_count and not flat.null_count and len(flat) == width * len(column) and np.all(column.value_lengths().to_numpy(zero_copy_only=False) == width):
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width), np.ones(len(column), bool)
+    out, whole = np.zeros((len(column), width)), np.zeros(len(column), bool)
+    for i, row in enumerate(column.to_pylist()):
+        if row is not None and len(row) == width and None not in row:
+            out[i], whole[i] = row, True
+    return out, whole
+
+
+def lengths(rows: np.ndarray) -> np.ndarray:
+    """Norms of rows, summed component by component as `norm` does: the same bits."""
+    total = np.zeros(len(rows))
+    for c in range(rows.shape[1]):
+        total += rows[:, c] * rows[:, c]
+    return np.sqrt(total)
+
+
+def distances(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Cosine distances of pairs of rows with their norms, summed as `cosine_distance` does: the same bits."""
+    total = np.zeros(len(a))
+    for c in range(a.shape[1]):
+        total += a[:, c] * b[:, c]
+    return 1 - total / (na * nb)

@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import ranking
-from quarry.operators.retrieval import lexical_score
+from quarry.operators.retrieval import best_by_terms, by_terms
 
 BUCKETS = 64
 #: Asked terms up to this number are pushed to the scan by value; more are joined.
@@ -125,13 +124,11 @@ class LexicalIndex:
 
     def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank for queries (query_id, terms): any of the distinct terms matches, among allowed chunks (chunk_id)."""
-        terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-        rows = self.postings(terms).select("term", "chunk_id", "n")
+        mine, terms = by_terms(queries)
+        rows = self.postings(terms).select("term", "chunk_id", F.col("n").alias("positions"))
         if allowed is not None:
             rows = rows.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-        hits = rows.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum("n").alias("positions"))
-        scored = hits.withColumn("score", lexical_score(F.col("positions")))
-        return ranking.top_k(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+        return best_by_terms(rows, mine, terms, k)
 
     def phrase(self, words: list[str]) -> DataFrame:
         """chunk_id, starts of the chunks that hold the words one after the other, from positions alone."""

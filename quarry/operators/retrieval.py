@@ -2,33 +2,144 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import hashing, text, vectors
 from quarry.operators import ranking
+from quarry.session import cut
 
 #: Vectors of queries are broadcast up to this number of rows; more are searched block by block.
 QUERY_BLOCK = 2048
+#: As many where a block meets vectors as matrices.
+NEAR_BLOCK = 16_384
+#: Rows and queries of one product, pairs whose distances are taken at once, and what a product's rounding may hide.
+ROWS, COLUMNS, PAIRS, SLACK = 2048, 2048, 1 << 16, 1e-9
+#: What orders pairs without a number after all others, and pairs without a value after these; and what is not asked.
+NAN, NULL, NEVER = 1e300, 2e300, np.inf
+#: Asked terms up to this number are broadcast.
+FEW = 100_000
+
+
+class _Nearest:
+    """The k nearest rows met so far of each query (ids, vectors), by distance and then id."""
+
+    def __init__(self, vectors_of: pa.Array, k: int, probed: np.ndarray | None) -> None:
+        sizes = vectors_of.value_lengths().drop_null().to_numpy(zero_copy_only=False)
+        self.width = int(np.bincount(sizes).argmax()) if len(sizes) else 0
+        self.q, whole = vectors.matrix(vectors_of, self.width)
+        self.unit, self.norm, self.odd = self._plain(self.q, whole)
+        self.k, self.probed = k, probed
+        self.at, self.key, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.worst = np.full(len(self.q), NEVER)  # the k-th best key of each query
+
+    @staticmethod
+    def _plain(rows: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit rows, their norms, and 0 or the key of rows without a distance; these are zero."""
+        with np.errstate(all="ignore"):
+            norm = vectors.lengths(rows)
+            plain = np.isfinite(norm) & (norm > 0)
+            unit = np.where(plain[:, None], rows / norm[:, None], 0.0)
+        return unit, norm, np.where(plain, 0.0, np.where(whole, NAN, NULL))
+
+    def take(self, ids: np.ndarray, column: pa.Array, cells: np.ndarray | None) -> None:
+        rows, whole = vectors.matrix(column, self.width)
+        unit, norm, odd = self._plain(rows, whole)
+        for low in range(0, len(self.q), COLUMNS):
+            some = slice(low, low + COLUMNS)
+            near = 1 - unit @ self.unit[some].T
+            if odd.any() or self.odd[some].any():
+                without = np.maximum(odd[:, None], self.odd[None, some])
+                near = np.where(without > 0, without, near)
+            if self.probed is not None:
+                near[~self.probed[some][:, cells].T] = NEVER
+            limit = self.worst[some]
+            if len(near) > self.k and np.isinf(limit).any():
+                limit = np.minimum(limit, np.partition(near, self.k - 1, axis=0)[self.k - 1])
+            row, at = np.nonzero((near <= limit + SLACK) & (near < NEVER))
+            key = near[row, at]
+            at = at + low
+            for i in range(0, len(row), PAIRS):
+                r, q = row[i : i + PAIRS], at[i : i + PAIRS]
+                plain = key[i : i + PAIRS] < NAN
+                key[i : i + PAIRS][plain] = vectors.distances(rows[r[plain]], self.q[q[plain]], norm[r[plain]], self.norm[q[plain]])
+            self._keep(at, key, ids[row])
+
+    def _keep(self, at: np.ndarray, key: np.ndarray, ids: np.ndarray) -> None:
+        at, key, ids = np.concatenate([self.at, at]), np.concatenate([self.key, key]), np.concatenate([self.id, ids])
+        order = np.lexsort((ids, key, at))
+        at, key, ids = at[order], key[order], ids[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        last = nth == self.k - 1
+        self.worst[at[last]] = key[last]
+        kept = nth < self.k
+        self.at, self.key, self.id = at[kept], key[kept], ids[kept]
+
+
+def nearest(rows: DataFrame, queries: pa.Table, k: int, probed: np.ndarray | None = None) -> DataFrame:
+    """query_id, chunk_id, distance: of each task, the k nearest rows (chunk_id, embedding) of each query (query_id, q).
+
+    Rows meet a block of queries as matrices; those that a product leaves in reach get their distance in the order of
+    components of `cosine_distance`, so nothing depends on the product. Pairs without a number come after all others, those
+    without a value last. probed: with a column cell of rows, which cells (columns) each query (rows) asks. chunk_id is a whole number.
+    """
+    names = queries.column("query_id").combine_chunks()
+    shared = rows.sparkSession.sparkContext.broadcast((names, queries.column("q").combine_chunks(), probed))
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    schema = pa.schema([("query_id", names.type), ("chunk_id", {"int": pa.int32()}.get(kind, pa.int64())), ("distance", pa.float64())])
+    of_query = {pa.int32(): "int", pa.int64(): "long"}.get(names.type, "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q, probed = shared.value
+        best = _Nearest(q, k, probed)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                cells = batch.column(2).to_numpy() if probed is not None else None
+                best.take(batch.column(0).to_numpy().astype(np.int64), batch.column(1), cells)
+        for at in range(0, len(best.at), PAIRS):
+            some = slice(at, at + PAIRS)
+            key = best.key[some]
+            value = pa.array(np.where(key >= NAN, np.nan, key), mask=key >= NULL)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(best.at[some])), pa.array(best.id[some]).cast(schema.field(1).type), value], schema=schema)
+
+    return rows.select("chunk_id", "embedding", *(["cell"] if probed is not None else [])).mapInArrow(run, f"query_id {of_query}, chunk_id {kind}, distance double")
 
 
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, distance, rank. chunks: chunk_id, embedding; queries: query_id, q.
 
-    A stated set of queries against all chunks: exact, one scan a block of queries; every task keeps
-    k rows a query (the plan limits window groups before the shuffle).
+    A stated set of queries against all chunks: exact, one scan a block of queries; every task keeps k rows a query.
     """
     n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    blocks = max(1, -(-n // NEAR_BLOCK))
+    order = [F.col("distance").asc_nulls_last(), F.col("chunk_id")]
     found = None
     for b in range(blocks):
         some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        near = chunks.join(F.broadcast(some)).withColumn("distance", vectors.cosine_distance(F.col("embedding"), F.col("q")))
-        part = ranking.top_k(near.select("query_id", "chunk_id", "distance"), ["query_id"], [F.col("distance").asc_nulls_last(), F.col("chunk_id")], k)
+        part = ranking.top_k(nearest(chunks, some.select("query_id", "q").toArrow(), k), ["query_id"], order, k)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def by_terms(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """query_id, asked of every query (query_id, terms), and asked, term of those that stand for all queries of the same terms."""
+    sets = queries.select("query_id", F.array_sort(F.array_distinct("terms")).alias("terms"))
+    firsts = cut(queries.sparkSession, sets.groupBy("terms").agg(F.min("query_id").alias("asked")))
+    return sets.join(firsts, "terms").select("query_id", "asked"), firsts.select("asked", F.explode("terms").alias("term"))
+
+
+def best_by_terms(rows: DataFrame, queries: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score, rank from postings (term, chunk_id, positions) and both results of `by_terms`: one search for queries that ask the same."""
+    hits = rows.join(F.broadcast(terms) if terms.limit(FEW + 1).count() <= FEW else terms, "term").groupBy("asked", "chunk_id").agg(F.sum("positions").alias("positions"))
+    best = ranking.top_k(hits.withColumn("score", lexical_score(F.col("positions"))), ["asked"], [F.desc("score"), F.col("chunk_id")], k)
+    return queries.join(best, "asked").select("query_id", "chunk_id", "positions", "score", "rank")
+
+
 def postings(chunks: DataFrame, key: str, body: str) -> DataFrame:
     """key, term, positions: how often each term stands in each chunk."""
     words = chunks.select(F.col(key).alias("chunk_id"), F.explode(text.tokens(F.col(body))).alias("term"))
@@ -43,14 +154,12 @@ def lexical_score(positions: Column) -> Column:
 
 def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", body: str = "body") -> DataFrame:
     """query_id, chunk_id, score, rank for queries (query_id, terms): any of the distinct terms matches."""
-    terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    mine, terms = by_terms(queries)
     words = chunks.select(F.col(key).alias("chunk_id"), F.explode(text.tokens(F.col(body))).alias("term"))
     # only words that some query asks for are counted and shuffled
     asked = terms.select("term").distinct()
-    counts = words.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("positions"))
-    hits = counts.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum("positions").alias("positions"))
-    scored = hits.withColumn("score", lexical_score(F.col("positions")))
-    return ranking.top_k(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    counts = words.join(F.broadcast(asked) if asked.count() <= FEW else asked, "term", "left_semi").groupBy("chunk_id", "term").agg(F.count("*").alias("positions"))
+    return best_by_terms(counts, mine, terms, k)
 
 
 def hybrid(dense: DataFrame, lexical: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:

@@ -221,5 +221,6 @@ def _(spark, d):
 
 @query("f03_hybrid_truncation", with_views(f"WITH {ROUTES} SELECT query_id, count(*) AS merged, count(*) FILTER (rank <= 8) AS kept FROM best GROUP BY query_id"))
 def _(spark, d):
-    fused = ranking.numbered(ranking.fuse([dense_route(spark, d), lexical_route(spark, d)], ["query_id", "chunk_id"]), ["query_id"], [F.desc("rrf"), F.col("chunk_id")])
+    ok = permitted(spark, d)
+    fused = ranking.numbered(ranking.fuse([dense_route(spark, d, ok=ok), lexical_route(spark, d, ok=ok)], ["query_id", "chunk_id"]), ["query_id"], [F.desc("rrf"), F.col("chunk_id")])
     return fused.groupBy("query_id").agg(F.count("*").alias("merged"), F.count_if(F.col("rank") <= 8).alias("kept"))
