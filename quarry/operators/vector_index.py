@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors
 from quarry.operators import ranking
-from quarry.operators.retrieval import QUERY_BLOCK
-from quarry.session import spread
+from quarry.operators.retrieval import QUERY_BLOCK, nearest
+from quarry.session import cut, spread
 
 SAMPLE, CELLS, ROUNDS = 65_536, 1024, 12
 #: Share of the cells that a search probes if it isn't told how many: what vectors without clusters in 64 dimensions need
@@ -113,14 +114,17 @@ class VectorIndex:
         away = F.sqrt(F.greatest(F.lit(0.0), 2 * vectors.cosine_distance(F.col("q"), F.col("centroid"))))
         return pairs.select("query_id", "q", "cell", away.alias("away"), F.greatest(F.lit(0.0), away - F.col("radius")).alias("bound"))
 
-    def _asked(self, probes: DataFrame, allowed: DataFrame | None) -> DataFrame:
-        """query_id, chunk_id, distance of what the probed cells (query_id, q, cell) hold; only their folders are read."""
-        cells = [r["cell"] for r in probes.select("cell").distinct().collect()]  # at most CELLS
-        rows = self._vectors().filter(F.col("cell").isin(cells)).select("cell", "chunk_id", "embedding")
+    def _asked(self, queries: DataFrame, probes: DataFrame, k: int, allowed: DataFrame | None) -> DataFrame:
+        """query_id, chunk_id, distance of the k nearest that the probed cells (query_id, cell) of a block of queries (query_id, q) hold; only their folders are read."""
+        some = queries.select("query_id", "q").toArrow()  # at most QUERY_BLOCK
+        pairs = probes.select("query_id", "cell").toArrow()  # at most QUERY_BLOCK * CELLS pairs of numbers
+        cells = np.unique(pairs.column("cell").to_numpy())
+        probed = np.zeros((some.num_rows, int(cells.max(initial=-1)) + 1), bool)
+        probed[pc.index_in(pairs.column("query_id"), some.column("query_id")).to_numpy(), pairs.column("cell").to_numpy()] = True
+        rows = self._vectors().filter(F.col("cell").isin(cells.tolist())).select("cell", "chunk_id", "embedding")
         if allowed is not None:
             rows = rows.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-        near = rows.join(F.broadcast(probes), "cell")
-        return near.select("query_id", "chunk_id", vectors.cosine_distance(F.col("embedding"), F.col("q")).alias("distance"))
+        return nearest(rows, some, k, probed)
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, allowed: DataFrame | None = None) -> DataFrame:
         """query_id, chunk_id, distance, rank of each query's (query_id, q) k nearest among allowed chunks (chunk_id); block by block of queries."""
@@ -136,13 +140,14 @@ class VectorIndex:
     def _block(self, queries: DataFrame, k: int, probes: int, exact: bool, allowed: DataFrame | None) -> DataFrame:
         order = [F.col("distance").asc_nulls_last(), F.col("chunk_id")]
         cells = self._nearest(queries)
-        first = ranking.top_k(cells, ["query_id"], [F.col("away"), F.col("cell")], probes).select("query_id", "q", "cell", "bound")
-        found = ranking.top_k(self._asked(first.drop("bound"), allowed), ["query_id"], order, k)
+        first = ranking.top_k(cells, ["query_id"], [F.col("away"), F.col("cell")], probes).select("query_id", "cell")
+        found = ranking.top_k(self._asked(queries, first, k, allowed), ["query_id"], order, k)
         if not exact:
             return found
         # the k-th best so far, or no limit where fewer were found: half the square of a Euclidean distance
+        found = cut(self.spark, found)
         limit = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("worst"))
         more = cells.join(F.broadcast(limit), "query_id", "left").join(F.broadcast(first.select("query_id", "cell")), ["query_id", "cell"], "left_anti")
-        more = more.filter(F.col("worst").isNull() | (F.col("bound") * F.col("bound") / 2 <= F.col("worst") + SLACK)).select("query_id", "q", "cell")
-        both = found.select("query_id", "chunk_id", "distance").unionByName(self._asked(more, allowed))
+        more = more.filter(F.col("worst").isNull() | (F.col("bound") * F.col("bound") / 2 <= F.col("worst") + SLACK)).select("query_id", "cell")
+        both = found.select("query_id", "chunk_id", "distance").unionByName(self._asked(queries, more, k, allowed))
         return ranking.top_k(both, ["query_id"], order, k)
