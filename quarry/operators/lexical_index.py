@@ -5,8 +5,9 @@ in order of term within a file, and the ids of all chunks that it added or took
 a chunk's postings are those of the last segment that names it. A search reads only the buckets of the asked terms, and of
 these only the row groups whose terms fit; positions are read by none but those who ask for them.
 
-Updates write a new segment and then the next version's file, which only one of two writers can create. A hot term's
-postings lie in as many files as their size asks for, as ranges end within a term.
+Updates write a new segment and then the next version's file, which only one of two writers can create. A chunk's words are
+grouped where the chunk is read, and its postings are shuffled once: by bucket and, in larger segments, by a class of the
+chunk, so that a hot term's postings lie in many files.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,40 @@ from quarry.operators.retrieval import best_by_terms, by_terms
 BUCKETS = 64
 #: Asked terms up to this number are pushed to the scan by value; more are joined.
 PUSHED = 500
+#: Chunks whose words are grouped at once.
+GROUPED = 256
+#: Bytes of a segment's rows, as the plan knows them, that make a task of their own; and what a plan says that does not know.
+PART_BYTES, UNKNOWN = 16 << 20, 1 << 50
+_POSTINGS = pa.schema([("term", pa.string()), ("chunk_id", pa.int64()), ("n", pa.int32()), ("positions", pa.list_(pa.int32()))])
+
+
+def _grouped(ids: pa.Array, words: pa.Array) -> pa.RecordBatch:
+    """Postings of some chunks: each word of a chunk once, with its places."""
+    sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    chunk = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(chunk)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = chunk * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(first, len(key)).astype(np.int32)
+    places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))
+    said = coded.dictionary.take(coded.indices.take(pa.array(order[first])))
+    return pa.RecordBatch.from_arrays([said, ids.take(pa.array(chunk[order[first]])), pa.array(np.diff(ends)), places], schema=_POSTINGS)
+
+
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, n, positions of chunks (chunk_id, body), each by itself: nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, GROUPED):
+                batch = whole.slice(at, GROUPED)
+                yield _grouped(batch.column(0), batch.column(1))
+
+    words = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), text.tokens(F.col("body")).alias("words"))
+    return words.mapInArrow(run, "term string, chunk_id long, n int, positions array<int>")
 
 
 class LexicalIndex:
@@ -72,7 +110,11 @@ class LexicalIndex:
     def _write(self, rows: DataFrame, changed: DataFrame) -> str:
         """A segment of posting rows and of the ids it decides on."""
         name = f"segment-{uuid.uuid4().hex}"
-        ordered = rows.withColumn("bucket", self.bucket("term")).repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if (size := int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) < UNKNOWN:
+            parts = max(parts, size // PART_BYTES)
+        share = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, 2 * parts // self.buckets)))
+        ordered = rows.withColumn("bucket", self.bucket("term")).repartition(parts, "bucket", share).sortWithinPartitions("bucket", "term", "chunk_id")
         ordered.write.partitionBy("bucket").parquet(f"{self.root}/{name}/postings")
         changed.select("chunk_id").distinct().write.parquet(f"{self.root}/{name}/changed")
         return name
@@ -85,8 +127,7 @@ class LexicalIndex:
         version, segments = self._manifest()
         if version != expected:
             raise RuntimeError("another version was published")
-        places = added.select("chunk_id", F.posexplode(text.tokens(F.col("body"))).alias("at", "term"))
-        rows = places.groupBy("term", "chunk_id").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list("at")).alias("positions"))
+        rows = postings_of(added)
         ids = added.select("chunk_id")
         return self._activate(expected, [*segments, self._write(rows, ids if removed is None else ids.unionByName(removed.select("chunk_id")))])
 

@@ -52,6 +52,22 @@ def test_index_equals_a_scan_after_updates(spark, chunks, queries, tmp_path):
         index._activate(3, [])
 
 
+def test_words_are_grouped_where_their_chunk_lies(spark, chunks, tmp_path):
+    rows = lexical_index.postings_of(chunks)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for c, body in chunks.collect():
+        for at, w in enumerate((body or "").split()):
+            want.setdefault((w, c), []).append(at)
+    assert {(r["term"], r["chunk_id"]): r["positions"] for r in rows.collect()} == want
+    assert all(r["n"] == len(r["positions"]) for r in rows.collect())
+    index = lexical_index.LexicalIndex(spark, f"file://{tmp_path}/index", 4)
+    index.update(chunks, 0)
+    # the hot word's postings lie in several files, each in order of term
+    files = index.postings().filter("term = 'the'").select(F.input_file_name()).distinct().count()
+    assert files > 1
+
+
 def test_only_asked_buckets_and_columns_are_read(spark, chunks, queries, tmp_path):
     index = lexical_index.LexicalIndex(spark, f"file://{tmp_path}/index", 32)
     index.update(chunks, 0)
