@@ -19,6 +19,8 @@ from quarry.streaming import events
 
 #: Rows of one workbook.
 SHEET_ROWS = 500
+#: Word files that leave a task together.
+FILES = 128
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
@@ -84,7 +86,7 @@ def word_blocks(spark, d):
     """doc_id and the blocks of every document's word file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, FILES) for whole in batches for at in range(0, whole.num_rows, FILES)):
             made = [word_file(lines, k % 3 + 1, k % 4) for k, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f"{k}.docx" for k in batch.column(0).to_pylist()], pa.string()), pa.array(made, pa.binary())], ["path", "content"])
 

@@ -120,3 +120,18 @@ def test_layout_tags():
     for name, bad in (("pdf", b"x"), ("docx", b"x")):
         with pytest.raises(files.FileError):
             files.layout_tags(name, bad)
+
+
+def test_blocks_of_several_files_leave_together(spark, monkeypatch):
+    made = [(f"{i}.txt", f"a{i}\nb".encode()) for i in range(7)] + [("x.csv", b"a,b\n1,2"), ("none.txt", b""), ("bad.docx", b"no"), ("odd.exe", b"?"), ("s.xlsx", sheet_file()), ("d.docx", document_file())]
+    rows = spark.createDataFrame(made, "path string, content binary").repartition(1)
+    assert "MapInArrow" in files.blocks(rows)._jdf.queryExecution().executedPlan().toString()
+    want = [(p, n) for p, c in made for n, _ in enumerate(files.parse(p.rpartition(".")[2], c) if p[:3] not in ("bad", "odd") else [0], 1)]
+    held = []
+    for packed in (1, 5, 4096):
+        monkeypatch.setattr(files, "PACKED", packed)
+        found = files.blocks(rows).collect()
+        assert sorted((r["path"], r["position"]) for r in found) == sorted(want)
+        assert {r["path"]: r["error"] for r in found if r["kind"] == "error"} == {"bad.docx": "malformed", "odd.exe": "extension"}
+        held.append(sorted(map(str, found)))
+    assert held[0] == held[1] == held[2]
