@@ -59,7 +59,7 @@ def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     Of three lines or more the first is a header and the last a footer. A line with an address stands for an image, a short one
     without a stop at its end is a heading, others are paragraphs. start and end count characters of the regular form.
     """
-    rows = docs.filter(F.col(key).isNotNull()).select(key, source.normalized(F.col(text))["text"].alias("_t"))
+    rows = docs.filter(F.col(key).isNotNull()).select(key, source.regular(F.col(text)).alias("_t"))
     lines = rows.select(key, F.posexplode(F.split("_t", "\n")).alias("block", "body"))
     before = F.coalesce(F.sum(F.length("body") + 1).over(Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lines = lines.withColumn("start", before).withColumn("end", F.col("start") + F.length("body")).filter("body <> ''")
@@ -114,8 +114,8 @@ def audit_structure(docs: DataFrame, chunks: DataFrame, key: str, text: str, mos
     rising = F.col("char_start") > F.coalesce(F.lag("char_start").over(Window.partitionBy(key).orderBy("chunk_index")), F.lit(-1))
     texts = docs.filter(F.col(key).isNotNull()).select(key, F.col(text).alias("_whole"))
     placed = chunks.withColumn("rising", rising).join(texts, key)
-    cut = source.normalized(F.substring(F.col("_whole"), F.col("source_start") + 1, F.col("source_end") - F.col("source_start")))["text"]
-    within = (F.col("source_start") >= 0) & (F.col("source_start") < F.col("source_end")) & (F.col("source_end") <= F.length("_whole")) & F.contains(cut, source.normalized(F.col("body"))["text"])
+    cut = source.regular(F.substring(F.col("_whole"), F.col("source_start") + 1, F.col("source_end") - F.col("source_start")))
+    within = (F.col("source_start") >= 0) & (F.col("source_start") < F.col("source_end")) & (F.col("source_end") <= F.length("_whole")) & F.contains(cut, source.regular(F.col("body")))
     per = placed.groupBy(key).agg(F.count("*").alias("chunks"), (F.every("rising") & (F.min("chunk_index") == 1) & (F.max("chunk_index") == F.count("*"))).alias("ordered"), F.every(within).alias("located"))
     out = docs.filter(F.col(key).isNotNull()).select(key)
     for part in (units, headings, images, per):

@@ -91,10 +91,8 @@ SELECT doc_id, sha256({REGULAR}) AS digest, length({REGULAR}) AS characters, len
 """)
 def _(spark, d):
     """The regular form with NFC, how long it is, and where its first and last characters stand in the source."""
-    rows = spread(table(spark, d, "documents")).select("doc_id", source.normalized(F.col("text")).alias("s")).filter("size(s.starts) > 0")
-    steps = F.forall(F.arrays_zip(F.col("s.starts"), F.col("s.ends")), lambda x: x["starts"] < x["ends"])
-    rising = F.array_sort("s.starts") == F.col("s.starts")
-    return rows.select("doc_id", F.sha2("s.text", 256).alias("digest"), F.length("s.text").cast("long").alias("characters"), F.element_at("s.starts", 1).cast("long").alias("first_source"), F.element_at("s.ends", -1).cast("long").alias("last_source"), (steps & rising).alias("in_order"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", source.outline(F.col("text")).alias("s")).filter("s.text <> ''")
+    return rows.select("doc_id", F.sha2("s.text", 256).alias("digest"), F.length("s.text").cast("long").alias("characters"), F.col("s.first").cast("long").alias("first_source"), F.col("s.last").cast("long").alias("last_source"), "s.in_order")
 
 
 @query("l09_chunk_sources", f"""
@@ -105,7 +103,7 @@ def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     chunks = chunking.chunk_sources(docs, "doc_id", "text").join(docs, "doc_id")
     cut = F.substring(F.col("text"), F.col("source_start") + 1, F.col("source_end") - F.col("source_start"))
-    chunks = chunks.withColumn("exact", source.normalized(cut)["text"] == source.normalized(F.col("body"))["text"])
+    chunks = chunks.withColumn("exact", source.regular(cut) == source.regular(F.col("body")))
     upto = F.lag("source_end").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
     between = F.substring(F.col("text"), upto + 1, F.greatest(F.col("source_start") - upto, F.lit(0)))
     chunks = chunks.withColumn("covered", F.coalesce(F.regexp_replace(between, r"[\s\p{Z}\x0b\x1c-\x1f\x85]", "") == "", F.lit(True)))
