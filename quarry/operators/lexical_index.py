@@ -31,7 +31,7 @@ PUSHED = 500
 #: Chunks whose words are grouped at once.
 GROUPED = 256
 #: Bytes of a segment's rows, as the plan knows them, that make a task of their own; and what a plan says that does not know.
-PART_BYTES, UNKNOWN = 16 << 20, 1 << 50
+PART_BYTES, UNKNOWN = 4 << 20, 1 << 50
 _POSTINGS = pa.schema([("term", pa.string()), ("chunk_id", pa.int64()), ("n", pa.int32()), ("positions", pa.list_(pa.int32()))])
 
 
@@ -113,7 +113,7 @@ class LexicalIndex:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         if (size := int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) < UNKNOWN:
             parts = max(parts, size // PART_BYTES)
-        share = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, 2 * parts // self.buckets)))
+        share = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, 4 * parts // self.buckets)))
         ordered = rows.withColumn("bucket", self.bucket("term")).repartition(parts, "bucket", share).sortWithinPartitions("bucket", "term", "chunk_id")
         ordered.write.partitionBy("bucket").parquet(f"{self.root}/{name}/postings")
         changed.select("chunk_id").distinct().write.parquet(f"{self.root}/{name}/changed")
