@@ -6,8 +6,8 @@ a chunk's postings are those of the last segment that names it. A search reads o
 these only the row groups whose terms fit; positions are read by none but those who ask for them.
 
 Updates write a new segment and then the next version's file, which only one of two writers can create. A chunk's words are
-grouped where the chunk is read, and its postings are shuffled once: by bucket and, in larger segments, by a class of the
-chunk, so that a hot term's postings lie in many files.
+grouped where the chunk is read, and the postings of some chunks are shuffled once, a word's as one row: by bucket and, in
+larger segments, by a class of the first chunk, so that a hot term's postings lie in many files.
 """
 
 from __future__ import annotations
@@ -29,30 +29,33 @@ BUCKETS = 64
 #: Asked terms up to this number are pushed to the scan by value; more are joined.
 PUSHED = 500
 #: Chunks whose words are grouped at once.
-GROUPED = 256
+GROUPED = 1024
 #: Bytes of a segment's rows, as the plan knows them, that make a task of their own; and what a plan says that does not know.
 PART_BYTES, UNKNOWN = 4 << 20, 1 << 50
-_POSTINGS = pa.schema([("term", pa.string()), ("chunk_id", pa.int64()), ("n", pa.int32()), ("positions", pa.list_(pa.int32()))])
+_PACKS = pa.schema([("term", pa.string()), ("ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
 
 def _grouped(ids: pa.Array, words: pa.Array) -> pa.RecordBatch:
-    """Postings of some chunks: each word of a chunk once, with its places."""
+    """A pack for each word of some chunks: the chunks that hold it, where each one's places end, and the places."""
     sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     coded = words.flatten().dictionary_encode()
     chunk = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(chunk)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    key = chunk * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False)
+    key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(sizes), 1) + chunk
     order = np.argsort(key, kind="stable")
     key = key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    ends = np.append(first, len(key)).astype(np.int32)
-    places = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))
-    said = coded.dictionary.take(coded.indices.take(pa.array(order[first])))
-    return pa.RecordBatch.from_arrays([said, ids.take(pa.array(chunk[order[first]])), pa.array(np.diff(ends)), places], schema=_POSTINGS)
+    ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1 if len(key) else np.zeros(0, np.int64)  # of postings, in places
+    held, code = chunk[order[ends - 1]], key[ends - 1] // max(len(sizes), 1)
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)  # postings that begin a pack
+    packs = np.append(first, len(ends)).astype(np.int32)
+    before = np.append(0, ends)[packs].astype(np.int32)
+    within = (ends - np.repeat(before[:-1], np.diff(packs))).astype(np.int32)
+    columns = [pa.ListArray.from_arrays(pa.array(at), v) for at, v in ((packs, ids.take(pa.array(held))), (packs, pa.array(within)), (before, pa.array(place[order].astype(np.int32))))]
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), *columns], schema=_PACKS)
 
 
-def postings_of(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, n, positions of chunks (chunk_id, body), each by itself: nothing is shuffled."""
+def packs_of(chunks: DataFrame) -> DataFrame:
+    """term, ids, ends, places of chunks (chunk_id, body): a word's postings in some chunks as one row; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -61,7 +64,20 @@ def postings_of(chunks: DataFrame) -> DataFrame:
                 yield _grouped(batch.column(0), batch.column(1))
 
     words = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), text.tokens(F.col("body")).alias("words"))
-    return words.mapInArrow(run, "term string, chunk_id long, n int, positions array<int>")
+    return words.mapInArrow(run, "term string, ids array<long>, ends array<int>, places array<int>")
+
+
+def unpacked(packs: DataFrame) -> DataFrame:
+    """term, chunk_id, n, positions of packs."""
+    rows = packs.select("term", "ends", "places", F.posexplode("ids").alias("i", "chunk_id"))
+    start = F.when(F.col("i") > 0, F.get("ends", F.col("i") - 1)).otherwise(0)
+    n = F.get("ends", F.col("i")) - start
+    return rows.select("term", "chunk_id", n.alias("n"), F.slice("places", start + 1, n).alias("positions"))
+
+
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, n, positions of chunks (chunk_id, body), each by itself: nothing is shuffled."""
+    return unpacked(packs_of(chunks))
 
 
 class LexicalIndex:
@@ -107,14 +123,15 @@ class LexicalIndex:
     def bucket(self, term):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, changed: DataFrame) -> str:
-        """A segment of posting rows and of the ids it decides on."""
+    def _write(self, packs: DataFrame, changed: DataFrame) -> str:
+        """A segment of packs and of the ids it decides on. Packs are shuffled, postings written."""
         name = f"segment-{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        if (size := int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) < UNKNOWN:
+        if (size := int(str(unpacked(packs)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))) < UNKNOWN:
             parts = max(parts, size // PART_BYTES)
-        share = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, 4 * parts // self.buckets)))
-        ordered = rows.withColumn("bucket", self.bucket("term")).repartition(parts, "bucket", share).sortWithinPartitions("bucket", "term", "chunk_id")
+        share = F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(max(1, 4 * parts // self.buckets)))
+        rows = unpacked(packs.repartition(parts, self.bucket("term"), share))
+        ordered = rows.withColumn("bucket", self.bucket("term")).sortWithinPartitions("bucket", "term", "chunk_id")
         ordered.write.partitionBy("bucket").parquet(f"{self.root}/{name}/postings")
         changed.select("chunk_id").distinct().write.parquet(f"{self.root}/{name}/changed")
         return name
@@ -127,9 +144,8 @@ class LexicalIndex:
         version, segments = self._manifest()
         if version != expected:
             raise RuntimeError("another version was published")
-        rows = postings_of(added)
         ids = added.select("chunk_id")
-        return self._activate(expected, [*segments, self._write(rows, ids if removed is None else ids.unionByName(removed.select("chunk_id")))])
+        return self._activate(expected, [*segments, self._write(packs_of(added), ids if removed is None else ids.unionByName(removed.select("chunk_id")))])
 
     def compact(self, expected: int) -> int:
         """The next version, with one segment for all that is live."""
@@ -137,7 +153,8 @@ class LexicalIndex:
         if version != expected:
             raise RuntimeError("another version was published")
         live = self.postings(None, segments)
-        return self._activate(expected, [self._write(live, live)])
+        packs = live.select("term", F.array("chunk_id").alias("ids"), F.array("n").alias("ends"), F.col("positions").alias("places"))
+        return self._activate(expected, [self._write(packs, live)])
 
     def postings(self, terms: DataFrame | None = None, segments: list[str] | None = None) -> DataFrame:
         """term, chunk_id, n, positions of live chunks, for the terms asked for (term) or all."""

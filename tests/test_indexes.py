@@ -68,6 +68,23 @@ def test_words_are_grouped_where_their_chunk_lies(spark, chunks, tmp_path):
     assert files > 1
 
 
+def test_a_word_of_some_chunks_is_shuffled_as_one_row(spark, chunks, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical_index, "GROUPED", 50)
+    packs = lexical_index.packs_of(chunks.coalesce(1))
+    assert packs.count() < lexical_index.postings_of(chunks).count() / 2
+    held = packs.collect()
+    assert all(len(r["ids"]) == len(r["ends"]) <= 50 and r["ends"][-1] == len(r["places"]) for r in held)
+    written = []
+    monkeypatch.setattr(lexical_index, "unpacked", lambda rows, real=lexical_index.unpacked: written.append(rows) or real(rows))
+    index = lexical_index.LexicalIndex(spark, f"file://{tmp_path}/index", 4)
+    index.update(chunks, 0)
+    assert "RepartitionByExpression" in written[-1]._jdf.queryExecution().logical().toString()  # they are unpacked behind the shuffle
+    want = {(r["term"], r["chunk_id"]): (r["n"], r["positions"]) for r in lexical_index.postings_of(chunks).collect()}
+    assert {(r["term"], r["chunk_id"]): (r["n"], r["positions"]) for r in index.postings().collect()} == want
+    index.compact(1)
+    assert {(r["term"], r["chunk_id"]): (r["n"], r["positions"]) for r in index.postings().collect()} == want
+
+
 def test_only_asked_buckets_and_columns_are_read(spark, chunks, queries, tmp_path):
     index = lexical_index.LexicalIndex(spark, f"file://{tmp_path}/index", 32)
     index.update(chunks, 0)
