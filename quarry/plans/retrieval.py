@@ -125,15 +125,22 @@ final AS (SELECT query_id, unnest(arg_max(ids, priority)) AS chunk_id FROM walk
 chosen AS (SELECT b.query_id, b.chunk_id, b.role, b.rank, b.tokens, b.body, row_number() OVER (PARTITION BY b.query_id ORDER BY b.rank, CASE b.role WHEN 'previous' THEN 0 WHEN 'anchor' THEN 1 ELSE 2 END) AS position FROM final f JOIN bodies b ON b.query_id = f.query_id AND b.chunk_id = f.chunk_id)"""
 
 
-def readable(spark, d, ok):
+def readable(spark, d, ok, wanted=None):
     """Chunks the caller may read: every document as a chunk of a longer one, twenty neighbours make a document.
 
     Anchors and neighbours are taken from these rows alone, so a chunk that is not allowed is neither shown nor stepped over.
     """
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 20).alias("document_id"), (F.col("doc_id") % 20 + 1).cast("int").alias("chunk_index"), F.col("text").alias("body"))
+    chunks = chunks if wanted is None else only(chunks, wanted)
     return chunks.join(ok, "chunk_id", "left_semi")
 
 
+def only(rows, wanted):
+    """The rows of the chunks wanted, which are a few of each query: up to `FEW` ids, no other text is shuffled."""
+    ids = wanted.select("chunk_id").distinct()
+    return rows.join(F.broadcast(ids) if ids.count() <= retrieval.FEW else ids, "chunk_id", "left_semi")
+
+
 def searched(spark, d):
     """What one search gives all that follows: the chunks that may be read, and its four best of each query with both ranks."""
     ok = permitted(spark, d)
@@ -159,13 +166,17 @@ def _(spark, d):
     return context.candidates(found, windows(spark, d, ok, found)).select("query_id", "chunk_id", "role", "priority")
 
 
-def context_of(spark, d, ok, found):
-    wanted = context.candidates(found, windows(spark, d, ok, found))
-    return context.select_context(wanted.join(readable(spark, d, ok), "chunk_id").withColumn("overlap_tokens", F.lit(0)))
+def wanted_of(spark, d, ok, found):
+    return cut(spark, context.candidates(found, windows(spark, d, ok, found)))
+
+
+def context_of(spark, d, ok, wanted):
+    return context.select_context(wanted.join(readable(spark, d, ok, wanted), "chunk_id").withColumn("overlap_tokens", F.lit(0)))
 
 
 def built_context(spark, d):
-    return context_of(spark, d, *searched(spark, d))
+    ok, found = searched(spark, d)
+    return context_of(spark, d, ok, wanted_of(spark, d, ok, found))
 
 
 @query("m10_budgeted_context", with_views(f"WITH RECURSIVE {CONTEXT} SELECT query_id, position, chunk_id, role, tokens FROM chosen"))
@@ -180,9 +191,10 @@ def _(spark, d):
 def _(spark, d):
     """What a search returns to its caller: evidence in reading order with label, identity, title, locator, ranks of both routes and excerpt."""
     ok, found = searched(spark, d)
-    rows = context_of(spark, d, ok, found).withColumn("body_hash", hashing.text_sha256("text"))
+    wanted = wanted_of(spark, d, ok, found)
+    rows = context_of(spark, d, ok, wanted).withColumn("body_hash", hashing.text_sha256("text"))
     hits = found.select("query_id", "chunk_id", F.lit("anchor").alias("role"), "rrf", "rank_0", "rank_1")
-    about = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "lang", F.col("text").alias("whole"))
+    about = only(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "lang", F.col("text").alias("whole")), wanted)
     full = rows.join(hits, ["query_id", "chunk_id", "role"], "left").join(about, "chunk_id")
     blank = r"[ \t\n\r]+"
     start = F.length("whole") - F.length(F.regexp_replace("whole", f"^{blank}", ""))

@@ -219,6 +219,23 @@ def test_context_holds_readable_chunks_only(spark, folder):
         assert {r["chunk_id"], r["previous"], r["next"]} - {None} <= fine
 
 
+def test_no_text_is_shuffled_but_of_wanted_chunks(spark, monkeypatch):
+    from quarry.operators import retrieval
+    from quarry.plans import retrieval as plans
+
+    d = "/root/testdata/sf0.01"
+    ok = plans.permitted(spark, d)
+    wanted = spark.createDataFrame([(i,) for i in (*range(60), 0, 1)], "chunk_id long")
+    texts = plans.readable(spark, d, ok, wanted)
+    above, scan = texts._jdf.queryExecution().sparkPlan().toString().split("FileScan")[:2]
+    assert "text" in scan.splitlines()[0] and "BroadcastHashJoin" in above and above.count("Join") == 2
+    fine = {r["chunk_id"] for r in ok.collect()}
+    got = {r["chunk_id"] for r in texts.collect()}
+    assert got == fine & set(range(60)) and texts.count() == len(got)
+    monkeypatch.setattr(retrieval, "FEW", 3)
+    assert {r["chunk_id"] for r in plans.readable(spark, d, ok, wanted).collect()} == got
+
+
 def test_longest_common_run():
     import random
 
