@@ -17,8 +17,10 @@ from quarry.session import cut
 QUERY_BLOCK = 2048
 #: As many where a block meets vectors as matrices.
 NEAR_BLOCK = 16_384
-#: Rows and queries of one product, pairs whose distances are taken at once, and what a product's rounding may hide.
-ROWS, COLUMNS, PAIRS, SLACK = 2048, 2048, 1 << 16, 1e-9
+#: Rows and queries of one product, pairs whose distances are taken at once, and what the rounding of a distance may hide.
+ROWS, COLUMNS, PAIRS, SLACK = 8192, 256, 1 << 13, 1e-9
+#: Rows of a batch that is returned.
+OUT = 1 << 16
 #: What orders pairs without a number after all others, and pairs without a value after these; and what is not asked.
 NAN, NULL, NEVER = 1e300, 2e300, np.inf
 #: Asked terms up to this number are broadcast.
@@ -26,58 +28,98 @@ FEW = 100_000
 
 
 class _Nearest:
-    """The k nearest rows met so far of each query (ids, vectors), by distance and then id."""
+    """The k nearest rows met so far of each query (keys, ids), by distance and then id.
+
+    Products are taken in single precision: they only tell which rows may be in reach. `reach` is twice what rounding of unit
+    rows and of a product in any order can make of a cosine, so no row is lost; distances themselves are in double precision.
+    """
 
     def __init__(self, vectors_of: pa.Array, k: int, probed: np.ndarray | None) -> None:
         sizes = vectors_of.value_lengths().drop_null().to_numpy(zero_copy_only=False)
         self.width = int(np.bincount(sizes).argmax()) if len(sizes) else 0
         self.q, whole = vectors.matrix(vectors_of, self.width)
         self.unit, self.norm, self.odd = self._plain(self.q, whole)
-        self.k, self.probed = k, probed
-        self.at, self.key, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        self.worst = np.full(len(self.q), NEVER)  # the k-th best key of each query
+        self.k, self.probed, self.reach = k, probed, (self.width + 8) * 2.0**-23 + SLACK
+        self.key, self.id = np.full((len(self.q), k), NEVER), np.full((len(self.q), k), np.iinfo(np.int64).max)
 
     @staticmethod
     def _plain(rows: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit rows, their norms, and 0 or the key of rows without a distance; these are zero."""
+        """Unit rows in single precision, their norms, and 0 or the key of rows without a distance; these are zero."""
         with np.errstate(all="ignore"):
             norm = vectors.lengths(rows)
             plain = np.isfinite(norm) & (norm > 0)
-            unit = np.where(plain[:, None], rows / norm[:, None], 0.0)
+            unit = np.where(plain[:, None], rows / norm[:, None], 0.0).astype(np.float32)
         return unit, norm, np.where(plain, 0.0, np.where(whole, NAN, NULL))
 
     def take(self, ids: np.ndarray, column: pa.Array, cells: np.ndarray | None) -> None:
         rows, whole = vectors.matrix(column, self.width)
         unit, norm, odd = self._plain(rows, whole)
+        plain, without = np.flatnonzero(odd == 0), np.flatnonzero(odd)
+        unit = unit if len(plain) == len(unit) else unit[plain]
         for low in range(0, len(self.q), COLUMNS):
-            some = slice(low, low + COLUMNS)
-            near = 1 - unit @ self.unit[some].T
-            if odd.any() or self.odd[some].any():
-                without = np.maximum(odd[:, None], self.odd[None, some])
-                near = np.where(without > 0, without, near)
-            if self.probed is not None:
-                near[~self.probed[some][:, cells].T] = NEVER
-            limit = self.worst[some]
-            if len(near) > self.k and np.isinf(limit).any():
-                limit = np.minimum(limit, np.partition(near, self.k - 1, axis=0)[self.k - 1])
-            row, at = np.nonzero((near <= limit + SLACK) & (near < NEVER))
-            key = near[row, at]
-            at = at + low
-            for i in range(0, len(row), PAIRS):
-                r, q = row[i : i + PAIRS], at[i : i + PAIRS]
-                plain = key[i : i + PAIRS] < NAN
-                key[i : i + PAIRS][plain] = vectors.distances(rows[r[plain]], self.q[q[plain]], norm[r[plain]], self.norm[q[plain]])
-            self._keep(at, key, ids[row])
+            of = np.arange(low, min(low + COLUMNS, len(self.q)))
+            asks, odd_asks = of[self.odd[of] == 0], of[self.odd[of] > 0]
+            self._measured(asks, plain, unit, rows, norm, ids, cells)
+            self._unmeasured(asks, without, odd, ids, cells)
+            self._unmeasured(odd_asks, np.arange(len(ids)), odd, ids, cells)
+
+    def _measured(self, asks: np.ndarray, plain: np.ndarray, unit: np.ndarray, rows: np.ndarray, norm: np.ndarray, ids: np.ndarray, cells: np.ndarray | None) -> None:
+        """Queries and rows that have a distance."""
+        if not len(asks) or not len(plain):
+            return
+        cosine = self.unit[asks] @ unit.T
+        if self.probed is not None:
+            cosine[~self.probed[asks][:, cells[plain]]] = -np.inf
+        worst = self.key[asks, -1]
+        least = 1 - worst - self.reach  # -inf where fewer than k rows are known
+        few = np.flatnonzero(worst >= NAN)
+        if len(few):
+            least[few] = -np.inf
+            if len(plain) > self.k:
+                least[few] = np.partition(cosine[few], len(plain) - self.k, axis=1)[:, len(plain) - self.k] - 2 * self.reach
+        # finite, so that rows which are not probed stay below
+        least = np.maximum(least, -2.0).astype(np.float32)
+        hit = np.flatnonzero(cosine >= np.nextafter(least, np.float32(-np.inf))[:, None])
+        at, row = asks[hit // len(plain)], plain[hit % len(plain)]
+        key = np.empty(len(hit))
+        for i in range(0, len(hit), PAIRS):
+            r, q = row[i : i + PAIRS], at[i : i + PAIRS]
+            key[i : i + PAIRS] = vectors.distances(rows[r], self.q[q], norm[r], self.norm[q])
+        key[np.isnan(key)] = NAN
+        self._keep(at, key, ids[row])
+
+    def _unmeasured(self, asks: np.ndarray, some: np.ndarray, odd: np.ndarray, ids: np.ndarray, cells: np.ndarray | None) -> None:
+        """Queries and rows of which one has no distance; they only count where fewer than k rows have one."""
+        asks = asks[self.key[asks, -1] >= NAN]
+        if not len(asks) or not len(some):
+            return
+        key = np.maximum(self.odd[asks][:, None], odd[some])
+        asked = np.ones(key.shape, bool) if self.probed is None else self.probed[asks][:, cells[some]]
+        at, row = np.nonzero(asked)
+        self._keep(asks[at], key[at, row], ids[some[row]])
 
     def _keep(self, at: np.ndarray, key: np.ndarray, ids: np.ndarray) -> None:
-        at, key, ids = np.concatenate([self.at, at]), np.concatenate([self.key, key]), np.concatenate([self.id, ids])
-        order = np.lexsort((ids, key, at))
-        at, key, ids = at[order], key[order], ids[order]
-        nth = np.arange(len(at)) - np.searchsorted(at, at)
-        last = nth == self.k - 1
-        self.worst[at[last]] = key[last]
-        kept = nth < self.k
-        self.at, self.key, self.id = at[kept], key[kept], ids[kept]
+        """Rows met, ordered by query."""
+        worst, last = self.key[at, -1], self.id[at, -1]
+        better = np.flatnonzero((key < worst) | ((key == worst) & (ids < last)))
+        at, key, ids = at[better], key[better], ids[better]
+        if not len(at):
+            return
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        touched = at[first]
+        width = self.k + int(np.diff(first, append=len(at)).max())
+        all_keys, all_ids = np.full((len(touched), width), NEVER), np.full((len(touched), width), np.iinfo(np.int64).max)
+        all_keys[:, : self.k], all_ids[:, : self.k] = self.key[touched], self.id[touched]
+        line = np.repeat(np.arange(len(touched)), np.diff(first, append=len(at)))
+        place = self.k + np.arange(len(at)) - first[line]
+        all_keys[line, place], all_ids[line, place] = key, ids
+        order = np.lexsort((all_ids, all_keys), axis=1)[:, : self.k]
+        self.key[touched], self.id[touched] = np.take_along_axis(all_keys, order, 1), np.take_along_axis(all_ids, order, 1)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries (rows), keys and ids."""
+        at, place = np.nonzero(self.key < NEVER)
+        return at, self.key[at, place], self.id[at, place]
 
 
 def nearest(rows: DataFrame, queries: pa.Table, k: int, probed: np.ndarray | None = None) -> DataFrame:
@@ -101,11 +143,11 @@ def nearest(rows: DataFrame, queries: pa.Table, k: int, probed: np.ndarray | Non
                 batch = whole.slice(at, ROWS)
                 cells = batch.column(2).to_numpy() if probed is not None else None
                 best.take(batch.column(0).to_numpy().astype(np.int64), batch.column(1), cells)
-        for at in range(0, len(best.at), PAIRS):
-            some = slice(at, at + PAIRS)
-            key = best.key[some]
-            value = pa.array(np.where(key >= NAN, np.nan, key), mask=key >= NULL)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(best.at[some])), pa.array(best.id[some]).cast(schema.field(1).type), value], schema=schema)
+        at, keys, ids = best.found()
+        for low in range(0, len(at), OUT):
+            some = slice(low, low + OUT)
+            value = pa.array(np.where(keys[some] >= NAN, np.nan, keys[some]), mask=keys[some] >= NULL)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(at[some])), pa.array(ids[some]).cast(schema.field(1).type), value], schema=schema)
 
     return rows.select("chunk_id", "embedding", *(["cell"] if probed is not None else [])).mapInArrow(run, f"query_id {of_query}, chunk_id {kind}, distance double")
 

@@ -4,6 +4,8 @@ import math
 import random
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.operators import retrieval
@@ -37,6 +39,32 @@ def test_rows_without_a_distance_come_last(spark):
     assert got == [("a", 3, "0.0"), ("a", 4, "1.0"), ("a", 2, "nan"), ("a", 1, "None"), ("b", 1, "None"), ("b", 2, "None"), ("b", 3, "None"), ("b", 4, "None")]
 
 
+def test_distances_closer_than_single_precision_are_told_apart(monkeypatch):
+    monkeypatch.setattr(retrieval, "COLUMNS", 2)
+    rng = random.Random(4)
+    rows = [(i, [c, math.sqrt(1 - c * c)]) for i, c in enumerate(rng.sample([0.5 + n * 1e-11 for n in range(3000)], 400))]
+    asked = [[1.0, 0.0], [1.0, 1e-9], [0.0, -1.0], [0.5, 0.8], [0.6, 0.8]]
+    best = retrieval._Nearest(pa.array(asked), 20, None)
+    for at in range(0, 400, 50):
+        best.take(np.arange(at, at + 50), pa.array([v for _, v in rows[at : at + 50]]), None)
+    assert list(zip(*[x.tolist() for x in best.found()], strict=True)) == [(q, s, i) for q, v in enumerate(asked) for s, i in sorted((cosine(x, v), i) for i, x in rows)[:20]]
+
+
+def test_only_queries_that_a_batch_improves_are_sorted(monkeypatch):
+    monkeypatch.setattr(retrieval, "COLUMNS", 10)
+    rng = np.random.default_rng(3)
+    asked, others, k = rng.normal(size=(400, 16)), rng.normal(size=(300, 16)), 5
+    best = retrieval._Nearest(pa.array(asked.tolist()), k, None)
+    best.take(np.arange(2000), pa.array(np.repeat(asked, k, axis=0).tolist()), None)
+    sizes, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: (sizes.append(np.size(keys[0])), real(keys, axis=axis))[1])
+    best.take(np.arange(2000, 2300), pa.array(others.tolist()), None)
+    best.take(np.array([-1]), pa.array([asked[7].tolist()]), None)
+    assert sum(sizes) <= 2 * k  # not 400 * k for each block of queries and rows
+    at, _, ids = best.found()
+    assert ids[at == 7].tolist() == [-1, 35, 36, 37, 38] and ids[at == 8].tolist() == [40, 41, 42, 43, 44]
+
+
 def test_queries_of_the_same_terms_are_searched_once(spark, tmp_path):
     chunks = spark.createDataFrame([(i, "common " * (i % 7 + 1) + ("rare" if i % 5 == 0 else "")) for i in range(300)], "chunk_id long, body string")
     queries = spark.createDataFrame([(q, [["common"], ["rare", "common"], ["common", "rare", "rare"], ["none"], None][q % 5]) for q in range(200)], "query_id long, terms array<string>")
