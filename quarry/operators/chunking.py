@@ -274,10 +274,10 @@ def groups_by_change(df: DataFrame, key: str, order: str, value: str) -> DataFra
 
 
 def coalesce_ranges(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Touching or overlapping [start, end) ranges of a key as one."""
-    w = Window.partitionBy(key).orderBy(start, end)
+    """Touching or overlapping [start, end) ranges of a key as one. Ranges without a start or an end come last and open no further one."""
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     upto = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = df.withColumn("_new", (F.coalesce(F.col(start) > upto, F.lit(True))).cast("int"))
+    rows = df.withColumn("_new", (F.coalesce(F.col(start) > upto, F.lit(False))).cast("int"))
     rows = rows.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
 

@@ -3,11 +3,13 @@
 import random
 import unicodedata
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quarry import registry
 from quarry.functions import text, vectors
 from quarry.operators import audit, chunking, context, joins, near_text, quality_gate, ranking, retrieval, tools, writes
 from quarry.operators import relational as R
@@ -96,6 +98,23 @@ def test_ranges_and_groups(spark):
     assert sorted(map(tuple, chunking.coalesce_ranges(r, "k", "a", "b").collect())) == [(1, 0, 7), (1, 9, 10), (2, 1, 2)]
 
 
+def test_ranges_without_a_start_or_an_end(spark, tmp_path):
+    # parts whose rows differ in start or end; suppliers below 7 and orders below 25 stand for themselves
+    lines = [(1, 4, 2, 1), (1, 9, 1, 5), (1, None, 3, 1), (1, 2, None, 2), (1, None, 5, 5), (2, None, 1, 1), (2, 3, 4, 1), (2, 3, 1, 3), (3, 8, None, 1), (4, 1, 1, None), (4, 2, 1, 1), (None, 1, 1, 1), (None, 2, 1, 1), (None, 2, 6, 4)]
+    spark.createDataFrame(lines, "l_partkey long, l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    got = registry.queries()["h35_coalesced_ranges"](spark, str(tmp_path)).select("k", "a", "b").collect()
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, duck.sql(registry.oracles()["h35_coalesced_ranges"]).fetchall()))
+
+
+def test_equal_ranges_are_one(spark):
+    # a repeated table, shuffled: what ties in the order can't change
+    rows = [(k, a, a + (a * 7 + k) % 5) for k in range(20) for a in range(0, 200, 4)]
+    once, often = (chunking.coalesce_ranges(spark.createDataFrame(r, "k int, a int, b int").repartition(7), "k", "a", "b").collect() for r in (rows, rows * 6))
+    assert sorted(map(tuple, often)) == sorted(map(tuple, once))
+
+
 def test_fusion_and_truncation(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id int, chunk_id int, rank int")
     b = spark.createDataFrame([(1, 12, 1), (1, 10, 4)], "query_id int, chunk_id int, rank int")
