@@ -16,9 +16,12 @@ from quarry.operators import quality_gate
 from quarry.sources import pdf
 
 RUNS = "path string, page int, page_width double, page_height double, images int, drawings int, run int, text string, size double, left double, top double, right double, bottom double, baseline double, error string"
+OUTLINES = "path string, pages int, lines int, blocks int, text string, error string"
 PAGE = ["path", "page"]
 #: In sizes of the text: what still is one line, what parts two columns on one line, what parts two blocks.
 SAME_LINE, GUTTER, BLOCK_GAP = 0.4, 1.5, 0.7
+#: Characters of files' texts that leave a task at once.
+BATCH = 1 << 22
 #: From this share of the page's width on a line crosses columns.
 CROSSING = 0.6
 
@@ -53,6 +56,96 @@ def runs(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, RUNS)
 
 
+def page_lines(page: pdf.Page) -> tuple[list[str], int]:
+    """Texts of a page's lines in reading order, and how many blocks they are: for one page at hand what `lines` finds for many."""
+    rows: list[list[tuple]] = []
+    last = 0.0
+    for baseline, left, n, r in sorted([(r.baseline, r.box[0], n, r) for n, r in enumerate(page.runs)]):
+        if not rows or baseline - last > r.size * SAME_LINE:
+            rows.append([])
+        rows[-1].append((left, n, r))
+        last = baseline
+    pieces: list[tuple] = []  # top, left, row, piece, right, bottom, size, text
+    for y, row in enumerate(rows):
+        row.sort()
+        reach = None
+        for left, _, r in row:
+            gap = None if reach is None else (left - reach) / max(r.size, 1e-9)
+            _, top, right, bottom = r.box
+            if gap is None or gap > GUTTER:
+                pieces.append((top, left, y, len(pieces), right, bottom, r.size, r.text))
+            else:
+                a = pieces[-1]
+                said = a[7] + (" " if gap > 0.15 else "") + r.text
+                pieces[-1] = (min(a[0], top), a[1], y, a[3], max(a[4], right), max(a[5], bottom), max(a[6], r.size), said)
+            reach = right if reach is None else max(reach, right)
+    pieces = sorted([p for p in pieces if p[7].strip(" ")])
+    bands: list[list[tuple]] = []
+    inside = False  # whether the band is open to a line that does not cross
+    for p in pieces:
+        crossing = p[4] - p[1] >= page.width * CROSSING
+        if crossing or not inside:
+            bands.append([])
+        bands[-1].append(p)
+        inside = not crossing
+    texts, blocks = [], 0
+    for band in bands:
+        columns: list[list[tuple]] = []
+        edge = None
+        for p in sorted(band, key=lambda p: (p[1], p)):
+            if edge is None or p[1] >= edge:
+                columns.append([])
+            columns[-1].append(p)
+            edge = p[4] if edge is None else max(edge, p[4])
+        for column in columns:
+            column.sort()
+            above = None
+            for p in column:
+                blocks += above is None or p[0] - above[5] > p[6] * BLOCK_GAP or abs(p[6] - above[6]) > p[6] * 0.1
+                texts.append(p[7].strip(" "))
+                above = p
+    return texts, blocks
+
+
+def outlines(files: DataFrame, most_pages: int = 500) -> DataFrame:
+    """OUTLINES of PDF files (path, content): a row a file, with its pages that have text, its lines and blocks by the rules of `lines`, all lines in reading order, and the error where it can't be read to its end.
+
+    A file's layout needs its own runs alone and is worked out where it is read: no run leaves the task and nothing is shuffled.
+    """
+    schema = pa.schema([(name, {"string": pa.string(), "int": pa.int32()}[kind]) for name, kind in (f.split() for f in OUTLINES.split(", "))])
+
+    def outline(path: str, content: bytes) -> tuple:
+        texts, shown, blocks, error = [], 0, 0, None
+        try:
+            for page in pdf.read_pages(content, most_pages):
+                said, parts = page_lines(page)
+                texts += said
+                shown += bool(said)
+                blocks += parts
+        except pdf.PdfError as e:
+            error = str(e)
+        except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError):  # damaged inside
+            error = "malformed"
+        return path, shown, len(texts), blocks, "\n".join(texts), error
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                rows.append(outline(path.as_py(), content.as_py() or b""))
+                size += len(rows[-1][4])
+                if size > BATCH:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return files.select("path", "content").mapInArrow(run, OUTLINES)
+
+
 def lines(found: DataFrame, empty: bool = False) -> DataFrame:
     """path, page, page_width, band, column, line, block, text, font_size, box, char_start, char_end: lines in reading order from 1.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,12 +18,14 @@ from quarry.sources import pdf
 # How a text is set: words a line, lines a block, lines a column, columns a page (odd ids one, even ids two), points.
 WORDS, BLOCK, COLUMN = 8, 5, 30
 LEFT, RIGHT, BROAD, TOP = 40.0, 340.0, 220.0, 60.0
+#: Bytes of files that leave a task at once.
+FILES = 1 << 22
 
 
-def set_pages(words: list[str], columns: int) -> bytes:
+def set_pages(words: list[bytes], columns: int) -> bytes:
     """A text as a file: as many words a line, lines a block and blocks a column as above, in a size at which its longest line fits."""
-    lines = [" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
-    longest = max((len(t.encode("utf-16-be", "replace")) // 2 for t in lines), default=1)
+    lines = [b" ".join(words[i : i + WORDS]).decode("utf-8", "replace") for i in range(0, len(words), WORDS)]
+    longest = max((len(t) if t.isascii() else len(t.encode("utf-16-be")) // 2 for t in lines), default=1)
     size = min(9.0, BROAD / (longest * pdf.WIDTH / 1000))
     pages: list[list[tuple[float, float, float, str]]] = []
     for i, said in enumerate(lines):
@@ -37,13 +40,28 @@ def set_pages(words: list[str], columns: int) -> bytes:
 def document_files(spark, d):
     """path (the document's id), content: every document as a PDF file."""
 
+    def batch_of(paths: list[str], contents: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, contents, size = [], [], 0
         for batch in batches:
-            for path, words, columns in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([set_pages(words or [], columns)], pa.binary())], ["path", "content"])
-
-    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    rows = spread(table(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("path"), words.alias("words"), F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("columns"))
+            for path, text, columns in zip(*(batch.column(i) for i in range(3)), strict=True):
+                paths.append(path.as_py())
+                contents.append(set_pages((text.as_py() or b"").split(), columns.as_py()))
+                size += len(contents[-1])
+                if size > FILES:
+                    yield batch_of(paths, contents)
+                    paths, contents, size = [], [], 0
+        if paths:
+            yield batch_of(paths, contents)
+
+    # as bytes, which part at the six blanks of ASCII and nowhere else
+    text = F.col("text").cast("string").cast("binary")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    # a scan may have all rows in few of its partitions, and a file costs far more than dealing its text: many even tasks
+    parts = max(spark.sparkContext.defaultParallelism, 4 * docs.rdd.getNumPartitions())
+    rows = docs.repartition(parts, "doc_id", "text").select(F.col("doc_id").cast("string").alias("path"), text.alias("text"), F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1).alias("columns"))
     return rows.mapInArrow(run, "path string, content binary")
 
 
@@ -54,11 +72,9 @@ set_lines AS (SELECT doc_id, line, line // per AS page, line % per // {COLUMN} A
 
 @query("a08_pdf_layout", f"{SET} SELECT doc_id, count(*) AS lines, count(DISTINCT page) AS pages, count(DISTINCT (page, col, block)) AS blocks, sha256(string_agg(said, chr(10) ORDER BY line)) AS digest FROM set_lines GROUP BY doc_id")
 def _(spark, d):
-    """Lines, pages, blocks and text in reading order of every document's file."""
-    rows = layout.lines(layout.runs(document_files(spark, d)))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", "text"))), lambda x: x["text"]), "\n")
-    out = rows.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count("*").alias("lines"), F.countDistinct("page").alias("pages"), F.countDistinct("page", "block").alias("blocks"), said.alias("said"))
-    return out.select("doc_id", "lines", "pages", "blocks", F.sha2("said", 256).alias("digest"))
+    """Lines, pages, blocks and text in reading order of every document's file, however many pages it has. A row a file: ids are expected to be unique."""
+    rows = layout.outlines(document_files(spark, d), most_pages=sys.maxsize).filter("lines > 0")
+    return rows.select(F.col("path").cast("long").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in ("lines", "pages", "blocks")], F.sha2("text", 256).alias("digest"))
 
 
 @query("a08_pdf_pages", rf"""{SET} SELECT doc_id, CAST(page + 1 AS INT) AS page, length(t) AS characters, CASE WHEN length(t) < 20 THEN 'low_text_page' ELSE '' END AS warnings
